@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import ship
+
 #: Text bytes that one step works on; a longer text is a step of its own.
 SLICE_BYTES = 4 << 20
 
@@ -24,7 +26,8 @@ def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def bound_batches(spark) -> None:
-    """Arrow batches to Python stay small in bytes, whatever the length of the texts."""
+    """Arrow batches to Python stay small in bytes, whatever the length of the texts; workers get this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
     return fs.makeQualified(path).toString().rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once for each Spark context, however it was found here."""
+    context = spark.sparkContext
+    if getattr(context, "_tickloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    own = tempfile.mkdtemp(prefix="tickloom-package-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    target = f"{own}/tickloom.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(package.rglob("*.py")):
+            z.write(path, path.relative_to(package.parent))
+    context.addPyFile(target)
+    context._tickloom_shipped = True
+
+
 def fresh(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
