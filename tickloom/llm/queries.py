@@ -12,6 +12,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import classify, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return classify(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    return search(_table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -24,12 +37,37 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_rules import judge
+
+    return judge(_table(spark, sf_dir, "pages"))
+
+
+def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import describe, encode_media
+
+    return describe(encode_media(_table(spark, sf_dir, "documents")))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return identify(docs, train(docs))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import classes
 
     return classes(_table(spark, sf_dir, "documents"), words=3, distance=2)
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_token_files, write_token_files
 
@@ -38,11 +76,15 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_packing": op3_packing,
-    "op4_byte_bpe": op4_byte_bpe,
-    "op8_simhash": op8_simhash,
-    "op10_token_files": op10_token_files,
+    f.__name__: f for f in (op1_toxicity, op2_neighbours, op3_packing, op4_byte_bpe, op5_url_rules, op6_telephony, op7_language, op8_simhash, op9_licenses, op10_token_files)
 }
 
-#: DuckDB SQL of those that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+
+def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL of those that SQL can express."""
+    from .url_rules import ORACLE
+
+    return {"op5_url_rules": ORACLE}
+
+
+ORACLE_SQL: dict[str, str] = oracle_sql()

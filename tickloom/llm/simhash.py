@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._arrow import bound_batches, id_and_text, slices
@@ -30,30 +30,40 @@ SEED = 42
 
 def fingerprint(text: str, words: int = 3, seed: int = SEED) -> int:
     """The fingerprint of a whole text, as an unsigned integer; 0 without words."""
+    return int(wide_fingerprint(text, words, 1, seed)[0])
+
+
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes for the k-th 64 bits of a wide fingerprint; the first are the hashes themselves."""
+    if not k:
+        return h
+    h = (h ^ np.uint64(0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def wide_fingerprint(text: str, words: int, parts: int, seed: int = SEED) -> np.ndarray:
+    """``parts`` times 64 bits of a whole text; zeros without words."""
     import xxhash
 
     # bytes.lower() folds A-Z alone; bytes.split() parts at space and U+0009 to U+000D
-    parts = text.encode().lower().split()
-    if not parts:
-        return 0
-    joined = b" ".join(parts)
-    n = max(1, len(parts) - words + 1)
-    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-    starts = np.cumsum(lengths + 1) - (lengths + 1)
-    ends = starts[-n:] if n < len(parts) else starts
-    ends = ends + lengths[len(parts) - n :]
-    if len(parts) < words:
-        starts, ends = np.zeros(1, np.int64), np.array([len(joined)])
+    own = text.encode().lower().split()
+    if not own:
+        return np.zeros(parts, "<u8")
+    joined = b" ".join(own)
+    lengths = np.fromiter(map(len, own), np.int64, len(own))
+    ends = np.cumsum(lengths + 1) - 1
+    starts = ends - lengths
+    n = max(1, len(own) - words + 1)
+    starts, ends = (starts[:n], ends[words - 1 :]) if len(own) >= words else (starts[:1], ends[-1:])
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
-    at = 0
-    while at < n:  # bounded memory, whatever the length
-        to = min(n, at + (1 << 16))
-        h = np.array([digest(joined[s:e], seed) for s, e in zip(starts[at:to].tolist(), ends[at:to].tolist(), strict=True)], "<u8")
-        counts += _bit_counts(h)
-        at = to
-    bits = counts * 2 > n
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    counts = np.zeros((parts, 64), np.int64)
+    for at in range(0, n, 1 << 16):  # bounded memory, whatever the length
+        pairs = zip(starts[at : at + (1 << 16)].tolist(), ends[at : at + (1 << 16)].tolist(), strict=True)
+        h = np.array([digest(joined[s:e], seed) for s, e in pairs], "<u8")
+        for k in range(parts):
+            counts[k] += _bit_counts(_mixed(h, k))
+    return np.packbits(counts * 2 > n, axis=1, bitorder="little").view("<u8")[:, 0]
 
 
 def _bit_counts(h: np.ndarray) -> np.ndarray:
@@ -174,7 +184,6 @@ def links(fps: DataFrame, distance: int = 2, small: int = SMALL) -> DataFrame:
     """(a, b) of distinct fingerprints: links that join all fingerprints within ``distance`` bits transitively."""
     if distance not in (0, 1, 2):
         raise ValueError("two segments with one wildcard cover distances up to 2")
-    spark = fps.sparkSession
     hot = written(_hot_keys(fps, small), "hot-keys")
     variants = _variants(fps)
     if hot.isEmpty():
@@ -184,7 +193,7 @@ def links(fps: DataFrame, distance: int = 2, small: int = SMALL) -> DataFrame:
     found = _hot_links(members)
     if distance < 2:
         found = found.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    return cold.unionAll(found) if spark else cold
+    return cold.unionAll(found)
 
 
 def classes(docs: DataFrame, words: int = 3, distance: int = 2, small: int = SMALL) -> DataFrame:
@@ -204,3 +213,132 @@ def classes(docs: DataFrame, words: int = 3, distance: int = 2, small: int = SMA
     linked = member.select("fp", "component").join(least, "component").select("fp", "component_id")
     ids = by_fp.join(linked.withColumnRenamed("component_id", "linked_id"), "fp", "left").select("fp", F.coalesce("linked_id", "first_id").alias("component_id"))
     return own.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# Near-duplicates of a given similarity: wide fingerprints, one-wildcard variants of shorter segments.
+
+#: Bits of a segment, and 64-bit parts of a wide fingerprint.
+SEGMENT, PARTS = 21, 4
+WIDE = [f"f{k}" for k in range(PARTS)]
+
+
+def distance_of(similarity: float, bits: int = 64 * PARTS) -> int:
+    """Expected differing bits at a Jaccard similarity: sets of one size have the cosine 2J / (1 + J)."""
+    return round(bits * float(np.arccos(min(1.0, 2 * similarity / (1 + similarity)))) / np.pi)
+
+
+def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
+    """(doc_id, f0 .. f3) of each row; null texts count as empty."""
+    bound_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            fps = np.array([wide_fingerprint(t, words, PARTS) for t in part.column("text").to_pylist()], "<u8").reshape(-1, PARTS).view("<i8")
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(np.ascontiguousarray(fps[:, k])) for k in range(PARTS)]], names=["doc_id", *WIDE])
+
+    return id_and_text(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in WIDE))
+
+
+def _wide_segments():
+    """(number, value) of each segment: three of 21 bits from each part; a part's highest bit is left out."""
+    return [(3 * k + j, F.shiftrightunsigned(c, SEGMENT * j).bitwiseAND(F.lit((1 << SEGMENT) - 1))) for k, c in enumerate(WIDE) for j in range(3)]
+
+
+def wide_links(fps: DataFrame, limit: int, small: int = SMALL) -> DataFrame:
+    """(a, b) of ids that differ in at most ``limit`` of all bits, transitively. fps: id, f0 .. f3.
+
+    Every pair that differs in 23 bits or fewer shares a variant; a pair with more does with a probability that falls
+    with the distance. Buckets that may hold over ``small`` are dealt to blocks, and each two blocks of a bucket
+    meet in a task: all pairs are compared, none is gathered or emitted beyond a spanning forest.
+    """
+    segments = F.array(*[F.struct(F.lit(n).cast("long").alias("s"), v.alias("value")) for n, v in _wide_segments()])
+    halves = fps.select("id", *WIDE, F.explode(segments).alias("h")).select("id", *WIDE, "h.s", "h.value")
+    cell = lambda d: d.withColumn("key", F.expr(f"shiftleft(s * {SEGMENT} + w, {SEGMENT}) | (value & ~shiftleft(1L, cast(w as int)))"))
+    places = F.explode(F.expr(f"sequence(0L, {SEGMENT - 1}L)"))
+    heavy = halves.groupBy("s", "value").count().filter(F.col("count") > small // 2).withColumn("w", places)
+    hot = written(cell(heavy).groupBy("key").agg(F.sum("count").alias("n")).select("key", F.ceil(F.col("n") / (small // 2) + 1).alias("blocks")), "hot-keys")
+    rows = cell(halves.withColumn("w", places)).select("key", "id", *WIDE)
+    if not hot.isEmpty():
+        mine = F.pmod(F.xxhash64("id"), F.col("blocks"))
+        rows = rows.join(hot, "key", "left").withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
+        pair = F.when(F.col("other") < 0, F.col("key")).otherwise(F.xxhash64("key", F.least(mine, "other"), F.greatest(mine, "other")))
+        rows = rows.select(pair.alias("key"), "id", *WIDE)
+
+    def links(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+        size = np.diff(edge)
+        two = edge[:-1][size == 2]
+        near = np.bitwise_count(fps[two] ^ fps[two + 1]).sum(axis=1) <= limit
+        a, b = [ids[two][near]], [ids[two + 1][near]]
+        for at, n in zip(edge[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            for k, m in _wide_forest(fps[at : at + n], limit):
+                a.append(ids[at + k : at + k + 1])
+                b.append(ids[at + m : at + m + 1])
+        a, b = np.concatenate(a), np.concatenate(b)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, PARTS), "<u8")]
+        for batch in batches:
+            new = [batch.column("key").to_numpy(), batch.column("id").to_numpy(), np.stack([batch.column(c).to_numpy() for c in WIDE], axis=1).view("<u8")]
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)]
+            keys = held[0]
+            if len(keys) >= 1 << 16 and keys[0] != keys[-1]:
+                to = int(np.searchsorted(keys, keys[-1]))  # the last run may go on
+                yield from links(*[x[:to] for x in held])
+                held = [x[to:] for x in held]
+        if len(held[0]):
+            yield from links(*held)
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+
+
+def _wide_forest(fps: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    n, out = len(fps), []
+    group = np.arange(n)
+    for k in range(n - 1):
+        for m in (k + 1 + np.flatnonzero(np.bitwise_count(fps[k + 1 :] ^ fps[k]).sum(axis=1) <= limit)).tolist():
+            a, b = group[k], group[m]
+            if a != b:
+                group[group == b] = a
+                out.append((k, m))
+    return out
+
+
+def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, group_id) of each row: the least doc_id of its group of near-duplicates.
+
+    Groups are made in two steps: wide fingerprints whose first 64 bits differ in two or fewer, by the segments of 32
+    bits, so that large groups of copies shrink to a few; then the least of each such group, at the distance that
+    ``similarity`` of the texts' word shingles lets expect. Rows without an id and texts without words are left alone,
+    each a group of its own.
+    """
+    own = written(wide_fingerprints(docs, words), "wide-fingerprints")
+    full = own.filter("doc_id is not null").filter(" or ".join(f"{c} <> 0" for c in WIDE))
+    by_f0 = written(full.groupBy("f0").agg(F.min("doc_id").alias("id")), "classes")
+    reached = connected_components(links(by_f0.select(F.col("f0").alias("fp"))))
+    first = by_f0.join(reached.select(F.col("node").alias("f0"), "component"), "f0", "left").select("f0", "id", F.coalesce("component", "f0").alias("component"))
+    first = written(first.join(first.groupBy("component").agg(F.min("id").alias("lead")), "component").select("f0", "lead"), "first-groups")
+    leads = full.groupBy(F.col("doc_id").alias("id")).agg(*[F.min(c).alias(c) for c in WIDE]).join(first.select(F.col("lead").alias("id")).distinct(), "id", "left_semi")
+    far = connected_components(wide_links(leads, distance_of(similarity)))
+    last = first.join(far.select(F.col("node").alias("lead"), "component"), "lead", "left").select("f0", F.coalesce("component", "lead").alias("group_id"))
+    alone = own.filter("not (doc_id is not null and (" + " or ".join(f"{c} <> 0" for c in WIDE) + "))").select("doc_id", F.col("doc_id").alias("group_id"))
+    return full.join(last, "f0").select("doc_id", "group_id").unionAll(alone)
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows, with all their columns, of one document of each group of near-duplicates: that of the least id.
+
+    Of rows that share an id one is kept, that of the least text. Rows without an id and texts without words stay.
+    """
+    groups = near_groups(docs, words, similarity)
+    goes = groups.filter("doc_id <> group_id").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(goes, docs["doc_id"] == goes["_gone"], "left_anti")
+    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    if repeated.isEmpty():
+        return left
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    twice = repeated.select(F.col("doc_id").alias("_twice"))
+    once = left.join(twice, left["doc_id"] == twice["_twice"], "left_semi").withColumn("_place", place).filter("_place = 1").drop("_place")
+    return left.join(twice, left["doc_id"] == twice["_twice"], "left_anti").unionAll(once)
