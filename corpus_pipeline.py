@@ -1,5 +1,48 @@
-"""The corpus pipeline: language ID, toxicity, SimHash near-duplicates, packing."""
+"""The corpus pipeline: language ID, toxicity, SimHash near-duplicates, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept, written as Parquet and read again.
+All but the last return the columns of ``documents``. Stages that reject documents do so for good.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from tickloom.llm import langid, packing, simhash, toxicity
+from tickloom.llm._shared import written
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without letters, and those of which no language covers half of the letters."""
+    return langid.kept(docs, langid.train(docs), least=0.4)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts whose calibrated score is 0.5 or more; labels come from the table of that name."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.kept(docs, toxicity.train(docs, labels))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return simhash.one_of_each(docs, words=5, similarity=0.8)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into windows of 2048 tokens; a row for each piece."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1)
+
+
+STAGES = [("language_id", language_id), ("toxicity", drop_toxic), ("near_duplicates", near_duplicates), ("packing", pack)]
+
+#: SQL can't express the trained stages.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to ``documents``, each written to the shared folder before the next one reads it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
