@@ -180,7 +180,7 @@ def predict(model: LanguageModel, col: pa.Array) -> tuple[list[str], np.ndarray]
     return [model.languages[b] if t else UNKNOWN for b, t in zip(best.tolist(), total.tolist(), strict=True)], score
 
 
-def train(docs: DataFrame, each: int = 800) -> LanguageModel:
+def train(docs: DataFrame, each: int = 500) -> LanguageModel:
     """Fits on about ``each`` documents of every language: whole texts with a non-null lang, in the learning fold."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter("text is not null and lang is not null").filter(fold("doc_id", 3) != 1)

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import bound_batches, id_and_text, plain, slices, split_words
+from ._arrow import bound_batches, id_and_text, plain, ragged, slices, split_words
 from ._sample import fold, stratified
 
 #: Common function words by which the language of a text shows.
@@ -31,12 +31,14 @@ FUNCTION_WORDS = {
 #: ASCII characters that are neither letters nor digits.
 BETWEEN = r"[\x00-/:-@\[-`{-\x7f]+"
 
+#: Rows of either hash's embedding table.
+BUCKETS = 1 << 16
+
 
 @dataclass
 class ToxicityModel:
-    buckets: int
     widths: tuple[int, ...]
-    emb: np.ndarray  # (2 * buckets, dim): the two hashes' tables
+    emb: np.ndarray  # (2 * BUCKETS, dim): the two hashes' tables
     filters: list[np.ndarray]  # (width, dim, filters) for each width
     bias: list[np.ndarray]
     out: np.ndarray
@@ -59,12 +61,25 @@ def _words(col: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return words, index[full], kept[bounds]
 
 
-def _hashes(words: list[str], buckets: int) -> np.ndarray:
+def _hashes(words: list[str], buckets: int = BUCKETS) -> np.ndarray:
     """(words, 2): rows of the embedding table."""
+    if not words:
+        return np.empty((0, 2), np.int32)
     raw = [w.encode() for w in words]
     a = np.fromiter(map(zlib.crc32, raw), np.int64, len(raw))
     b = np.fromiter((zlib.crc32(w, 0x9E3779B9) for w in raw), np.int64, len(raw))
-    return np.stack([a % buckets, buckets + (b >> 5) % buckets], axis=1)
+    return np.stack([a % buckets, buckets + (b >> 5) % buckets], axis=1).astype(np.int32)
+
+
+def _encoded(texts: list[str], step: int = 250) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(buckets of each position, bounds of each text, languages that show), a few texts at a time."""
+    pairs, lengths, langs = [np.empty((0, 2), np.int32)], [np.empty(0, np.int64)], []
+    for at in range(0, len(texts), step):
+        words, index, bounds = _words(pa.array(texts[at : at + step], pa.string()))
+        pairs.append(_hashes(words)[index])
+        lengths.append(np.diff(bounds))
+        langs += _languages(words, index, bounds)
+    return np.concatenate(pairs), np.concatenate([[0], np.cumsum(np.concatenate(lengths))]), langs
 
 
 def _languages(words: list[str], index: np.ndarray, bounds: np.ndarray) -> list[str]:
@@ -84,7 +99,7 @@ def _languages(words: list[str], index: np.ndarray, bounds: np.ndarray) -> list[
     return [names[b] if c else "" for b, c in zip(best.tolist(), counts.max(axis=1).tolist(), strict=True)]
 
 
-def _pooled(model: ToxicityModel, rows: np.ndarray, index: np.ndarray, bounds: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+def _pooled(model: ToxicityModel, pairs: np.ndarray, bounds: np.ndarray, block: int = 1 << 16) -> np.ndarray:
     """(texts, all filters): each filter's greatest response, 0 at least. Positions are taken block by block."""
     n = len(bounds) - 1
     out = np.zeros((n, sum(f.shape[2] for f in model.filters)), np.float32)
@@ -92,15 +107,15 @@ def _pooled(model: ToxicityModel, rows: np.ndarray, index: np.ndarray, bounds: n
     col = 0
     for tables, bias in zip(model.tables, model.bias, strict=True):
         width, size = len(tables), tables[0].shape[1]
-        for at in range(0, len(index), block):
-            to = min(len(index), at + block)
+        for at in range(0, len(pairs), block):
+            to = min(len(pairs), at + block)
             own = text[at:to]
             total = np.tile(bias, (to - at, 1)).astype(np.float32)
             for j in range(width):
-                end = min(len(index), to + j)
+                end = min(len(pairs), to + j)
                 fits = np.zeros(to - at, bool)
                 fits[: end - at - j] = text[at + j : end] == own[: end - at - j]  # beyond the text's end there is nothing
-                both = rows[index[at + j : end]]
+                both = pairs[at + j : end]
                 found = tables[j][both[:, 0]] + tables[j][both[:, 1]]
                 total[: end - at - j] += found * fits[: end - at - j, None]
             first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
@@ -111,19 +126,19 @@ def _pooled(model: ToxicityModel, rows: np.ndarray, index: np.ndarray, bounds: n
     return out
 
 
-def raw_scores(model: ToxicityModel, col: pa.Array) -> tuple[np.ndarray, list[str]]:
-    """(probability before calibration, language that shows) of each text."""
-    words, index, bounds = _words(col)
+def probabilities(model: ToxicityModel, pairs: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Of each text, before calibration."""
     if not model.tables:
         model.prepare()
-    pooled = _pooled(model, _hashes(words, model.buckets), index, bounds) if words else np.zeros((len(col), len(model.out)), np.float32)
-    z = pooled @ model.out + model.out_bias
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30))), _languages(words, index, bounds)
+    pooled = _pooled(model, pairs, bounds) if len(pairs) else np.zeros((len(bounds) - 1, len(model.out)), np.float32)
+    return 1 / (1 + np.exp(-np.clip(pooled @ model.out + model.out_bias, -30, 30)))
 
 
 def scores(model: ToxicityModel, col: pa.Array) -> np.ndarray:
     """Calibrated scores: at 0.5 a text's probability meets its language's threshold."""
-    p, langs = raw_scores(model, col)
+    words, index, bounds = _words(col)
+    langs = _languages(words, index, bounds)
+    p = probabilities(model, _hashes(words)[index], bounds)
     t = np.array([model.thresholds.get(x, model.default) for x in langs]) if len(langs) else np.empty(0)
     return np.where(p < t, 0.5 * p / t, 0.5 + 0.5 * (p - t) / (1 - t)).clip(0, 1)
 
@@ -140,19 +155,18 @@ def _threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(
-    texts: list[str], labels: list[int], buckets: int = 1 << 16, dim: int = 8, widths: tuple[int, ...] = (1, 2, 3), each: int = 8, epochs: int = 4, batch: int = 32, rate: float = 0.05, seed: int = 7
+    texts: list[str], labels: list[int], dim: int = 8, widths: tuple[int, ...] = (1, 2, 3), each: int = 8, epochs: int = 4, batch: int = 32, rate: float = 0.05, seed: int = 7
 ) -> ToxicityModel:
     """Trains on whole texts by Adagrad; every fifth text is left for calibration."""
     rng = np.random.default_rng(seed)
-    words, index, bounds = _words(pa.array(texts, pa.string()))
-    rows = _hashes(words, buckets) if words else np.zeros((0, 2), np.int64)
+    pairs, bounds, langs = _encoded(texts)
     y = np.asarray(labels, np.float64)
-    emb = rng.normal(0, 0.02, (2 * buckets, dim))
+    emb = rng.normal(0, 0.02, (2 * BUCKETS, dim))
     # the first dimension starts from the smoothed log-odds of each bucket's documents
     learn = np.flatnonzero(np.arange(len(y)) % 5 != 4)
-    seen = np.zeros((2, 2 * buckets))
+    seen = np.zeros((2, 2 * BUCKETS))
     for d in learn:
-        own = np.unique(rows[index[bounds[d] : bounds[d + 1]]])
+        own = np.unique(pairs[bounds[d] : bounds[d + 1]])
         seen[int(y[d]), own] += 1
     of = np.array([max(1, (y[learn] == k).sum()) for k in (0, 1)])
     odds = np.log(((seen[1] + 3) / (of[1] + 3)) / ((seen[0] + 3 * of[0] / of[1]) / (of[0] + 3 * of[0] / of[1])))
@@ -176,12 +190,12 @@ def fit(
             if start == 0:
                 order = np.concatenate([docs, np.setdiff1d(rng.permutation(learn), docs, assume_unique=True)])
                 order[len(docs) :] = rng.permutation(order[len(docs) :])
-            spans = [index[bounds[d] : bounds[d + 1]] for d in docs]
+            spans = [pairs[bounds[d] : bounds[d + 1]] for d in docs]
             length = np.array([len(s) for s in spans])
             docs, spans, length = docs[length > 0], [s for s in spans if len(s)], length[length > 0]
             if not len(docs):
                 continue
-            ids = rows[np.concatenate(spans)]
+            ids = np.concatenate(spans)
             x = emb[ids[:, 0]] + emb[ids[:, 1]]
             text = np.repeat(np.arange(len(docs)), length)
             first = np.cumsum(length) - length
@@ -221,10 +235,12 @@ def fit(
                 g_emb = np.zeros((len(own), dim))
                 np.add.at(g_emb, inverse, delta)
                 update(0, g_emb, own)
-    model = ToxicityModel(buckets, widths, emb.astype(np.float32), [f.astype(np.float32) for f in filters], [b.astype(np.float32) for b in bias], out.astype(np.float32), float(out_bias[0]))
+    model = ToxicityModel(widths, emb.astype(np.float32), [f.astype(np.float32) for f in filters], [b.astype(np.float32) for b in bias], out.astype(np.float32), float(out_bias[0]))
     held = np.flatnonzero(np.arange(len(y)) % 5 == 4)
     if len(held):
-        p, langs = raw_scores(model, pa.array([texts[k] for k in held], pa.string()))
+        lengths = np.diff(bounds)[held]
+        p = probabilities(model, pairs[ragged(bounds[:-1][held], lengths)], np.concatenate([[0], np.cumsum(lengths)]))
+        langs = [langs[k] for k in held]
         both = lambda v: len(set(v.tolist())) == 2
         if both(y[held]):
             model.default = _threshold(p, y[held])
@@ -233,10 +249,11 @@ def fit(
             # a threshold of its own needs cases of either kind
             if y[held][own].sum() >= 30 and (1 - y[held][own]).sum() >= 30:
                 model.thresholds[name] = _threshold(p[own], y[held][own])
+    model.tables = []  # made anew by each worker
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic: int = 1500, clean: int = 5000) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, toxic: int = 1200, clean: int = 4000) -> ToxicityModel:
     """Fits on about ``toxic`` and ``clean`` labelled documents of the two classes, whole texts, in the learning fold only.
 
     Of several labels for one document the toxic one counts; null labels count for nothing.
