@@ -1,15 +1,324 @@
-"""The registered queries of the library's own operators, each with DuckDB SQL for the same rows."""
+"""The registered queries of the library's own operators, each with DuckDB SQL for the same rows.
+
+Streams: ``events`` by user_id, pts in microseconds, v the value. Every query runs over its whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import to_column
+from ..operators import align, elementwise, stats, timing, windows
+from ..sources import packets
+from . import graph
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+HOUR = 3_600_000_000
+
+#: What most of the SQL starts from.
+S = "WITH s AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS pts, value AS v FROM events)"
+W = "(PARTITION BY user_id ORDER BY pts)"
+
+
+def register(name: str, sql: str | None = None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql.replace(", 4) AS", " + 1e-7, 4) AS")  # off the exact halves, as R4
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", "user_id", "event_type", timing.micros("ts").alias("pts"), F.col("value").alias("v"))
+
+
+GRAPH = "select='gt(v,100)',setpts=PTS-STARTPTS,framestep=2"
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet").filter(F.col("value") > 100)
+    """A filter graph in text form, folded into one plan."""
+    out = graph.build(GRAPH, {"in": stream(spark, sf_dir)}, "user_id")["out"]
+    return out.select("event_id", "user_id", "pts", "v")
+
+
+register(
+    "graph_flagship",
+    f"{S}, a AS (SELECT event_id, user_id, pts - min(pts) OVER (PARTITION BY user_id) AS pts, v FROM s WHERE v > 100) SELECT event_id, user_id, pts, v FROM a QUALIFY (row_number() OVER {W} - 1) % 2 = 0",
+)(flagship)
+register("select_expr", f"{S} SELECT event_id, v FROM s WHERE v > 100 AND NOT (v BETWEEN 200 AND 210)")(
+    lambda s, d: timing.select(stream(s, d), "gt(v,100)*not(between(v,200,210))", "user_id").select("event_id", "v")
+)
+register("select_route", f"{S} SELECT CAST(least(2, greatest(0, ceil(v / 100) - 1)) AS INTEGER) AS output, count(*) AS n FROM s GROUP BY 1")(
+    lambda s, d: timing.route(stream(s, d), "v/100", 3).groupBy("output").agg(F.count("*").alias("n"))
+)
+
+
+@register("trim_range", f"{S} SELECT event_id, pts FROM s WHERE pts >= 1704326400000000 AND pts < 1705276800000000")
+def _(s, d):
+    return timing.trim(stream(s, d), 1704326400000000, 1705276800000000).select("event_id", "pts")
+
+
+register("framestep_3", f"{S} SELECT event_id, user_id FROM s QUALIFY (row_number() OVER {W} - 1) % 3 = 0")(lambda s, d: timing.framestep(stream(s, d), 3, "user_id").select("event_id", "user_id"))
+register("setpts_rebase", f"{S} SELECT event_id, pts - min(pts) OVER (PARTITION BY user_id) AS pts FROM s")(lambda s, d: timing.rebase(stream(s, d), "user_id").select("event_id", "pts"))
+register("settb_rescale", f"{S} SELECT event_id, CAST((CAST(pts AS HUGEINT) * 2 * 90000 + 1000000) // 2000000 AS BIGINT) AS ticks FROM s")(
+    lambda s, d: stream(s, d).select("event_id", timing.rescale(F.col("pts"), (1, 1_000_000), (1, 90_000)).alias("ticks"))
+)
+register(
+    "fps_zoh",
+    f"""{S}, a AS (SELECT *, (pts + {HOUR // 2}) // {HOUR} AS slot FROM s),
+    b AS (SELECT *, lead(slot) OVER {W} AS nxt, greatest(1, slot - lag(slot) OVER {W}) AS gap FROM a)
+    SELECT user_id, unnest(range(slot, coalesce(nxt, slot + coalesce(gap, 1)))) AS slot, pts, v FROM b""",
+)(lambda s, d: timing.fps(stream(s, d), HOUR, "user_id"))
+register(
+    "concat_rebase",
+    f"""{S}, g AS (SELECT event_type, min(pts) AS f, max(pts) - min(pts) + 1 AS l FROM s GROUP BY 1),
+    o AS (SELECT *, coalesce(sum(l) OVER (ORDER BY event_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM g)
+    SELECT event_id, CAST(pts - f + off AS BIGINT) AS pts FROM s JOIN o USING (event_type)""",
+)(lambda s, d: timing.concat(stream(s, d), "event_type").select("event_id", F.col("pts").cast("long").alias("pts")))
+
+
+@register("interleave_merge", "SELECT 0 AS input, epoch_us(o_orderdate) AS pts, o_totalprice AS v FROM orders UNION ALL SELECT 1, epoch_us(l_shipdate), l_extendedprice FROM lineitem")
+def _(s, d):
+    a = table(s, d, "orders").select(timing.micros("o_orderdate").alias("pts"), F.col("o_totalprice").alias("v"))
+    b = table(s, d, "lineitem").select(timing.micros("l_shipdate").alias("pts"), F.col("l_extendedprice").alias("v"))
+    return timing.interleave(a, b)
+
+
+BOUNDS = [1704326400000000, 1705276800000000, 1706000000000000]
+register("segment_bounds", f"{S} SELECT (pts >= {BOUNDS[0]})::INT + (pts >= {BOUNDS[1]})::INT + (pts >= {BOUNDS[2]})::INT AS segment, count(*) AS n FROM s GROUP BY 1")(
+    lambda s, d: timing.segment(stream(s, d), BOUNDS).groupBy("segment").agg(F.count("*").alias("n"))
+)
+register(
+    "reverse_stream",
+    f"{S}, a AS (SELECT *, row_number() OVER {W} AS n, row_number() OVER (PARTITION BY user_id ORDER BY pts DESC) AS m FROM s) SELECT a.event_id, a.pts, b.v FROM a JOIN a b ON a.user_id = b.user_id AND a.n = b.m",
+)(lambda s, d: timing.reverse(stream(s, d), "user_id").select("event_id", "pts", "v"))
+register(
+    "loop_k",
+    f"""{S}, a AS (SELECT user_id, v, row_number() OVER {W} - 1 AS n, least(5, count(*) OVER (PARTITION BY user_id)) AS h FROM s)
+    SELECT user_id, n + r * h AS position, v FROM (SELECT *, unnest(CASE WHEN n < 5 THEN [0, 1, 2] ELSE [2] END) AS r FROM a)""",
+)(lambda s, d: timing.loop(stream(s, d), 2, 5, "user_id"))
+register("dedup_vfr", "WITH o AS (SELECT o_custkey, epoch_us(o_orderdate) AS pts, o_totalprice AS v FROM orders) SELECT o_custkey, pts, min(v) AS v FROM o GROUP BY ALL")(
+    lambda s, d: timing.dedup(table(s, d, "orders").select("o_custkey", timing.micros("o_orderdate").alias("pts"), F.col("o_totalprice").alias("v")), "o_custkey").select("o_custkey", "pts", "v")
+)
+
+
+def _two(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    e = stream(s, d)
+    return e.filter("event_type = 'click'").select("user_id", "pts", "v"), e.filter("event_type = 'view'").select("user_id", "pts", "v")
+
+
+TWO = f"{S}, a AS (SELECT user_id, pts, v FROM s WHERE event_type = 'click'), b AS (SELECT user_id, pts, v FROM s WHERE event_type = 'view'), m AS (SELECT user_id, max(pts) AS e FROM b GROUP BY 1)"
+JOINED = "FROM a ASOF LEFT JOIN b ON a.user_id = b.user_id AND a.pts >= b.pts"
+register("asof_backward", f"{TWO} SELECT a.user_id, a.pts, a.v, b.pts AS other_pts, b.v AS other_v {JOINED}")(lambda s, d: align.asof(*_two(s, d), "user_id"))
+register(
+    "asof_nearest",
+    f"""{TWO}, p AS (SELECT a.*, b.pts AS bp, b.v AS bv {JOINED}),
+    q AS (SELECT p.*, b.pts AS np, b.v AS nv FROM p ASOF LEFT JOIN b ON p.user_id = b.user_id AND p.pts <= b.pts)
+    SELECT user_id, pts, v, CASE WHEN bp IS NULL OR np - pts < pts - bp THEN np ELSE bp END AS other_pts, CASE WHEN bp IS NULL OR np - pts < pts - bp THEN nv ELSE bv END AS other_v FROM q""",
+)(lambda s, d: align.asof(*_two(s, d), "user_id", mode="nearest"))
+register("framesync_pass", f"{TWO} SELECT a.user_id, a.pts, a.v, CASE WHEN a.pts <= e THEN b.pts END AS other_pts, CASE WHEN a.pts <= e THEN b.v END AS other_v {JOINED} LEFT JOIN m ON m.user_id = a.user_id")(
+    lambda s, d: align.asof(*_two(s, d), "user_id", eof="pass")
+)
+register("framesync_shortest", f"{TWO} SELECT a.user_id, a.pts, a.v, b.pts AS other_pts, b.v AS other_v {JOINED} JOIN m ON m.user_id = a.user_id WHERE a.pts <= e")(
+    lambda s, d: align.asof(*_two(s, d), "user_id", eof="endall")
+)
+PAIRS = f"{TWO}, p AS (SELECT x.user_id, x.n, x.v AS a, y.v AS b FROM (SELECT *, row_number() OVER {W} - 1 AS n FROM a) x JOIN (SELECT *, row_number() OVER {W} - 1 AS n FROM b) y ON x.user_id = y.user_id AND x.n = y.n)"
+register("lockstep_join", f"{PAIRS} SELECT user_id, n, a, b FROM p")(lambda s, d: align.lockstep(*_two(s, d), "user_id"))
+
+
+@register(
+    "interval_join",
+    f"{S}, c AS (SELECT o_orderkey AS cue, epoch_us(o_orderdate) AS b FROM orders WHERE o_orderkey % 97 = 0), lo AS (SELECT min(pts) AS m FROM s), q AS (SELECT cue, m + (b % 2592000000000) AS b FROM c, lo) SELECT pts, v, cue FROM s JOIN q ON b <= pts AND pts < b + {6 * HOUR}",
+)
+def _(s, d):
+    e = stream(s, d).select("pts", "v")
+    low = e.agg(F.min("pts")).first()[0]
+    start = F.lit(low) + timing.micros("o_orderdate") % 2592000000000
+    cues = table(s, d, "orders").filter("o_orderkey % 97 = 0").select(F.col("o_orderkey").alias("cue"), start.alias("start"), (start + 6 * HOUR).alias("end"))
+    return align.intervals(e, cues, 6 * HOUR)
+
+
+register("map_include", "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")(
+    lambda s, d: table(s, d, "documents").join(table(s, d, "labels").filter("quality = 1"), "doc_id", "left_semi").select("doc_id", "lang")
+)
+register("map_exclude", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")(
+    lambda s, d: table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left_anti").select("doc_id", "lang")
+)
+
+R4 = lambda c: F.round(c + 1e-7, 4)
+register("tmix_3", f"{S} SELECT event_id, round(avg(v) OVER (PARTITION BY user_id ORDER BY pts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS v FROM s")(
+    lambda s, d: windows.tmix(stream(s, d), 3, "user_id").select("event_id", R4(F.col("v")).alias("v"))
+)
+register("tmedian_r1", f"{S}, a AS (SELECT event_id, list_sort(list(v) OVER (PARTITION BY user_id ORDER BY pts ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) AS l FROM s) SELECT event_id, l[(len(l) + 1) // 2] AS v FROM a")(
+    lambda s, d: windows.tmedian(stream(s, d), 1, "user_id").select("event_id", "v")
+)
+register(
+    "lagfun_095",
+    f"{S}, n AS (SELECT *, row_number() OVER {W} AS n FROM s) SELECT a.event_id, round(max(b.v * pow(0.95, a.n - b.n)), 4) AS v FROM n a JOIN n b ON a.user_id = b.user_id AND b.n BETWEEN a.n - 120 AND a.n GROUP BY a.event_id",
+)(lambda s, d: windows.lagfun(stream(s, d), 0.95, "user_id", 120).select("event_id", R4(F.col("v")).alias("v")))
+register("aderivative", f"{S} SELECT event_id, round(v - lag(v) OVER {W}, 4) AS dv FROM s")(lambda s, d: stream(s, d).select("event_id", R4(windows.difference("user_id")).alias("dv")))
+register("aintegral", f"{S} SELECT event_id, round(sum(v) OVER (PARTITION BY user_id ORDER BY pts ROWS UNBOUNDED PRECEDING), 3) AS total FROM s")(
+    lambda s, d: stream(s, d).select("event_id", F.round(F.sum("v").over(timing.ordered("user_id").rowsBetween(Window.unboundedPreceding, 0)), 3).alias("total"))
+)
+register(
+    "scdet_score",
+    f"{S}, a AS (SELECT *, abs(v - lag(v) OVER {W}) AS d FROM s), b AS (SELECT *, lag(d) OVER {W} AS p FROM a) SELECT event_id, round(coalesce(CASE WHEN d = p THEN 0 ELSE d END, 0), 4) AS score FROM b",
+)(lambda s, d: windows.scene_score(stream(s, d), "user_id").select("event_id", R4(F.col("score")).alias("score")))
+register(
+    "silencedetect",
+    f"""{S}, a AS (SELECT *, v < 60 AS h, row_number() OVER {W} AS n FROM s), b AS (SELECT *, n - row_number() OVER (PARTITION BY user_id, h ORDER BY pts) AS g FROM a)
+    SELECT user_id, min(pts) AS "start", max(pts) AS "end", count(*) AS records FROM b WHERE h GROUP BY user_id, g""",
+)(lambda s, d: windows.runs(stream(s, d), F.col("v") < 60, "user_id"))
+register(
+    "freezedetect",
+    f"""{S}, a AS (SELECT *, coalesce(abs(v - lag(v) OVER {W}) <= 20, false) AS h, lag(pts) OVER {W} AS pp, lead(pts) OVER {W} AS np, row_number() OVER {W} AS n FROM s),
+    b AS (SELECT *, n - row_number() OVER (PARTITION BY user_id, h ORDER BY pts) AS g FROM a)
+    SELECT user_id, min(pp) AS freeze_start, arg_max(np, pts) FILTER (WHERE pts = mx) AS freeze_end FROM (SELECT *, max(pts) OVER (PARTITION BY user_id, h, g) AS mx FROM b) WHERE h GROUP BY user_id, g HAVING max(pts) - min(pp) >= {2 * HOUR}""",
+)(lambda s, d: windows.freezedetect(stream(s, d), 20.0, 2 * HOUR, "user_id"))
+register("vfrdet", f"{S}, a AS (SELECT *, pts - lag(pts) OVER {W} AS d FROM s), b AS (SELECT *, lag(d) OVER {W} AS p FROM a) SELECT user_id, count(*) FILTER (WHERE d <> p) AS changed, count(*) FILTER (WHERE d = p) AS same FROM b WHERE p IS NOT NULL GROUP BY 1")(
+    lambda s, d: windows.vfrdet(stream(s, d), "user_id")
+)
+register(
+    "decimate_5",
+    f"""{S}, a AS (SELECT *, coalesce(abs(v - lag(v) OVER {W}), 'inf') AS d, row_number() OVER {W} - 1 AS n FROM s)
+    SELECT event_id, v FROM a QUALIFY row_number() OVER (PARTITION BY user_id, n // 5 ORDER BY d, n) > 1 OR count(*) OVER (PARTITION BY user_id, n // 5) < 5""",
+)(lambda s, d: windows.decimate(stream(s, d), 5, "user_id").select("event_id", "v"))
+register(
+    "astats",
+    f"{S} SELECT user_id, round(avg(v), 4) AS dc_offset, min(v) AS min_level, max(v) AS max_level, round(20 * log10(max(abs(v))), 4) AS peak_db, round(20 * log10(sqrt(avg(v * v))), 4) AS rms_db, round(max(abs(v)) / sqrt(avg(v * v)), 4) AS crest, count(v) AS samples FROM s GROUP BY 1",
+)(lambda s, d: stats.astats(stream(s, d), "user_id").select("user_id", "min_level", "max_level", "samples", *[R4(F.col(c)).alias(c) for c in ("dc_offset", "peak_db", "rms_db", "crest")]))
+register("zero_crossings", f"{S}, a AS (SELECT *, (v >= 100) <> lag(v >= 100) OVER {W} AS c FROM s) SELECT user_id, count(*) FILTER (WHERE c) AS crossings FROM a GROUP BY 1")(
+    lambda s, d: stats.zero_crossings(stream(s, d), "user_id", 100.0)
+)
+register("histogram", f"{S} SELECT CAST(floor(v / 8) AS BIGINT) AS bin, count(*) AS n FROM s WHERE v >= 0 AND v < 512 GROUP BY 1")(lambda s, d: stats.histogram(stream(s, d), 0.0, 512.0, 64))
+register(
+    "entropy_hist",
+    f"{S}, h AS (SELECT user_id, floor(v / 8) AS k, count(*) AS n FROM s WHERE v >= 0 AND v < 512 GROUP BY 1, 2) SELECT user_id, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 4) AS entropy FROM h GROUP BY 1",
+)(lambda s, d: stats.entropy(stream(s, d), 0.0, 512.0, 64, "user_id").select("user_id", R4(F.col("entropy")).alias("entropy")))
+register(
+    "psnr_msad_identity",
+    f"{PAIRS} SELECT user_id, round(avg((a-b)*(a-b)), 4) AS mse, round(avg(abs(a-b)), 4) AS msad, round(10*log10(512.0*512.0/avg((a-b)*(a-b))), 4) AS psnr, round(10*log10(sum(a*a)/sum((a-b)*(a-b))), 4) AS sdr, avg((a = b)::INT) AS identity FROM p GROUP BY 1",
+)(lambda s, d: stats.error_measures(align.lockstep(*_two(s, d), "user_id"), "user_id", 512.0).select("user_id", "identity", *[R4(F.col(c)).alias(c) for c in ("mse", "msad", "psnr", "sdr")]))
+register("palette_topk", "SELECT p_type, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_type LIMIT 16")(lambda s, d: stats.palette(table(s, d, "part"), "p_type", 16))
+register(
+    "gated_loudness",
+    f"""{S}, b AS (SELECT user_id, pts // {24 * HOUR} AS k, avg(v * v) AS z FROM s GROUP BY 1, 2 HAVING avg(v * v) > pow(10, 1.0)), m AS (SELECT *, avg(z) OVER (PARTITION BY user_id) AS m FROM b)
+    SELECT user_id, round(10 * log10(avg(z)), 4) AS loudness, count(*) AS blocks FROM m WHERE z > m * 0.1 GROUP BY 1""",
+)(lambda s, d: stats.gated_loudness(stream(s, d), "user_id", 24 * HOUR, 10, 10).select("user_id", R4(F.col("loudness")).alias("loudness"), "blocks"))
+
+#: SQL of the blend modes over a and b, bigints of 0 to 255.
+BLEND_SQL = {
+    "addition": "a+b", "and": "a&b", "average": "(a+b)//2", "darken": "least(a,b)", "difference": "abs(a-b)", "dodge": "ceil(256*b/(256-a))", "exclusion": "a+b-(2*a*b)//255",
+    "divide": "floor(256*a/(b+1)+0.5)", "burn": "CASE WHEN a=0 THEN 0 ELSE 255-floor((255-b)*256/a) END", "hardlight": "CASE WHEN a<128 THEN (2*a*b)//255 ELSE 255-(2*(255-a)*(255-b))//255 END",
+    "overlay": "CASE WHEN b<128 THEN (2*a*b)//255 ELSE 255-(2*(255-a)*(255-b))//255 END", "lighten": "greatest(a,b)", "multiply": "(a*b)//255", "multiply128": "128+floor((a-128)*b/32)",
+    "negation": "255-abs(255-a-b)", "normal": "a", "or": "a|b", "screen": "255-((255-a)*(255-b))//255", "subtract": "a-b", "xor": "xor(a,b)",
+}
+
+
+def _blend(mode: str):
+    def run(s: SparkSession, d: str) -> DataFrame:
+        e = stream(s, d).select("event_id", (F.col("v").cast("long") % 256).alias("a"), (F.col("event_id") % 256).alias("b"))
+        return e.select("event_id", elementwise.blend(mode, F.col("a"), F.col("b")).cast("long").alias("c"))
+
+    return run
+
+
+for _mode, _sql in BLEND_SQL.items():
+    register(f"blend_{_mode}", f"WITH e AS (SELECT event_id, CAST(trunc(value) AS BIGINT) % 256 AS a, event_id % 256 AS b FROM events) SELECT event_id, CAST(greatest(0, least(255, {_sql})) AS BIGINT) AS c FROM e")(_blend(_mode))
+
+CLIP_SQL = {
+    "tanh": "tanh(u)", "atan": "atan(u)*2/pi()", "alg": "u/sqrt(1+u*u)", "cubic": "CASE WHEN abs(u)>=1.5 THEN sign(u) ELSE u-4.0/27*u*u*u END",
+    "quintic": "CASE WHEN abs(u)>=1.25 THEN sign(u) ELSE u-0.08192*pow(u,5) END", "sin": "CASE WHEN abs(u)>=pi()/2 THEN sign(u) ELSE sin(u) END",
+}
+for _kind, _sql in CLIP_SQL.items():
+    register(f"asoftclip_{_kind}", f"SELECT event_id, round({_sql}, 6) AS v FROM (SELECT event_id, (value - 245) / 150 AS u FROM events)")(
+        lambda s, d, kind=_kind: stream(s, d).select("event_id", F.round(elementwise.soft_clip(kind, (F.col("v") - 245) / 150), 6).alias("v"))
+    )
+
+#: Expressions of the scalar language over v, and their SQL.
+EXPRESSIONS = {
+    "arith": ("(v-100)*2/4+1", "(v-100)*2/4+1"), "power": ("2^3^2+v*0", "64+v*0"), "neg_power": ("-2^2+v", "v-4"), "clip": ("clip(v,50,150)", "least(150,greatest(50,v))"),
+    "mod": ("mod(v,7)", "v-floor(v/7)*7"), "cond": ("if(gt(v,200),1,ifnot(lt(v,50),2,3))", "CASE WHEN v>200 THEN 1 WHEN v<50 THEN 3 ELSE 2 END"), "lerp": ("lerp(v,100,0.25)", "v+0.25*(100-v)"),
+    "trig": ("sin(v)+cos(v)*tan(0.5)", "sin(v)+cos(v)*tan(0.5)"), "hyper": ("tanh(v/500)+atan2(v,3)", "tanh(v/500)+atan2(v,3)"), "round": ("round(v)+floor(v)-ceil(v)+trunc(v)", "floor(v+0.5)+floor(v)-ceil(v)+trunc(v)"),
+    "gcd": ("gcd(floor(v),12)", "gcd(CAST(floor(v) AS BIGINT),12)"), "bits": ("bitand(floor(v),15)+bitor(floor(v),16)", "(CAST(floor(v) AS BIGINT)&15)+(CAST(floor(v) AS BIGINT)|16)"),
+    "log": ("log(v)+exp(0-v/100)+sqrt(v)", "ln(v)+exp(0-v/100)+sqrt(v)"), "minmax": ("max(min(v,300),20)", "greatest(least(v,300),20)"), "hypot": ("hypot(v,3)+gauss(0)+squish(0)", "sqrt(v*v+9)+1/sqrt(2*pi())+0.5"),
+    "units": ("v*1k+2Ki", "v*1000+2048"),
+}
+for _name, (_text, _sql) in EXPRESSIONS.items():
+    register(f"expr_{_name}", f"{S} SELECT event_id, round(CAST({_sql} AS DOUBLE), 5) AS x FROM s")(
+        lambda s, d, text=_text: stream(s, d).select("event_id", F.round(to_column(text, {"v": F.col("v")}), 5).alias("x"))
+    )
+
+DB6 = repr(10 ** (6 / 20))
+register("volume_gain", f"{S} SELECT event_id, round(v * {DB6}, 4) AS v FROM s")(lambda s, d: stream(s, d).select("event_id", R4(elementwise.gain(F.col("v"), 6.0)).alias("v")))
+E = "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"
+
+
+def _channels(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+
+
+register("pan_matrix", f"{E} SELECT vec_id, round(0.5*x[1]+0.5*x[2], 6) AS c0, round(x[3]-0.25*x[4], 6) AS c1 FROM e")(
+    lambda s, d: _channels(s, d).select("vec_id", elementwise.pan(F.col("x"), [[0.5, 0.5], [0, 0, 1.0, -0.25]]).alias("c")).select("vec_id", F.round(F.col("c")[0], 6).alias("c0"), F.round(F.col("c")[1], 6).alias("c1"))
+)
+register("channelsplit", f"{E} SELECT vec_id, generate_subscripts(x, 1) - 1 AS channel, unnest(x) AS v FROM e")(lambda s, d: _channels(s, d).select("vec_id", F.posexplode("x").alias("channel", "v")).withColumn("channel", F.col("channel").cast("long")))
+
+
+@register("extrastereo", f"{E} SELECT vec_id, round((x[1]+x[2])/2 + 2.5*(x[1]-(x[1]+x[2])/2), 6) AS l, round((x[1]+x[2])/2 + 2.5*(x[2]-(x[1]+x[2])/2), 6) AS r FROM e")
+def _(s, d):
+    left, right = elementwise.extrastereo(F.col("x")[0], F.col("x")[1], 2.5)
+    return _channels(s, d).select("vec_id", F.round(left, 6).alias("l"), F.round(right, 6).alias("r"))
+
+
+def _mixed(longest: bool):
+    def run(s: SparkSession, d: str) -> DataFrame:
+        e = _channels(s, d).select("vec_id", "x", F.slice("x", 1, 40).alias("y"))
+        m: Column = elementwise.mix(F.col("x"), F.col("y"), longest)
+        return e.select("vec_id", F.size(m).cast("long").alias("n"), F.round(F.aggregate(m, F.lit(0.0), lambda a, z: a + z), 4).alias("total"))
+
+    return run
+
+
+register("amix_longest", f"{E} SELECT vec_id, len(x) AS n, round(list_sum(x), 4) AS total FROM e")(_mixed(True))
+register("amix_shortest", f"{E} SELECT vec_id, least(len(x), 40) AS n, round(list_sum(x[1:40]), 4) AS total FROM e")(_mixed(False))
+
+
+def _payloads(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", F.col("text").alias("payload"))
+
+
+register("framehash_md5", "SELECT doc_id, md5(text) AS hash FROM documents")(lambda s, d: packets.frame_hash(_payloads(s, d), "md5").select("doc_id", "hash"))
+register("framehash_sha256", "SELECT doc_id, sha256(text) AS hash FROM documents")(lambda s, d: packets.frame_hash(_payloads(s, d), "sha256").select("doc_id", "hash"))
+register("framecrc_adler32")(lambda s, d: packets.frame_hash(_payloads(s, d), "adler32").select("doc_id", "hash"))
+
+
+def _log(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "conversations")
+
+
+register("show_entries_prune", "SELECT conv_id, turn FROM conversations")(lambda s, d: packets.show_entries(_log(s, d), "turn,conv_id"))
+register("read_intervals", "SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 2")(lambda s, d: packets.read_intervals(_log(s, d), "conv_id", "turn", 2).select("conv_id", "turn"))
+register("probe_compact", "SELECT conv_id, turn, 'packet|conv_id=' || conv_id || '|turn=' || turn || '|role=' || role AS line FROM conversations")(
+    lambda s, d: _log(s, d).select("conv_id", "turn", packets.compact(["conv_id", "turn", "role"]).alias("line"))
+)
+register("probe_csv", "SELECT conv_id, turn, 'packet,' || conv_id || ',' || role || ',' || CASE WHEN regexp_matches(text, '[,\"\n]') THEN '\"' || replace(text, '\"', '\"\"') || '\"' ELSE text END AS line FROM conversations")(
+    lambda s, d: _log(s, d).select("conv_id", "turn", packets.csv_line(["conv_id", "role", "text"]).alias("line"))
+)
+register("probe_flat", "SELECT conv_id, turn, 'p.conv_id=\"' || conv_id || '\"' || chr(10) || 'p.role=\"' || role || '\"' AS line FROM conversations")(
+    lambda s, d: _log(s, d).select("conv_id", "turn", packets.flat(["conv_id", "role"], "p").alias("line"))
+)
+register("metadata_select", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) > 50")(
+    lambda s, d: table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")).filter("k > 50")
+)
+register("chomp_bsf", "SELECT doc_id, length(rtrim(text)) AS size FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", F.length(F.rtrim("text")).cast("long").alias("size")))
