@@ -14,11 +14,11 @@ def decibels(x: Column) -> Column:
 
 
 def astats(stream: DataFrame, by: str) -> DataFrame:
-    """Level statistics of each stream: mean, least, greatest, peak and RMS level in dB, crest factor, records."""
+    """Level statistics of each stream: mean, least, greatest, peak and RMS level in dB, crest factor (null for silence), records."""
     rms, peak = F.sqrt(F.avg(F.col("v") * F.col("v"))), F.max(F.abs("v"))
     return stream.groupBy(by).agg(
         F.avg("v").alias("dc_offset"), F.min("v").alias("min_level"), F.max("v").alias("max_level"), decibels(peak).alias("peak_db"), decibels(rms).alias("rms_db"),
-        (peak / rms).alias("crest"), F.count("v").alias("samples"),
+        F.try_divide(peak, rms).alias("crest"), F.count("v").alias("samples"),
     )
 
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import zlib
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def frame_hash(packets: DataFrame, kind: str = "md5") -> DataFrame:
@@ -18,10 +17,15 @@ def frame_hash(packets: DataFrame, kind: str = "md5") -> DataFrame:
     return packets.withColumn("hash", makers[kind](data))
 
 
-@F.pandas_udf("string")
-def adler32(payload: pd.Series) -> pd.Series:
-    """Adler-32 with a zero start, as the per-packet checksum sinks write it."""
-    return payload.map(lambda b: None if b is None else f"{zlib.adler32(b, 0):08x}")
+def adler32(payload: Column) -> Column:
+    """Adler-32 with a zero start, as the per-packet checksum sinks write it. No built-in function has it."""
+
+    def each(values: pd.Series) -> pd.Series:
+        import zlib
+
+        return values.map(lambda b: None if b is None else f"{zlib.adler32(b, 0):08x}")
+
+    return F.pandas_udf(each, T.StringType())(payload)
 
 
 def show_entries(packets: DataFrame, entries: str) -> DataFrame:
