@@ -79,7 +79,7 @@ def fit(sample: np.ndarray, trees: int, leaf: int, seed: int = 11) -> Forest:
             else:
                 children[parent][which] = node
     dim = sample.shape[1] if sample.ndim == 2 else 0
-    return Forest(np.array(normals).reshape(-1, dim), np.array(offsets), np.array(children, np.int64).reshape(-1, 2), np.array(roots, np.int64), np.array(counts, np.int64))
+    return Forest(np.array(normals).reshape(len(normals), dim), np.array(offsets), np.array(children, np.int64).reshape(-1, 2), np.array(roots, np.int64), np.array(counts, np.int64))
 
 
 def leaves_of(forest: Forest, x: np.ndarray) -> np.ndarray:
