@@ -2,8 +2,9 @@
 
 The trees are fitted on a bounded sample of the vectors, every vector is indexed in each. A query walks all trees
 through one priority queue, ordered by the least margin on the way to a node, until the leaves it reached promise
-enough candidates. Leaves and their queries meet by an equality join on (tree, leaf, part), where large leaves are dealt to
-several parts; there the candidates are ranked by exact distances, and a query's lists are merged.
+enough candidates. Neighbouring leaves form groups of a fixed number; groups and queries meet by an equality join on
+(group, part), where large groups are dealt to several parts. There the candidates of the leaves that a query reached
+are ranked by exact distances, and a query's lists are merged: as many rows as it met groups, whatever their size.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from ._arrow import bound_batches
 
-#: Vectors that one part of a leaf holds, about.
-PART = 4096
+#: Vectors that one part of a group of leaves holds, about; and groups of leaves for each tree.
+PART, GROUPS = 32_768, 16
 
 
 @dataclass
@@ -146,8 +147,12 @@ def calibrated_share(forest: Forest, sample: np.ndarray, k: int, target: float,
     return 2.0 * trees
 
 
-def nearest(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, distance) of the k nearest of ``x`` to each query, its own id apart; ties go to smaller ids."""
+def nearest(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, leaves: np.ndarray | None = None, reached: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, id, distance) of the k nearest of ``x`` to each query, its own id apart; ties go to smaller ids.
+
+    leaves: that of each of ``x``; reached: the leaves whose vectors count for each query."""
+    if leaves is not None:
+        known, at_leaf = np.unique(leaves, return_inverse=True)
     out: list[tuple] = []
     for at in range(0, len(queries), 64):
         q = queries[at : at + 64]
@@ -155,6 +160,9 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.n
         rough = (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None] - 2 * (q @ x.T)
         own = query_ids[at : at + 64, None] == ids[None]
         rough[own] = np.inf
+        if leaves is not None:
+            for j in range(len(q)):
+                rough[j, ~np.isin(known, reached[at + j])[at_leaf]] = np.inf
         for j in range(len(q)):
             row = rough[j]
             if len(row) > k:
@@ -225,22 +233,28 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = 8, le
     # single precision is how they came: half the bytes to shuffle, and nothing is lost
     rows = own.mapInArrow(index, kind).select("vec_id", F.col("v").cast("array<float>" if single else "array<double>").alias("v"), F.explode("leaves").alias("leaf"))
     asked = own.filter(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"]).mapInArrow(ask, kind).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode("leaves").alias("leaf"))
-    # parts of each leaf: counts of vectors, combined before the shuffle; as many rows as the forest has leaves
-    sizes = own.mapInArrow(index, kind).select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect()
-    parts = {r["leaf"]: -(-r["count"] // PART) for r in sizes if r["count"] > PART}
+    # groups of neighbouring leaves; their parts by counts, combined before the shuffle: as many rows as groups
+    n_leaves, n_groups = len(planes.counts), trees * GROUPS
+    of = lambda c: F.floor(c * n_groups / n_leaves)
+    rows = rows.withColumn("group", of(F.col("leaf")))
+    asked = asked.groupBy("query_id", of(F.col("leaf")).alias("group")).agg(F.first("q").alias("q"), F.collect_set("leaf").alias("reached"))
+    sizes = own.mapInArrow(index, kind).select(F.explode("leaves").alias("leaf")).groupBy(of(F.col("leaf")).alias("group")).count().collect()
+    parts = {r["group"]: -(-r["count"] // PART) for r in sizes if r["count"] > PART}
     if parts:
-        dealt = F.broadcast(spark.createDataFrame(list(parts.items()), "leaf long, parts long"))
+        dealt = F.broadcast(spark.createDataFrame(list(parts.items()), "group long, parts long"))
         some = F.coalesce("parts", F.lit(1).cast("long"))
-        rows = rows.join(dealt, "leaf", "left").withColumn("part", F.pmod(F.xxhash64("vec_id"), some)).drop("parts")
-        asked = asked.join(dealt, "leaf", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), some - 1))).drop("parts")
+        rows = rows.join(dealt, "group", "left").withColumn("part", F.pmod(F.xxhash64("vec_id"), some)).drop("parts")
+        asked = asked.join(dealt, "group", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), some - 1))).drop("parts")
     else:
         rows, asked = (x.withColumn("part", F.lit(0).cast("long")) for x in (rows, asked))
 
     def rank(q: pa.Table, x: pa.Table) -> pa.Table:
-        a, b, d = nearest(_matrix(q.column("q")), q.column("query_id").to_numpy(), _matrix(x.column("v")), x.column("vec_id").to_numpy(), k) if q.num_rows and x.num_rows else ([], [], [])
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.float64())], names=["query_id", "vec_id", "score"])
+        found = ([], [], [])
+        if q.num_rows and x.num_rows:
+            found = nearest(_matrix(q.column("q")), q.column("query_id").to_numpy(), _matrix(x.column("v")), x.column("vec_id").to_numpy(), k, x.column("leaf").to_numpy(), q.column("reached").to_pylist())
+        return pa.table([pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
-    found = asked.groupBy("leaf", "part").cogroup(rows.groupBy("leaf", "part")).applyInArrow(rank, "query_id long, vec_id long, score double")
+    found = asked.groupBy("group", "part").cogroup(rows.groupBy("group", "part")).applyInArrow(rank, "query_id long, vec_id long, score double")
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return best.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
