@@ -186,7 +186,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str | None = None, e
             yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "path": [name], "n_docs": [len(writer.doc_ids)], "n_tokens": [writer.n_tokens]})
 
     ranged = id_and_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    shards = ranged.mapInArrow(run, "shard long, path string, n_docs long, n_tokens long").orderBy("shard").collect()
+    # sorted here: a distributed sort of so few rows would sample, and so write, the shards twice
+    shards = sorted(ranged.mapInArrow(run, "shard long, path string, n_docs long, n_tokens long").collect())
     start, rows = 0, []
     for s in shards:
         rows.append((s["path"], s["n_docs"], s["n_tokens"], start))
