@@ -198,6 +198,34 @@ def test_near_duplicates(spark, small, monkeypatch):
     assert simhash.one_of_each(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [256, 4])
+def test_exact_links(spark, block, monkeypatch):
+    rng = random.Random(8)
+    monkeypatch.setattr(simhash, "BLOCK_DOCS", block)
+    texts = {}
+    for g in range(6):
+        base = [f"w{rng.randrange(50)}" for _ in range(60)]
+        for c in range(6):
+            own = list(base)
+            for _ in range(c):
+                own[rng.randrange(60)] = f"x{rng.randrange(1000)}"
+            texts[len(texts)] = " ".join(own)
+    texts |= {90: "one", 91: "one", 92: "ONE", 93: "two words", 94: ""}
+    sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for k, t in texts.items()}
+    edges = [(a, b) for a in sets for b in sets if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = {k: k for k in texts}
+    for _ in texts:
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    docs = spark.createDataFrame([*texts.items(), (None, "one"), (95, None)], "doc_id long, text string").withColumn("slot", F.lit("clash"))
+    together = spark.createDataFrame([(k, 7) for k in texts], "node long, component long")
+    found = components.connected_components(simhash.exact_links(docs, together, 5, 0.8)).collect()
+    assert {k: k for k in texts} | {r["node"]: r["component"] for r in found} == want
+    assert len(set(want.values())) < len(texts) - 6
+    assert simhash.exact_links(docs.limit(0), together, 5, 0.8).count() == 0
+    assert simhash.exact_links(docs, together.limit(0), 5, 0.8).count() == 0
+
+
 def test_wide_links_in_blocks(spark):
     rng = random.Random(9)
     base = [rng.getrandbits(64) for _ in range(4)]

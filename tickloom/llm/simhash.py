@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._arrow import bound_batches, id_and_text, slices
+from ._arrow import bound_batches, id_and_text, ragged, slices
 from ._shared import written
 from .components import connected_components
 
@@ -215,20 +215,27 @@ def classes(docs: DataFrame, words: int = 3, distance: int = 2, small: int = SMA
     return own.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# Near-duplicates of a given similarity: wide fingerprints, one-wildcard variants of shorter segments.
+# Near-duplicates of a given similarity: wide fingerprints, one-wildcard variants of shorter segments, exact verification.
 
-#: Bits of a segment, and 64-bit parts of a wide fingerprint.
-SEGMENT, PARTS = 21, 4
+#: Bits of a segment, 64-bit parts of a wide fingerprint, and how many of these go with each variant to be compared.
+SEGMENT, PARTS, COMPARED = 21, 5, 2
 WIDE = [f"f{k}" for k in range(PARTS)]
+#: Slots of the filter of candidates' ids: its size is fixed, once it is full it lets all rows pass.
+SLOTS = 1 << 20
+#: Documents and shingles that a block of candidates holds, about.
+BLOCK_DOCS, BLOCK_SHINGLES = 256, 1 << 19
 
 
-def distance_of(similarity: float, bits: int = 64 * PARTS) -> int:
-    """Expected differing bits at a Jaccard similarity: sets of one size have the cosine 2J / (1 + J)."""
-    return round(bits * float(np.arccos(min(1.0, 2 * similarity / (1 + similarity)))) / np.pi)
+def distance_of(similarity: float, bits: int = 64 * COMPARED, deviations: float = 2.0) -> int:
+    """Differing bits that pairs of a Jaccard similarity rarely exceed: by more than ``deviations``.
+
+    Sets of one size have the cosine 2J / (1 + J); each bit differs by the angle's share of a half turn."""
+    p = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity)))) / np.pi
+    return round(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)
 
 
 def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, f0 .. f3) of each row; null texts count as empty."""
+    """(doc_id, and the parts f0, f1 ..) of each row; null texts count as empty."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,30 +246,32 @@ def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in WIDE))
 
 
-def _wide_segments():
+def _wide_segments(parts: list[str]):
     """(number, value) of each segment: three of 21 bits from each part; a part's highest bit is left out."""
-    return [(3 * k + j, F.shiftrightunsigned(c, SEGMENT * j).bitwiseAND(F.lit((1 << SEGMENT) - 1))) for k, c in enumerate(WIDE) for j in range(3)]
+    return [(3 * k + j, F.shiftrightunsigned(c, SEGMENT * j).bitwiseAND(F.lit((1 << SEGMENT) - 1))) for k, c in enumerate(parts) for j in range(3)]
 
 
 def wide_links(fps: DataFrame, limit: int, small: int = SMALL) -> DataFrame:
-    """(a, b) of ids that differ in at most ``limit`` of all bits, transitively. fps: id, f0 .. f3.
+    """(a, b) of ids that differ in at most ``limit`` of the compared bits, transitively. fps: id, and the parts of a fingerprint.
 
-    Every pair that differs in 23 bits or fewer shares a variant; a pair with more does with a probability that falls
-    with the distance. Buckets that may hold over ``small`` are dealt to blocks, and each two blocks of a bucket
+    Every pair that differs in 29 bits or fewer of all parts shares a variant; a pair with more does with a probability
+    that falls with the distance. Buckets that may hold over ``small`` are dealt to blocks, and each two blocks of a bucket
     meet in a task: all pairs are compared, none is gathered or emitted beyond a spanning forest.
     """
-    segments = F.array(*[F.struct(F.lit(n).cast("long").alias("s"), v.alias("value")) for n, v in _wide_segments()])
-    halves = fps.select("id", *WIDE, F.explode(segments).alias("h")).select("id", *WIDE, "h.s", "h.value")
+    parts = [c for c in fps.columns if c != "id"]
+    compared = parts[:COMPARED]
+    segments = F.array(*[F.struct(F.lit(n).cast("long").alias("s"), v.alias("value")) for n, v in _wide_segments(parts)])
+    halves = fps.select("id", *parts, F.explode(segments).alias("h")).select("id", *compared, "h.s", "h.value")
     cell = lambda d: d.withColumn("key", F.expr(f"shiftleft(s * {SEGMENT} + w, {SEGMENT}) | (value & ~shiftleft(1L, cast(w as int)))"))
     places = F.explode(F.expr(f"sequence(0L, {SEGMENT - 1}L)"))
     heavy = halves.groupBy("s", "value").count().filter(F.col("count") > small // 2).withColumn("w", places)
     hot = written(cell(heavy).groupBy("key").agg(F.sum("count").alias("n")).select("key", F.ceil(F.col("n") / (small // 2) + 1).alias("blocks")), "hot-keys")
-    rows = cell(halves.withColumn("w", places)).select("key", "id", *WIDE)
+    rows = cell(halves.withColumn("w", places)).select("key", "id", *compared)
     if not hot.isEmpty():
         mine = F.pmod(F.xxhash64("id"), F.col("blocks"))
         rows = rows.join(hot, "key", "left").withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
         pair = F.when(F.col("other") < 0, F.col("key")).otherwise(F.xxhash64("key", F.least(mine, "other"), F.greatest(mine, "other")))
-        rows = rows.select(pair.alias("key"), "id", *WIDE)
+        rows = rows.select(pair.alias("key"), "id", *compared)
 
     def links(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
@@ -279,9 +288,9 @@ def wide_links(fps: DataFrame, limit: int, small: int = SMALL) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, PARTS), "<u8")]
+        held: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, COMPARED), "<u8")]
         for batch in batches:
-            new = [batch.column("key").to_numpy(), batch.column("id").to_numpy(), np.stack([batch.column(c).to_numpy() for c in WIDE], axis=1).view("<u8")]
+            new = [batch.column("key").to_numpy(), batch.column("id").to_numpy(), np.stack([batch.column(c).to_numpy() for c in compared], axis=1).view("<u8")]
             held = [np.concatenate(x) for x in zip(held, new, strict=True)]
             keys = held[0]
             if len(keys) >= 1 << 16 and keys[0] != keys[-1]:
@@ -306,13 +315,99 @@ def _wide_forest(fps: np.ndarray, limit: int) -> list[tuple[int, int]]:
     return out
 
 
+def shingle_set(text: str, words: int, seed: int = SEED) -> np.ndarray:
+    """The sorted hashes of the distinct word shingles of a whole text; of fewer words, that of the whole sequence."""
+    import xxhash
+
+    own = text.encode().lower().split()
+    if not own:
+        return np.empty(0, np.int64)
+    digest = xxhash.xxh64_intdigest
+    n = max(1, len(own) - words + 1)
+    h = np.fromiter((digest(b" ".join(own[k : k + words]), seed) for k in range(n)), np.uint64, n)
+    return np.unique(h).view(np.int64)
+
+
+def _id_filter(ids: DataFrame, column: str) -> np.ndarray:
+    """Marks of the slots that ids fall in; at most ``SLOTS`` numbers reach the driver, whatever the number of ids."""
+    taken = ids.select(F.pmod(F.xxhash64(column), F.lit(SLOTS)).cast("int").alias("slot")).distinct().toArrow()
+    marks = np.zeros(SLOTS, bool)
+    marks[taken.column("slot").to_numpy()] = True
+    return marks
+
+
+def exact_links(docs: DataFrame, candidates: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): links that join, transitively, all candidates of one component whose shingle sets reach ``similarity``.
+
+    candidates: (node, component). Only their texts are shuffled, as sets of hashes. A component is dealt to blocks of
+    bounded size and each two blocks of it meet in a task, which compares all their pairs and emits a spanning forest.
+    Rows that share an id are one document, linked through any of its texts.
+    """
+    spark = docs.sparkSession
+    bound_batches(spark)
+    shared = spark.sparkContext.broadcast(np.packbits(_id_filter(candidates, "node")))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.unpackbits(shared.value).view(bool)
+        for batch in batches:
+            for part in slices([batch.filter(pa.array(marks[batch.column("slot").to_numpy()]))]):
+                found = [shingle_set(t, words) for t in part.column("text").to_pylist()]
+                lengths = np.fromiter(map(len, found), np.int64, len(found))
+                flat = np.concatenate([np.empty(0, np.int64), *found])
+                held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lengths), held], names=["node", "n", "shingles"])
+
+    texts = id_and_text(docs.filter("doc_id is not null")).withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int"))
+    own = written(texts.mapInArrow(sets, "node long, n long, shingles array<long>").filter("n > 0").join(candidates, "node"), "candidate-shingles")
+    of = own.groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("all")).select("component", F.expr(f"cast(ceil(greatest(docs / {BLOCK_DOCS}, all / {BLOCK_SHINGLES})) as long)").alias("blocks"))
+    mine = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks"))
+    rows = own.join(of, "component").withColumn("mine", mine).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    rows = rows.select("component", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "node", "shingles")
+
+    def meet(group: pa.Table) -> pa.Table:
+        nodes = group.column("node").to_numpy()
+        lists = group.column("shingles").combine_chunks()
+        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        pairs = np.array(_jaccard_forest(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()), similarity), np.int64).reshape(-1, 2)
+        return pa.table([pa.array(nodes[pairs[:, 0]]), pa.array(nodes[pairs[:, 1]])], names=["a", "b"])
+
+    return rows.groupBy("component", "low", "high").applyInArrow(meet, "a long, b long").distinct()
+
+
+def _jaccard_forest(flat: np.ndarray, sizes: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets that reach ``similarity``; ``flat`` holds all sets, one after another."""
+    order = np.argsort(sizes, kind="stable")
+    flat, lengths = flat[ragged(np.cumsum(sizes)[order] - sizes[order], sizes[order])], sizes[order]
+    known, code = np.unique(flat, return_inverse=True)
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    marked = np.zeros(len(known), np.int64)
+    group, out = np.arange(len(lengths)), []
+    for k in range(len(lengths) - 1):
+        # sets of similar sizes alone can be similar, and these follow in order
+        to = int(np.searchsorted(lengths, lengths[k] / similarity + 1e-9, side="right")) if similarity > 0 else len(lengths)
+        if to <= k + 1:
+            continue
+        own = code[starts[k] : ends[k]]
+        marked[own] = 1
+        common = np.add.reduceat(marked[code[starts[k + 1] : ends[to - 1]]], starts[k + 1 : to] - starts[k + 1])
+        marked[own] = 0
+        near = common >= similarity * (lengths[k] + lengths[k + 1 : to] - common) - 1e-9
+        for m in (k + 1 + np.flatnonzero(near)).tolist():
+            a, b = group[k], group[m]
+            if a != b:
+                group[group == b] = a
+                out.append((int(order[k]), int(order[m])))
+    return out
+
+
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, group_id) of each row: the least doc_id of its group of near-duplicates.
 
-    Groups are made in two steps: wide fingerprints whose first 64 bits differ in two or fewer, by the segments of 32
-    bits, so that large groups of copies shrink to a few; then the least of each such group, at the distance that
-    ``similarity`` of the texts' word shingles lets expect. Rows without an id and texts without words are left alone,
-    each a group of its own.
+    Groups are made in three steps: wide fingerprints whose first 64 bits differ in two or fewer, by the segments of 32
+    bits, so that large groups of copies shrink to a few; then candidates among the least of each such group, by
+    one-wildcard variants of shorter segments; then those whose sets of word shingles reach ``similarity`` exactly.
+    Rows without an id and texts without words are left alone, each a group of its own.
     """
     own = written(wide_fingerprints(docs, words), "wide-fingerprints")
     full = own.filter("doc_id is not null").filter(" or ".join(f"{c} <> 0" for c in WIDE))
@@ -320,8 +415,9 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     reached = connected_components(links(by_f0.select(F.col("f0").alias("fp"))))
     first = by_f0.join(reached.select(F.col("node").alias("f0"), "component"), "f0", "left").select("f0", "id", F.coalesce("component", "f0").alias("component"))
     first = written(first.join(first.groupBy("component").agg(F.min("id").alias("lead")), "component").select("f0", "lead"), "first-groups")
-    leads = full.groupBy(F.col("doc_id").alias("id")).agg(*[F.min(c).alias(c) for c in WIDE]).join(first.select(F.col("lead").alias("id")).distinct(), "id", "left_semi")
-    far = connected_components(wide_links(leads, distance_of(similarity)))
+    leads = full.select(F.col("doc_id").alias("id"), *WIDE).distinct().join(first.select(F.col("lead").alias("id")).distinct(), "id", "left_semi")
+    candidates = written(connected_components(wide_links(leads, distance_of(similarity))), "candidates")
+    far = connected_components(exact_links(docs, candidates, words, similarity))
     last = first.join(far.select(F.col("node").alias("lead"), "component"), "lead", "left").select("f0", F.coalesce("component", "lead").alias("group_id"))
     alone = own.filter("not (doc_id is not null and (" + " or ".join(f"{c} <> 0" for c in WIDE) + "))").select("doc_id", F.col("doc_id").alias("group_id"))
     return full.join(last, "f0").select("doc_id", "group_id").unionAll(alone)
