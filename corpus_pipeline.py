@@ -14,7 +14,7 @@ from tickloom.llm._shared import written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without letters, and those of which no language covers half of the letters."""
+    """Rejects texts without letters, and those of which no language covers two fifths of the letters."""
     return langid.kept(docs, langid.train(docs), least=0.4)
 
 
