@@ -218,7 +218,7 @@ def classes(docs: DataFrame, words: int = 3, distance: int = 2, small: int = SMA
 # Near-duplicates of a given similarity: wide fingerprints, one-wildcard variants of shorter segments, exact verification.
 
 #: Bits of a segment, 64-bit parts of a wide fingerprint, and how many of these go with each variant to be compared.
-SEGMENT, PARTS, COMPARED = 21, 5, 2
+SEGMENT, PARTS, COMPARED = 21, 6, 2
 WIDE = [f"f{k}" for k in range(PARTS)]
 #: Slots of the filter of candidates' ids: its size is fixed, once it is full it lets all rows pass.
 SLOTS = 1 << 20
@@ -254,7 +254,7 @@ def _wide_segments(parts: list[str]):
 def wide_links(fps: DataFrame, limit: int, small: int = SMALL) -> DataFrame:
     """(a, b) of ids that differ in at most ``limit`` of the compared bits, transitively. fps: id, and the parts of a fingerprint.
 
-    Every pair that differs in 29 bits or fewer of all parts shares a variant; a pair with more does with a probability
+    Every pair that differs in 35 bits or fewer of all parts shares a variant; a pair with more does with a probability
     that falls with the distance. Buckets that may hold over ``small`` are dealt to blocks, and each two blocks of a bucket
     meet in a task: all pairs are compared, none is gathered or emitted beyond a spanning forest.
     """
