@@ -177,6 +177,15 @@ def test_components_of_a_chain(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_contracted_keeps_components(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(g * 100, g * 100 + 30), rng.randrange(g * 100, g * 100 + 30)) for g in range(5) for _ in range(60)] + [(k, k + 1) for k in range(900, 920)] + [(7, 7), (None, 3), (3, None)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = {tuple(r) for r in components.connected_components(df).collect()}
+    assert {tuple(r) for r in components.connected_components(components.contracted(df)).collect()} == want
+    assert components.contracted(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("small", [512, 4])
 def test_near_duplicates(spark, small, monkeypatch):
     rng = random.Random(5)

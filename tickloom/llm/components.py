@@ -19,6 +19,18 @@ def _stars(edges: DataFrame) -> DataFrame:
     return tied.unionAll(smallest.select("a", F.col("m").alias("b"))).distinct()
 
 
+def contracted(edges: DataFrame) -> DataFrame:
+    """Fewer edges (a, b) of the same components: each node is tied to the least of its neighbours and itself, and edges
+    join these instead. In dense groups most edges become equal, before rounds of stars repeat them. Nulls are ignored."""
+    a, b = F.col("a").cast("long"), F.col("b").cast("long")
+    now = written(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a is not null and b is not null and a <> b").distinct(), "dense-edges")
+    both = now.select("a", "b").unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least-neighbours")
+    half = now.join(least, "a").select(F.col("m").alias("x"), F.col("b").alias("a")).distinct()
+    whole = half.join(least, "a").select(F.col("x").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    return whole.unionAll(least.filter("a <> m").select("a", F.col("m").alias("b")))
+
+
 def connected_components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """(node, component): the least node that is reachable. edges: columns a and b, in any order, repeats allowed.
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ._arrow import bound_batches, id_and_text, ragged, slices
 from ._shared import written
-from .components import connected_components
+from .components import connected_components, contracted
 
 #: Fingerprints of a bucket up to which all its pairs are compared in one place.
 SMALL = 512
@@ -300,7 +300,8 @@ def wide_links(fps: DataFrame, limit: int, small: int = SMALL) -> DataFrame:
         if len(held[0]):
             yield from links(*held)
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+    # in order of ids, so that forests of different buckets share their edges
+    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "a long, b long").distinct()
 
 
 def _wide_forest(fps: np.ndarray, limit: int) -> list[tuple[int, int]]:
@@ -371,7 +372,8 @@ def exact_links(docs: DataFrame, candidates: DataFrame, words: int, similarity:
         pairs = np.array(_jaccard_forest(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()), similarity), np.int64).reshape(-1, 2)
         return pa.table([pa.array(nodes[pairs[:, 0]]), pa.array(nodes[pairs[:, 1]])], names=["a", "b"])
 
-    return rows.groupBy("component", "low", "high").applyInArrow(meet, "a long, b long").distinct()
+    # dealt by all three: else a join may leave a whole component in one task
+    return rows.repartition("component", "low", "high").groupBy("component", "low", "high").applyInArrow(meet, "a long, b long").distinct()
 
 
 def _jaccard_forest(flat: np.ndarray, sizes: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -416,8 +418,8 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     first = by_f0.join(reached.select(F.col("node").alias("f0"), "component"), "f0", "left").select("f0", "id", F.coalesce("component", "f0").alias("component"))
     first = written(first.join(first.groupBy("component").agg(F.min("id").alias("lead")), "component").select("f0", "lead"), "first-groups")
     leads = full.select(F.col("doc_id").alias("id"), *WIDE).distinct().join(first.select(F.col("lead").alias("id")).distinct(), "id", "left_semi")
-    candidates = written(connected_components(wide_links(leads, distance_of(similarity))), "candidates")
-    far = connected_components(exact_links(docs, candidates, words, similarity))
+    candidates = written(connected_components(contracted(wide_links(leads, distance_of(similarity)))), "candidates")
+    far = connected_components(contracted(exact_links(docs, candidates, words, similarity)))
     last = first.join(far.select(F.col("node").alias("lead"), "component"), "lead", "left").select("f0", F.coalesce("component", "lead").alias("group_id"))
     alone = own.filter("not (doc_id is not null and (" + " or ".join(f"{c} <> 0" for c in WIDE) + "))").select("doc_id", F.col("doc_id").alias("group_id"))
     return full.join(last, "f0").select("doc_id", "group_id").unionAll(alone)
