@@ -207,6 +207,14 @@ def test_near_duplicates(spark, small, monkeypatch):
     assert simhash.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_clean_documents_with_repeats_stay(spark):
+    rng = random.Random(6)
+    body = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    texts = [body(100) + " again" * 60, body(100) + " again" * 60, body(100) + " a common line" * 60, body(100) + " a common line" * 60]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.one_of_each(docs).count() == 4
+
+
 @pytest.mark.parametrize("block", [256, 4])
 def test_exact_links(spark, block, monkeypatch):
     rng = random.Random(8)

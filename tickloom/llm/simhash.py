@@ -220,6 +220,8 @@ def classes(docs: DataFrame, words: int = 3, distance: int = 2, small: int = SMA
 #: Bits of a segment, 64-bit parts of a wide fingerprint, and how many of these go with each variant to be compared.
 SEGMENT, PARTS, COMPARED = 21, 6, 2
 WIDE = [f"f{k}" for k in range(PARTS)]
+#: Columns of the digest of a set of shingles.
+DIGEST = ["s0", "s1"]
 #: Slots of the filter of candidates' ids: its size is fixed, once it is full it lets all rows pass.
 SLOTS = 1 << 20
 #: Documents and shingles that a block of candidates holds, about.
@@ -234,16 +236,20 @@ def distance_of(similarity: float, bits: int = 64 * COMPARED, deviations: float
     return round(bits * p + deviations * (bits * p * (1 - p)) ** 0.5)
 
 
-def wide_fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, and the parts f0, f1 ..) of each row; null texts count as empty."""
+def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
+    """(doc_id, s0, s1, and the parts f0, f1 ..) of each row. s0, s1: a digest of the set of shingles, null without words;
+    null texts count as empty."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            fps = np.array([wide_fingerprint(t, words, PARTS) for t in part.column("text").to_pylist()], "<u8").reshape(-1, PARTS).view("<i8")
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(np.ascontiguousarray(fps[:, k])) for k in range(PARTS)]], names=["doc_id", *WIDE])
+            texts = part.column("text").to_pylist()
+            fps = np.array([wide_fingerprint(t, words, PARTS) for t in texts], "<u8").reshape(-1, PARTS).view("<i8")
+            digests = [set_digest(shingle_set(t, words)) for t in texts]
+            own = [pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *own, *[pa.array(np.ascontiguousarray(fps[:, k])) for k in range(PARTS)]], names=["doc_id", *DIGEST, *WIDE])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in WIDE))
+    return id_and_text(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in (*DIGEST, *WIDE)))
 
 
 def _wide_segments(parts: list[str]):
@@ -308,7 +314,9 @@ def _wide_forest(fps: np.ndarray, limit: int) -> list[tuple[int, int]]:
     n, out = len(fps), []
     group = np.arange(n)
     for k in range(n - 1):
-        for m in (k + 1 + np.flatnonzero(np.bitwise_count(fps[k + 1 :] ^ fps[k]).sum(axis=1) <= limit)).tolist():
+        if not len(rest := k + 1 + np.flatnonzero(group[k + 1 :] != group[k])):
+            continue
+        for m in rest[np.bitwise_count(fps[rest] ^ fps[k]).sum(axis=1) <= limit].tolist():
             a, b = group[k], group[m]
             if a != b:
                 group[group == b] = a
@@ -329,6 +337,15 @@ def shingle_set(text: str, words: int, seed: int = SEED) -> np.ndarray:
     return np.unique(h).view(np.int64)
 
 
+def set_digest(shingles: np.ndarray) -> tuple[int, int] | tuple[None, None]:
+    """128 bits that stand for a whole set of shingles; nulls for an empty one."""
+    import xxhash
+
+    if not len(shingles):
+        return None, None
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), "<i8").tolist())
+
+
 def _id_filter(ids: DataFrame, column: str) -> np.ndarray:
     """Marks of the slots that ids fall in; at most ``SLOTS`` numbers reach the driver, whatever the number of ids."""
     taken = ids.select(F.pmod(F.xxhash64(column), F.lit(SLOTS)).cast("int").alias("slot")).distinct().toArrow()
@@ -406,23 +423,18 @@ def _jaccard_forest(flat: np.ndarray, sizes: np.ndarray, similarity: float) -> l
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, group_id) of each row: the least doc_id of its group of near-duplicates.
 
-    Groups are made in three steps: wide fingerprints whose first 64 bits differ in two or fewer, by the segments of 32
-    bits, so that large groups of copies shrink to a few; then candidates among the least of each such group, by
-    one-wildcard variants of shorter segments; then those whose sets of word shingles reach ``similarity`` exactly.
+    Documents of equal shingle sets are one from the start. Of all others, candidates are found by one-wildcard variants of
+    the segments of wide fingerprints, and those are joined whose sets of word shingles reach ``similarity`` exactly.
     Rows without an id and texts without words are left alone, each a group of its own.
     """
-    own = written(wide_fingerprints(docs, words), "wide-fingerprints")
-    full = own.filter("doc_id is not null").filter(" or ".join(f"{c} <> 0" for c in WIDE))
-    by_f0 = written(full.groupBy("f0").agg(F.min("doc_id").alias("id")), "classes")
-    reached = connected_components(links(by_f0.select(F.col("f0").alias("fp"))))
-    first = by_f0.join(reached.select(F.col("node").alias("f0"), "component"), "f0", "left").select("f0", "id", F.coalesce("component", "f0").alias("component"))
-    first = written(first.join(first.groupBy("component").agg(F.min("id").alias("lead")), "component").select("f0", "lead"), "first-groups")
-    leads = full.select(F.col("doc_id").alias("id"), *WIDE).distinct().join(first.select(F.col("lead").alias("id")).distinct(), "id", "left_semi")
-    candidates = written(connected_components(contracted(wide_links(leads, distance_of(similarity)))), "candidates")
+    own = written(signatures(docs, words), "signatures")
+    full = own.filter("doc_id is not null and s0 is not null")
+    sets = written(full.groupBy(*DIGEST).agg(F.min(F.struct("doc_id", *WIDE)).alias("lead")).select(*DIGEST, F.col("lead.doc_id").alias("id"), *[F.col(f"lead.{c}").alias(c) for c in WIDE]), "distinct-sets")
+    candidates = written(connected_components(contracted(wide_links(sets.select("id", *WIDE), distance_of(similarity)))), "candidates")
     far = connected_components(contracted(exact_links(docs, candidates, words, similarity)))
-    last = first.join(far.select(F.col("node").alias("lead"), "component"), "lead", "left").select("f0", F.coalesce("component", "lead").alias("group_id"))
-    alone = own.filter("not (doc_id is not null and (" + " or ".join(f"{c} <> 0" for c in WIDE) + "))").select("doc_id", F.col("doc_id").alias("group_id"))
-    return full.join(last, "f0").select("doc_id", "group_id").unionAll(alone)
+    last = sets.join(far.withColumnRenamed("node", "id"), "id", "left").select(*DIGEST, F.coalesce("component", "id").alias("group_id"))
+    alone = own.filter("doc_id is null or s0 is null").select("doc_id", F.col("doc_id").alias("group_id"))
+    return full.join(last, DIGEST).select("doc_id", "group_id").unionAll(alone)
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
