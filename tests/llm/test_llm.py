@@ -215,6 +215,19 @@ def test_clean_documents_with_repeats_stay(spark):
     assert simhash.one_of_each(docs).count() == 4
 
 
+def test_near_copies_that_repeat_differently(spark):
+    rng = random.Random(7)
+    body = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    rows, want = [], {}
+    for _ in range(6):
+        base, footer, first = body(200), " " + body(8), len(rows)
+        for times in (1, 5, 20, 60):
+            want[len(rows)] = first
+            rows.append((len(rows), base + footer * times))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["group_id"] for r in simhash.near_groups(docs).collect()} == want
+
+
 @pytest.mark.parametrize("block", [256, 4])
 def test_exact_links(spark, block, monkeypatch):
     rng = random.Random(8)

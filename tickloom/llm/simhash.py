@@ -42,14 +42,14 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def wide_fingerprint(text: str, words: int, parts: int, seed: int = SEED) -> np.ndarray:
-    """``parts`` times 64 bits of a whole text; zeros without words."""
+def _hashes(text: str, words: int, seed: int) -> Iterator[np.ndarray]:
+    """The hashes of all word shingles of a whole text in order, some at a time; of fewer words, that of the whole sequence."""
     import xxhash
 
     # bytes.lower() folds A-Z alone; bytes.split() parts at space and U+0009 to U+000D
     own = text.encode().lower().split()
     if not own:
-        return np.zeros(parts, "<u8")
+        return
     joined = b" ".join(own)
     lengths = np.fromiter(map(len, own), np.int64, len(own))
     ends = np.cumsum(lengths + 1) - 1
@@ -57,15 +57,32 @@ def wide_fingerprint(text: str, words: int, parts: int, seed: int = SEED) -> np.
     n = max(1, len(own) - words + 1)
     starts, ends = (starts[:n], ends[words - 1 :]) if len(own) >= words else (starts[:1], ends[-1:])
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros((parts, 64), np.int64)
     for at in range(0, n, 1 << 16):  # bounded memory, whatever the length
         pairs = zip(starts[at : at + (1 << 16)].tolist(), ends[at : at + (1 << 16)].tolist(), strict=True)
-        h = np.array([digest(joined[s:e], seed) for s, e in pairs], "<u8")
+        yield np.array([digest(joined[s:e], seed) for s, e in pairs], "<u8")
+
+
+def _majority(hashes: Iterator[np.ndarray], parts: int) -> np.ndarray:
+    """``parts`` times 64 bits: those that over half of the hashes have; zeros without hashes."""
+    counts, n = np.zeros((parts, 64), np.int64), 0
+    for h in hashes:
+        n += len(h)
         for k in range(parts):
             counts[k] += _bit_counts(_mixed(h, k))
     return np.packbits(counts * 2 > n, axis=1, bitorder="little").view("<u8")[:, 0]
 
 
+def wide_fingerprint(text: str, words: int, parts: int, seed: int = SEED) -> np.ndarray:
+    """``parts`` times 64 bits of a whole text, repeated shingles as often as they occur; zeros without words."""
+    return _majority(_hashes(text, words, seed), parts)
+
+
+def set_fingerprint(shingles: np.ndarray, parts: int) -> np.ndarray:
+    """``parts`` times 64 bits of a set of shingles, each counted once, as the similarity does that is verified."""
+    h = shingles.view("<u8")
+    return _majority((h[at : at + (1 << 16)] for at in range(0, len(h), 1 << 16)), parts)
+
+
 def _bit_counts(h: np.ndarray) -> np.ndarray:
     """How many of the hashes have each bit, the lowest first."""
     # eight bits at a time: each byte's bits are spread over the bytes of a word, which are summed before they overflow
@@ -237,16 +254,15 @@ def distance_of(similarity: float, bits: int = 64 * COMPARED, deviations: float
 
 
 def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
-    """(doc_id, s0, s1, and the parts f0, f1 ..) of each row. s0, s1: a digest of the set of shingles, null without words;
+    """(doc_id, s0, s1, and the parts f0, f1 ..) of each row, all of its set of shingles. s0, s1: a digest of the set of shingles, null without words;
     null texts count as empty."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            texts = part.column("text").to_pylist()
-            fps = np.array([wide_fingerprint(t, words, PARTS) for t in texts], "<u8").reshape(-1, PARTS).view("<i8")
-            digests = [set_digest(shingle_set(t, words)) for t in texts]
-            own = [pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1)]
+            found = [(set_digest(x), set_fingerprint(x, PARTS)) for t in part.column("text").to_pylist() for x in (shingle_set(t, words),)]
+            fps = np.array([f for _, f in found], "<u8").reshape(-1, PARTS).view("<i8")
+            own = [pa.array([d[k] for d, _ in found], pa.int64()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *own, *[pa.array(np.ascontiguousarray(fps[:, k])) for k in range(PARTS)]], names=["doc_id", *DIGEST, *WIDE])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in (*DIGEST, *WIDE)))
@@ -326,15 +342,7 @@ def _wide_forest(fps: np.ndarray, limit: int) -> list[tuple[int, int]]:
 
 def shingle_set(text: str, words: int, seed: int = SEED) -> np.ndarray:
     """The sorted hashes of the distinct word shingles of a whole text; of fewer words, that of the whole sequence."""
-    import xxhash
-
-    own = text.encode().lower().split()
-    if not own:
-        return np.empty(0, np.int64)
-    digest = xxhash.xxh64_intdigest
-    n = max(1, len(own) - words + 1)
-    h = np.fromiter((digest(b" ".join(own[k : k + words]), seed) for k in range(n)), np.uint64, n)
-    return np.unique(h).view(np.int64)
+    return np.unique(np.concatenate([np.empty(0, "<u8"), *_hashes(text, words, seed)])).view(np.int64)
 
 
 def set_digest(shingles: np.ndarray) -> tuple[int, int] | tuple[None, None]:
