@@ -228,6 +228,18 @@ def test_near_copies_that_repeat_differently(spark):
     assert {r["doc_id"]: r["group_id"] for r in simhash.near_groups(docs).collect()} == want
 
 
+def test_near_copies_of_another_than_the_least(spark):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    own = [word() for _ in range(400)]
+    cut = lambda n: " ".join(own[:n])
+    while (simhash.fingerprint(cut(400), 5) ^ simhash.fingerprint(cut(390), 5)).bit_count() > 2:
+        own = [word() for _ in range(400)]
+    # 386 of 396 shingles, 312 of 386, 312 of 396
+    docs = spark.createDataFrame([(0, cut(400)), (1, cut(390)), (2, cut(316))], "doc_id long, text string")
+    assert {r["group_id"] for r in simhash.near_groups(docs).collect()} == {0}
+
+
 @pytest.mark.parametrize("block", [256, 4])
 def test_exact_links(spark, block, monkeypatch):
     rng = random.Random(8)
