@@ -240,6 +240,16 @@ def test_near_copies_of_another_than_the_least(spark):
     assert {r["group_id"] for r in simhash.near_groups(docs).collect()} == {0}
 
 
+def test_pairs_just_above_the_similarity(spark):
+    rng = random.Random(11)
+    rows = []
+    for _ in range(100):
+        own = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(390)]
+        rows += [(len(rows), " ".join(own)), (len(rows) + 1, " ".join(own[:316]))]  # 312 of 386 shingles: 0.808
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sum(r["doc_id"] % 2 == 1 and r["group_id"] != r["doc_id"] for r in simhash.near_groups(docs).collect()) >= 99
+
+
 @pytest.mark.parametrize("block", [256, 4])
 def test_exact_links(spark, block, monkeypatch):
     rng = random.Random(8)

@@ -232,10 +232,11 @@ def classes(docs: DataFrame, words: int = 3, distance: int = 2, small: int = SMA
     return own.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# Near-duplicates of a given similarity: wide fingerprints, one-wildcard variants of shorter segments, exact verification.
+# Near-duplicates of a given similarity: wide fingerprints, samples of their bits as keys, exact verification.
 
-#: Bits of a segment, 64-bit parts of a wide fingerprint, and how many of these go with each variant to be compared.
-SEGMENT, PARTS, COMPARED = 21, 6, 2
+#: Bits of a key, keys of each fingerprint, 64-bit parts of a wide fingerprint, and how many of these go with each key to
+#: be compared.
+SAMPLED, KEYS, PARTS, COMPARED = 21, 300, 6, 3
 WIDE = [f"f{k}" for k in range(PARTS)]
 #: Columns of the digest of a set of shingles.
 DIGEST = ["s0", "s1"]
@@ -245,7 +246,7 @@ SLOTS = 1 << 20
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 1 << 19
 
 
-def distance_of(similarity: float, bits: int = 64 * COMPARED, deviations: float = 2.0) -> int:
+def distance_of(similarity: float, bits: int = 64 * COMPARED, deviations: float = 3.0) -> int:
     """Differing bits that pairs of a Jaccard similarity rarely exceed: by more than ``deviations``.
 
     Sets of one size have the cosine 2J / (1 + J); each bit differs by the angle's share of a half turn."""
@@ -268,27 +269,41 @@ def signatures(docs: DataFrame, words: int = 5) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in (*DIGEST, *WIDE)))
 
 
-def _wide_segments(parts: list[str]):
-    """(number, value) of each segment: three of 21 bits from each part; a part's highest bit is left out."""
-    return [(3 * k + j, F.shiftrightunsigned(c, SEGMENT * j).bitwiseAND(F.lit((1 << SEGMENT) - 1))) for k, c in enumerate(parts) for j in range(3)]
+def _sampled_keys(fps: np.ndarray) -> np.ndarray:
+    """(fingerprints, KEYS): each key is its own number and the values of ``SAMPLED`` bits, drawn once for all fingerprints."""
+    rng = np.random.default_rng(SEED)
+    weights = np.zeros((fps.shape[1] * 64, KEYS), np.float32)  # sums stay below 2 ** 24: exact
+    for k in range(KEYS):
+        weights[rng.choice(len(weights), SAMPLED, replace=False), k] = 2.0 ** np.arange(SAMPLED)
+    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8), axis=1, bitorder="little").astype(np.float32)
+    return (bits @ weights).astype(np.int64) + (np.arange(KEYS, dtype=np.int64) << SAMPLED)
 
 
-def wide_links(fps: DataFrame, limit: int, small: int = SMALL) -> DataFrame:
+def wide_links(fps: DataFrame, limit: int, small: int = 8 * SMALL) -> DataFrame:
     """(a, b) of ids that differ in at most ``limit`` of the compared bits, transitively. fps: id, and the parts of a fingerprint.
 
-    Every pair that differs in 35 bits or fewer of all parts shares a variant; a pair with more does with a probability
-    that falls with the distance. Buckets that may hold over ``small`` are dealt to blocks, and each two blocks of a bucket
-    meet in a task: all pairs are compared, none is gathered or emitted beyond a spanning forest.
+    A pair is found if the bits of any key are equal in both; the fewer bits differ, the surer that is. Buckets that may
+    hold over ``small``, by a sample of the ids, are dealt to blocks, and each two blocks of a bucket meet in a task: all
+    pairs are compared, none is gathered or emitted beyond a spanning forest.
     """
     parts = [c for c in fps.columns if c != "id"]
     compared = parts[:COMPARED]
-    segments = F.array(*[F.struct(F.lit(n).cast("long").alias("s"), v.alias("value")) for n, v in _wide_segments(parts)])
-    halves = fps.select("id", *parts, F.explode(segments).alias("h")).select("id", *compared, "h.s", "h.value")
-    cell = lambda d: d.withColumn("key", F.expr(f"shiftleft(s * {SEGMENT} + w, {SEGMENT}) | (value & ~shiftleft(1L, cast(w as int)))"))
-    places = F.explode(F.expr(f"sequence(0L, {SEGMENT - 1}L)"))
-    heavy = halves.groupBy("s", "value").count().filter(F.col("count") > small // 2).withColumn("w", places)
-    hot = written(cell(heavy).groupBy("key").agg(F.sum("count").alias("n")).select("key", F.ceil(F.col("n") / (small // 2) + 1).alias("blocks")), "hot-keys")
-    rows = cell(halves.withColumn("w", places)).select("key", "id", *compared)
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                keys = _sampled_keys(np.stack([batch.column(c).to_numpy() for c in parts], axis=1).view("<u8"))
+                held = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * KEYS, pa.int32()), pa.array(keys.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *[batch.column(c) for c in compared], held], names=["id", *compared, "keys"])
+
+    def keyed(some: DataFrame) -> DataFrame:
+        held = some.mapInArrow(index, "id long, " + ", ".join(f"{c} long" for c in compared) + ", keys array<long>")
+        return held.select(F.explode("keys").alias("key"), "id", *compared)
+
+    every = max(1, small // 32)
+    heavy = keyed(fps.filter(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(every)) == 0)).groupBy("key").count().filter(F.col("count") > small // (2 * every))
+    hot = written(heavy.select("key", F.ceil(F.col("count") * every / max(1, small // 2) + 1).alias("blocks")), "hot-keys")
+    rows = keyed(fps)
     if not hot.isEmpty():
         mine = F.pmod(F.xxhash64("id"), F.col("blocks"))
         rows = rows.join(hot, "key", "left").withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
@@ -431,8 +446,8 @@ def _jaccard_forest(flat: np.ndarray, sizes: np.ndarray, similarity: float) -> l
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, group_id) of each row: the least doc_id of its group of near-duplicates.
 
-    Documents of equal shingle sets are one from the start. Of all others, candidates are found by one-wildcard variants of
-    the segments of wide fingerprints, and those are joined whose sets of word shingles reach ``similarity`` exactly.
+    Documents of equal shingle sets are one from the start. Of all others, candidates are found by samples of the
+    bits of wide fingerprints, and those are joined whose sets of word shingles reach ``similarity`` exactly.
     Rows without an id and texts without words are left alone, each a group of its own.
     """
     own = written(signatures(docs, words), "signatures")
