@@ -108,6 +108,18 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert 0 < got <= batch  # windows that the watermark hasn't passed stay open
 
 
+def test_interval_join_takes_all_orders(spark, tmp_path):
+    from tickloom.plans import catalogue
+
+    hour = 3600
+    spark.sql("select 1L event_id, 1L user_id, 'view' event_type, timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 1800) ts, double(id) value from range(60)").write.parquet(f"{tmp_path}/events.parquet")
+    spark.sql("select id o_orderkey, timestamp_ntz'1995-03-01 00:00:00' + make_dt_interval(0, id) o_orderdate from range(480, 510)").write.parquet(f"{tmp_path}/orders.parquet")
+    got = catalogue.QUERIES["interval_join"](spark, str(tmp_path)).select("cue", "v").collect()
+    starts = {k: (794_016_000 + hour * k) % 2_592_000 for k in range(480, 510)}
+    want = [(k, float(n)) for k, b in starts.items() for n in range(60) if b <= 1800 * n < b + 6 * hour]
+    assert len({k for k, _ in want}) == 30 and sorted(tuple(r) for r in got) == sorted(want)
+
+
 def test_registered_queries_have_sql():
     from tickloom.plans import catalogue
 

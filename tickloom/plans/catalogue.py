@@ -145,7 +145,7 @@ def _(s, d):
     e = stream(s, d).select("pts", "v")
     low = e.agg(F.min("pts")).first()[0]
     start = F.lit(low) + timing.micros("o_orderdate") % 2592000000000
-    cues = table(s, d, "orders").filter("o_orderkey % 97 = 0").select(F.col("o_orderkey").alias("cue"), start.alias("start"), (start + 6 * HOUR).alias("end"))
+    cues = table(s, d, "orders").select(F.col("o_orderkey").alias("cue"), start.alias("start"), (start + 6 * HOUR).alias("end"))
     return align.intervals(e, cues, 6 * HOUR)
 
 
