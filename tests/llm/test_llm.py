@@ -312,6 +312,17 @@ def test_neighbours(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_neighbours_of_repeated_rows(spark):
+    x = np.random.default_rng(4).normal(size=(12, 4))
+    rows = [(100 * k, v.tolist()) for k, v in enumerate(x) for _ in range(10)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    for q in range(12):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        own = sorted((r["rank"], r["vec_id"]) for r in got if r["query_id"] == 100 * q)
+        assert own == [(n + 1, 100 * v) for n, v in enumerate(np.argsort(d)[:10].tolist())]
+
+
 def test_url_rules_edge_cases(spark):
     urls = [None, "", "no scheme", "http://NET/", "http://a.net", "https://x.EXAMPLE.net/en/1?q#f", "http://notnet/", "http://b.org/fr/2", "http://c.org/fr", "ftp://d.example.com/de/#x", "a://b://c.net/", "http://e.org?x/fr/", "http://x.net/" + "y" * 9000]
     pages = spark.createDataFrame([(k, u, "h", "x") for k, u in enumerate(urls)] + [(None, urls[5], "h", "x"), (5, urls[5], "h", "x")], "page_id long, url string, html string, rule string")

@@ -153,6 +153,8 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.n
     leaves: that of each of ``x``; reached: the leaves whose vectors count for each query."""
     if leaves is not None:
         known, at_leaf = np.unique(leaves, return_inverse=True)
+    by_id = np.argsort(ids, kind="stable")
+    starts = np.flatnonzero(np.diff(ids[by_id], prepend=ids[by_id][:1] - 1))
     out: list[tuple] = []
     for at in range(0, len(queries), 64):
         q = queries[at : at + 64]
@@ -165,8 +167,10 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.n
                 rough[j, ~np.isin(known, reached[at + j])[at_leaf]] = np.inf
         for j in range(len(q)):
             row = rough[j]
-            if len(row) > k:
-                bound = np.partition(row, k - 1)[k - 1]
+            if len(starts) > k:
+                # of each id its nearest row
+                least = row if len(starts) == len(row) else np.minimum.reduceat(row[by_id], starts)
+                bound = np.partition(least, k - 1)[k - 1]
                 who = np.flatnonzero(row <= bound + 1e-9 * (1 + abs(bound))) if np.isfinite(bound) else np.flatnonzero(np.isfinite(row))
             else:
                 who = np.flatnonzero(np.isfinite(row))
@@ -211,7 +215,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = 8, le
     own = usable(vectors)
     n = own.count()
     part = min(1.0, sample / max(1, n))
-    chosen = own.filter(F.pmod(F.xxhash64("vec_id", F.lit("forest")), F.lit(1 << 30)) < part * (1 << 30)).toArrow().sort_by("vec_id")
+    chosen = own.filter(F.pmod(F.xxhash64("vec_id", F.lit("forest")), F.lit(1 << 30)) < part * (1 << 30)).dropDuplicates().toArrow().sort_by("vec_id")
     fitted = _matrix(chosen.column("v")) if chosen.num_rows else np.empty((0, 0))
     planes = fit(fitted, trees, max(8, round(leaf * part)))
     enough = calibrated_share(planes, fitted, k, target) * len(fitted)
