@@ -335,6 +335,12 @@ def test_url_rules_edge_cases(spark):
     assert url_rules.judge(pages.limit(0)).count() == 0 and url_rules.judge(pages.limit(2)).count() == 2
 
 
+def test_url_rules_of_three_tokens(spark):
+    urls = ["http://x.y.net/z", "http://x.y.org/fr/", "http://x.org/fr/z", "http://y.org/fr/z"] * 10 + ["http://x.y.com/z"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in url_rules.judge(pages).collect()}[40] == "block"
+
+
 def test_media(spark, odd):
     rows = media.describe(media.encode_media(odd)).collect()
     assert len(rows) == len(ODD) + 1

@@ -41,15 +41,15 @@ def tokens(host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.concat(labels, segments), lambda x: x.isNotNull())))
 
 
-def mine(labelled: DataFrame, support: float, confidence: float, longest: int) -> DataFrame:
+def mine(labelled: DataFrame, support: float, confidence: float) -> DataFrame:
     """Rules (rule_id, antecedent, verdict, confidence, support) from rows (tokens, verdict).
 
-    Kept are rules on the verdict that hold at least ``support`` of the rows and reach ``confidence``, of at most
-    ``longest`` tokens."""
+    Kept are rules on the verdict that hold at least ``support`` of the rows and reach ``confidence``, of any
+    number of tokens."""
     baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("v="), F.col("verdict")))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     goal = F.element_at("consequent", 1)
-    rules = model.associationRules.filter(goal.startswith("v=")).filter(F.size("antecedent") <= longest)
+    rules = model.associationRules.filter(goal.startswith("v="))
     ordered = F.array_sort("antecedent")
     return rules.select(F.concat_ws("\x1f", ordered, goal).alias("rule_id"), ordered.alias("antecedent"), F.substring(goal, 3, 1 << 20).alias("verdict"), "confidence", "support")
 
@@ -64,12 +64,12 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return fired.groupBy("tokens").agg(best.alias("best")).select("tokens", F.col("best.verdict").alias("mined"))
 
 
-def judge(pages: DataFrame, rules=RULES, support: float = 0.01, confidence: float = 0.8, longest: int = 2, default: str = "allow") -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, support: float = 0.01, confidence: float = 0.8, default: str = "allow") -> DataFrame:
     """(page_id, host, path, rule, verdict) of each row.
 
     The rows that a listed rule fits are the labelled ones: association rules mined from them judge the others, and
     ``default`` those that no rule fits. support: share of the labelled rows; confidence: least share of a rule's rows
-    with its verdict; longest: most tokens of a rule.
+    with its verdict.
 
     A null url, and one without ``://``, has an empty host and path and gets the default. Null and repeated page_ids
     are judged row by row. An empty table, and one without labelled rows, needs no mining. Other columns are ignored.
@@ -80,7 +80,7 @@ def judge(pages: DataFrame, rules=RULES, support: float = 0.01, confidence: floa
     own = own.select("page_id", "host", "path", tokens(F.col("host"), F.col("path")).alias("tokens"), rule.alias("rule"), verdict.alias("listed"))
     labelled = own.filter("listed is not null").select("tokens", F.col("listed").alias("verdict"))
     rest = own.filter("listed is null").select("tokens").distinct()
-    mined = match(rest, mine(labelled, support, confidence, longest)) if not labelled.isEmpty() else rest.select("tokens", F.lit(None).cast("string").alias("mined")).limit(0)
+    mined = match(rest, mine(labelled, support, confidence)) if not labelled.isEmpty() else rest.select("tokens", F.lit(None).cast("string").alias("mined")).limit(0)
     return own.join(mined, "tokens", "left").select("page_id", "host", "path", "rule", F.coalesce("listed", "mined", F.lit(default)).alias("verdict"))
 
 
