@@ -48,6 +48,15 @@ def test_lagfun(spark):
     assert [r[0] for r in values(windows.lagfun(s, 0.5, "k", 50), "v")] == [200, 100, 50, 200, 100]
 
 
+def test_lagfun_keeps_old_peaks(spark):
+    x = [-5.0, -1.0, 1e6] + [0.0] * 200
+    want = [x[0]]
+    for v in x[1:]:
+        want.append(max(v, want[-1] * 0.95))
+    got = values(windows.lagfun(make(spark, [(1, n, v) for n, v in enumerate(x)]), 0.95, "k"), "v")
+    assert [r[0] for r in got] == pytest.approx(want)
+
+
 def test_runs_and_freeze(spark):
     s = make(spark, [(1, 10 * n, v) for n, v in enumerate([1.0, 5.0, 5.0, 5.0, 9.0, 9.0])])
     assert [tuple(r) for r in windows.runs(s, F.col("v") == 5, "k").collect()] == [(1, 10, 30, 3)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,11 +21,16 @@ def tmedian(stream: DataFrame, radius: int, by: str) -> DataFrame:
     return stream.withColumn("_a", around).withColumn("v", F.element_at("_a", F.floor((F.size("_a") + 1) / 2).cast("int"))).drop("_a")
 
 
-def lagfun(stream: DataFrame, decay: float, by: str, reach: int) -> DataFrame:
-    """v: the greatest of the records so far, each times decay to the power of its age; ages up to ``reach`` count."""
-    recent = F.collect_list("v").over(ordered(by).rowsBetween(-reach, 0))
-    aged = F.transform(recent, lambda x, k: x * F.pow(F.lit(decay), (F.size(recent) - 1 - k).cast("double")))
-    return stream.withColumn("v", F.array_max(aged))
+def lagfun(stream: DataFrame, decay: float, by: str, reach: int | None = None) -> DataFrame:
+    """v: the greatest of the records so far, each times decay to the power of its age; all ages count, or those up to ``reach``."""
+    d = stream.withColumn("_n", F.row_number().over(ordered(by)))
+    # the winner by logarithms, so that neither growth nor decay leaves the range; negative ones fade towards zero
+    size = F.log(F.abs("v")) - F.col("_n") * math.log(decay)
+    sign = F.signum("v")
+    entry = F.when(F.col("v").isNotNull(), F.struct(sign.alias("sign"), F.coalesce(sign * size, F.lit(0.0)).alias("size"), "_n", "v"))
+    first = Window.unboundedPreceding if reach is None else -reach
+    d = d.withColumn("_w", F.max(entry).over(ordered(by).rowsBetween(first, 0)))
+    return d.withColumn("v", F.col("_w.v") * F.pow(F.lit(decay), (F.col("_n") - F.col("_w._n")).cast("double"))).drop("_n", "_w")
 
 
 def difference(by: str) -> Column:

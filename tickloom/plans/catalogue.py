@@ -166,7 +166,7 @@ register("tmedian_r1", f"{S}, a AS (SELECT event_id, list_sort(list(v) OVER (PAR
 register(
     "lagfun_095",
     f"{S}, n AS (SELECT *, row_number() OVER {W} AS n FROM s) SELECT a.event_id, round(max(b.v * pow(0.95, a.n - b.n)), 4) AS v FROM n a JOIN n b ON a.user_id = b.user_id AND b.n BETWEEN a.n - 120 AND a.n GROUP BY a.event_id",
-)(lambda s, d: windows.lagfun(stream(s, d), 0.95, "user_id", 120).select("event_id", R4(F.col("v")).alias("v")))
+)(lambda s, d: windows.lagfun(stream(s, d), 0.95, "user_id").select("event_id", R4(F.col("v")).alias("v")))
 register("aderivative", f"{S} SELECT event_id, round(v - lag(v) OVER {W}, 4) AS dv FROM s")(lambda s, d: stream(s, d).select("event_id", R4(windows.difference("user_id")).alias("dv")))
 register("aintegral", f"{S} SELECT event_id, round(sum(v) OVER (PARTITION BY user_id ORDER BY pts ROWS UNBOUNDED PRECEDING), 3) AS total FROM s")(
     lambda s, d: stream(s, d).select("event_id", F.round(F.sum("v").over(timing.ordered("user_id").rowsBetween(Window.unboundedPreceding, 0)), 3).alias("total"))
