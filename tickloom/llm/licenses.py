@@ -98,33 +98,37 @@ def parse(symbols: list[str]):
     return output[-1] if output else None
 
 
-def names(tree) -> list[str]:
-    """The licences of an expression; an exception after ``with`` belongs to its licence."""
-    if tree is None:
-        return []
-    if isinstance(tree, str):
-        return [tree]
-    if tree[0] == "with":
-        return names(tree[1])
-    return names(tree[1]) + names(tree[2])
-
+def evaluated(tree) -> tuple[list[str], bool]:
+    """(licences in order, whether the expression can be met without copyleft), without recursion: trees may be deep.
 
-def permissive(tree) -> bool:
-    """Whether the expression can be met without copyleft: any side of ``or``, both sides of ``and``."""
-    if isinstance(tree, str):
-        return not tree.startswith(COPYLEFT)
-    if tree[0] == "with":
-        return True  # an exception lifts the condition for linking
-    a, b = permissive(tree[1]), permissive(tree[2])
-    return a or b if tree[0] == "or" else a and b
+    An exception after ``with`` belongs to its licence, which stays what it is. Of ``or`` either side will do, ``and`` asks for both."""
+    if tree is None:
+        return [], False
+    found: list[str] = []
+    values: list[bool] = []
+    todo: list = [tree]
+    while todo:
+        now = todo.pop()
+        if isinstance(now, str):
+            found.append(now)
+            values.append(not now.startswith(COPYLEFT))
+        elif len(now) == 1:  # both sides have their values
+            b, a = values.pop(), values.pop()
+            values.append(a or b if now[0] == "or" else a and b)
+        elif now[0] == "with":
+            todo.append(now[1])
+        else:
+            todo += [now[:1], now[2], now[1]]
+    return found, values[0]
 
 
 def expressions(lowered: str) -> list:
-    """The parsed expression after each identifier tag."""
+    """The parsed expression after each identifier tag, up to the line's end or the next tag."""
     out = []
-    for end, _ in tag_automaton().iter(lowered):
-        line = lowered[end + 1 :].split("\n", 1)[0]
-        tree = parse(SYMBOL.findall(line.lstrip(" :\t")))
+    ends = [end for end, _ in tag_automaton().iter(lowered)]
+    for end, to in zip(ends, [*(e - len(TAG) + 1 for e in ends[1:]), len(lowered)], strict=True):
+        stop = lowered.find("\n", end + 1, to)
+        tree = parse(SYMBOL.findall(lowered[end + 1 : to if stop < 0 else stop].lstrip(" :\t")))
         if tree is not None:
             out.append(tree)
     return out
@@ -155,10 +159,11 @@ def scan(text: str) -> tuple:
             first, last = place if first is None else min(first, place), place if last is None else max(last, place)
     if b"-" in raw and TAG in (lowered := raw.translate(LOWER).decode("utf-8", "replace")):
         for tree in expressions(lowered):
-            more.update(names(tree))
+            found, free = evaluated(tree)
+            more.update(found)
             more.add("spdx")
             weight = 1.0
-            if permissive(tree):
+            if free:
                 more.add("permissive")
     if n or more:
         weight = max(weight, 1 - 0.5 ** (n + len(more)))
