@@ -122,6 +122,11 @@ def evaluated(tree) -> tuple[list[str], bool]:
     return found, values[0]
 
 
+def permissive(tree) -> bool:
+    """Whether the expression can be met without copyleft."""
+    return evaluated(tree)[1]
+
+
 def expressions(lowered: str) -> list:
     """The parsed expression after each identifier tag, up to the line's end or the next tag."""
     out = []
