@@ -2,19 +2,25 @@
 
 Precedence, loosest first: ``;`` (the last value counts), ``+ -``, ``* /``, ``^`` (left-associative), signs. All values are
 doubles with IEEE rules: division by zero gives an infinity or NaN, comparisons with NaN give 0, and a condition holds
-where it isn't 0, NaN included. Expressions that keep state (``st``, ``ld``, ``while``, ``root``) have no column form; they
-are evaluated in order by ``evaluate``.
+where it isn't 0, NaN included. Expressions that keep state (``st``, ``ld``, ``random``) or that evaluate a part several times
+(``while``, ``root``, ``taylor``) have no column form: ``operators.recursive.evaluated`` takes the records of a stream in order,
+``evaluate`` takes one.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import time
 from collections.abc import Callable
 
-from pyspark.sql import Column
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 CONSTANTS = {"PI": math.pi, "E": math.e, "PHI": (1 + math.sqrt(5)) / 2}
 #: Decimal prefixes as powers of ten; an ``i`` after one makes it a power of 1024 or its inverse.
 PREFIXES = {"y": -24, "z": -21, "a": -18, "f": -15, "p": -12, "n": -9, "u": -6, "m": -3, "c": -2, "d": -1, "h": 2, "k": 3, "K": 3, "M": 6, "G": 9, "T": 12, "P": 15, "E": 18, "Z": 21, "Y": 24}
@@ -193,15 +199,33 @@ def _clip(x: Column, low: Column, high: Column) -> Column:
     return F.when(F.isnan(low) | F.isnan(high) | (low > high), _num(NAN)).when(F.isnan(x), x).when(x < low, low).when(x > high, high).otherwise(x)
 
 
+def _whole(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a number that has a fraction; from 2 ** 53 on there is none, and NaN and infinities stay."""
+    return F.when(F.abs(x) < 2.0**53, f(F.when(F.abs(x) < 2.0**53, x).otherwise(0.0)).cast("double")).otherwise(x)
+
+
+def _long(x: Column) -> Column:
+    """Cut to 64 bits, at the ends where it doesn't fit; NaN becomes 0."""
+    return F.when(F.isnan(x), 0).when(x >= 2.0**63, (1 << 63) - 1).when(x <= -(2.0**63), -(1 << 63)).otherwise(F.when(F.abs(x) < 2.0**63, x).otherwise(0.0).cast("long"))
+
+
 def _bits(x: Column, y: Column, f) -> Column:
-    return F.when(F.isnan(x) | F.isnan(y), _num(NAN)).otherwise(f(x.cast("long"), y.cast("long")).cast("double"))
+    return F.when(F.isnan(x) | F.isnan(y), _num(NAN)).otherwise(f(_long(x), _long(y)).cast("double"))
+
+
+def _gcd_array(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    # a zero gives the other operand as it is, its sign included
+    return np.where(a == 0, b, np.where(b == 0, a, np.gcd(np.maximum(a, 1 - (1 << 63)), np.maximum(b, 1 - (1 << 63))))).astype(np.float64)
 
 
 def _gcd(x: Column, y: Column) -> Column:
-    pair = F.struct(F.abs(x.cast("long")).alias("a"), F.abs(y.cast("long")).alias("b"))
-    step = lambda s, _: F.struct(F.when(s["b"] == 0, s["a"]).otherwise(s["b"]).alias("a"), F.when(s["b"] == 0, s["b"]).otherwise(s["a"] % F.when(s["b"] == 0, F.lit(1)).otherwise(s["b"])).alias("b"))
-    # 92 steps suffice for 64 bits
-    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), pair, step, lambda s: s["a"].cast("double"))
+    """No built-in function has it, and a chain of remainders for 64 bits would be evaluated whole for each row."""
+    ship(SparkSession.active())
+
+    def each(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(_gcd_array(a.to_numpy(), b.to_numpy()))
+
+    return F.pandas_udf(each, "double")(_long(x), _long(y))
 
 
 COLUMNS: dict[str, Callable] = {
@@ -210,13 +234,13 @@ COLUMNS: dict[str, Callable] = {
     "sqrt": F.sqrt, "tanh": F.tanh, "tan": F.tan, "hypot": F.hypot, "pow": F.pow, "isnan": lambda x: _flag(F.isnan(x)), "isinf": lambda x: _flag(x.isin(INF, -INF)),
     "between": lambda x, y, z: _flag((x >= y) & (x <= z) & ~F.isnan(x) & ~F.isnan(y) & ~F.isnan(z)),
     "bitand": lambda x, y: _bits(x, y, lambda a, b: a.bitwiseAND(b)), "bitor": lambda x, y: _bits(x, y, lambda a, b: a.bitwiseOR(b)),
-    "ceil": lambda x: F.ceil(x).cast("double"), "floor": lambda x: F.floor(x).cast("double"), "round": lambda x: F.round(x), "trunc": lambda x: F.signum(x) * F.floor(F.abs(x)),
+    "ceil": lambda x: _whole(x, F.ceil), "floor": lambda x: _whole(x, F.floor), "round": lambda x: _whole(x, F.round), "trunc": lambda x: _whole(x, lambda v: F.signum(v) * F.floor(F.abs(v))),
     "clip": _clip, "eq": lambda x, y: _ordered(x, y, x == y), "gt": lambda x, y: _ordered(x, y, x > y), "gte": lambda x, y: _ordered(x, y, x >= y),
     "lt": lambda x, y: _ordered(x, y, x < y), "lte": lambda x, y: _ordered(x, y, x <= y), "gauss": lambda x: F.exp(-x * x / 2) / math.sqrt(2 * math.pi), "gcd": _gcd,
     "if": lambda c, a, b=None: F.when(_truth(c), a).otherwise(_num(0.0) if b is None else b), "ifnot": lambda c, a, b=None: F.when(_truth(c), _num(0.0) if b is None else b).otherwise(a),
     "lerp": lambda x, y, z: x + z * (y - x), "log": lambda x: F.when(x == 0, _num(-INF)).when(x < 0, _num(NAN)).otherwise(F.ln(x)),
     "max": lambda x, y: F.when((x > y) & ~F.isnan(x) & ~F.isnan(y), x).otherwise(y), "min": lambda x, y: F.when((x < y) & ~F.isnan(x) & ~F.isnan(y), x).otherwise(y),
-    "mod": lambda x, y: x - F.floor(_divide(x, y)) * y, "not": lambda x: _flag(x == 0), "sgn": F.signum, "squish": lambda x: 1 / (1 + F.exp(4 * x)),
+    "mod": lambda x, y: x - _whole(_divide(x, y), F.floor) * y, "not": lambda x: _flag(x == 0), "sgn": lambda x: F.when(F.isnan(x), 0.0).otherwise(F.signum(x)), "print": lambda x, *_: x, "squish": lambda x: 1 / (1 + F.exp(4 * x)),
 }
 
 
@@ -241,71 +265,135 @@ def condition(text: str, variables: dict[str, Column] | None = None) -> Column:
     return _truth(to_column(text, variables))
 
 
-def evaluate(tree, values: dict[str, float], registers: list[float]) -> float:
-    """One evaluation of any expression, in Python; ``registers`` (ten) carry over to the next one."""
-    go = lambda t, **more: evaluate(t, values | more, registers)
+#: How often a loop goes round at most, in one evaluation.
+ROUNDS = 100_000
+
+
+def evaluate(tree, values: dict[str, float], registers: list[float], now: Callable[[], float] = time.time, functions: dict[str, Callable] | None = None) -> float:
+    """One evaluation of any expression, in Python; ``registers`` (ten) carry over to the next one. now: what ``time`` gives;
+    functions: the caller's own, by name."""
+    go = lambda t: evaluate(t, values, registers, now, functions)
     kind, args = tree[0], tree[1:]
     if kind == "num":
         return args[0]
     if kind == "var":
         return values[args[0]]
-    register = lambda x: min(9, max(0, int(x))) if x == x else 0
+    if functions and kind in functions:
+        return float(functions[kind](*map(go, args)))
+    register = lambda x: 0 if x != x else int(min(9.0, max(0.0, x)))
     if kind in ("if", "ifnot"):
         holds = (go(args[0]) != 0) == (kind == "if")
         return go(args[1]) if holds else go(args[2]) if len(args) > 2 else 0.0
     if kind == "while":
         last = NAN
-        for _ in range(100_000):
+        for _ in range(ROUNDS):
             if go(args[0]) == 0:
                 break
             last = go(args[1])
         return last
     if kind == "st":
-        registers[register(go(args[0]))] = value = go(args[1])
+        k = register(go(args[0]))
+        registers[k] = value = go(args[1])
         return value
     if kind == "ld":
         return registers[register(go(args[0]))]
     if kind == "root":
-        return _root(lambda x: _with_register(args[0], values, registers, x), go(args[1]))
-    x = [go(a) for a in args]
-    return _python(kind, x)
-
-
-def _with_register(tree, values, registers, x: float) -> float:
-    registers[0] = x
-    return evaluate(tree, values, registers)
-
-
-def _root(f, limit: float) -> float:
-    """Where f changes its sign in [-limit, limit], by bisection over a grid."""
-    n = 1000
-    xs = [-limit + 2 * limit * k / n for k in range(n + 1)]
-    best = min(xs, key=lambda x: abs(f(x)))
-    for a, b in zip(xs, xs[1:], strict=False):
-        if (f(a) < 0) != (f(b) < 0):
-            for _ in range(200):
-                m = (a + b) / 2
-                a, b = (m, b) if (f(m) < 0) == (f(a) < 0) else (a, m)
-            return (a + b) / 2
-    return best
+        return _root(args[0], go(args[1]), registers, go)
+    if kind == "taylor":
+        return _taylor(args[0], go(args[1]), register(go(args[2])) if len(args) > 2 else 0, registers, go)
+    if kind in ("random", "randomi"):
+        x = _random(register(go(args[0])), registers)
+        if kind == "random":
+            return x
+        low, high = go(args[1]), go(args[2])
+        return low + (high - low) * x
+    if kind == "time":
+        go(args[0])
+        return now()
+    return _python(kind, [go(a) for a in args])
+
+
+def _random(k: int, registers: list[float]) -> float:
+    """A linear congruential generator of 64 bits, whose state is a register; a share of the greatest state."""
+    old = registers[k]
+    seed = 0 if old != old else int(min(max(old, 0.0), 2.0**64 - 1)) if old < 2.0**64 else (1 << 64) - 1
+    new = (seed * 1_664_525 + 1_013_904_223) & ((1 << 64) - 1)
+    registers[k] = float(new)
+    return float(new) / 18_446_744_073_709_551_615.0
+
+
+def _taylor(body, x: float, k: int, registers: list[float], go: Callable) -> float:
+    """The sum of body(i) x^i / i!, the register ``k`` holding i; it gets its old value back."""
+    old, term, total = registers[k], 1.0, 0.0
+    for i in range(1000):
+        registers[k] = float(i)
+        total += term * go(body)
+        term *= x / (i + 1)
+        if term == 0:
+            break
+    registers[k] = old
+    return total
+
+
+def _root(body, limit: float, registers: list[float], go: Callable) -> float:
+    """Where body(ld(0)) is 0, by secants from 0 and ``limit``; register 0 gets its old value back."""
+    old = registers[0]
+
+    def f(x: float) -> float:
+        registers[0] = x
+        return go(body)
+
+    a, b = 0.0, limit
+    fa, fb = f(a), f(b)
+    for _ in range(1000):
+        if fa == fb:
+            break
+        c = b - fb * (b - a) / (fb - fa)
+        if not math.isfinite(c) or c == b:
+            break
+        a, fa, b, fb = b, fb, c, f(c)
+    registers[0] = old
+    return b
+
+
+def _whole_python(f: Callable[[float], float]) -> Callable[[float], float]:
+    return lambda a: a if not abs(a) < 2.0**53 else float(f(a))
+
+
+def _long_python(a: float) -> int:
+    return 0 if a != a else min((1 << 63) - 1, max(-(1 << 63), int(a))) if abs(a) != INF else ((1 << 63) - 1 if a > 0 else -(1 << 63))
+
+
+def _gcd_python(a: float, b: float) -> float:
+    x, y = _long_python(a), _long_python(b)
+    return float(math.gcd(x, y) if x and y else x or y)
+
+
+def _divide_python(a: float, b: float) -> float:
+    return a / b if b else NAN if a == 0 or a != a else math.copysign(INF, a) * math.copysign(1, b)
+
+
+def _pair_bits(f: Callable[[int, int], int]) -> Callable[[float, float], float]:
+    return lambda a, b: NAN if a != a or b != b else float(f(_long_python(a), _long_python(b)))
+
+
+_FLOOR = _whole_python(math.floor)
+PYTHON: dict[str, Callable] = {
+    "+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": _divide_python, "neg": lambda a: -a, "seq": lambda *a: a[-1], "abs": abs,
+    "eq": lambda a, b: float(a == b), "gt": lambda a, b: float(a > b), "gte": lambda a, b: float(a >= b), "lt": lambda a, b: float(a < b), "lte": lambda a, b: float(a <= b),
+    "max": lambda a, b: a if a > b else b, "min": lambda a, b: a if a < b else b, "mod": lambda a, b: a - _FLOOR(_divide_python(a, b)) * b, "not": lambda a: float(a == 0),
+    "between": lambda a, b, c: float(b <= a <= c), "floor": _FLOOR, "ceil": _whole_python(math.ceil), "trunc": _whole_python(math.trunc),
+    "round": _whole_python(lambda a: math.copysign(math.floor(abs(a) + 0.5), a)), "lerp": lambda a, b, c: a + c * (b - a), "pow": math.pow, "sgn": lambda a: float((a > 0) - (a < 0)),
+    "squish": lambda a: 1 / (1 + math.exp(4 * a)), "gauss": lambda a: math.exp(-a * a / 2) / math.sqrt(2 * math.pi), "clip": lambda a, b, c: (b if a < b else c if a > c else a) if b <= c else NAN,
+    "isnan": lambda a: float(a != a), "isinf": lambda a: float(a in (INF, -INF)), "gcd": _gcd_python, "bitand": _pair_bits(lambda a, b: a & b), "bitor": _pair_bits(lambda a, b: a | b),
+    "log": lambda a: -INF if a == 0 else math.log(a), "print": lambda a, *_: a,
+}
 
 
 def _python(kind: str, x: list[float]) -> float:
     try:
-        if kind == "seq":
-            return x[-1]
-        if kind == "neg":
-            return -x[0]
-        if kind == "/":
-            return x[0] / x[1] if x[1] else (NAN if x[0] == 0 or x[0] != x[0] else math.copysign(INF, x[0]) * math.copysign(1, x[1]))
-        simple = {
-            "+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "abs": abs, "eq": lambda a, b: float(a == b), "gt": lambda a, b: float(a > b), "gte": lambda a, b: float(a >= b),
-            "lt": lambda a, b: float(a < b), "lte": lambda a, b: float(a <= b), "max": lambda a, b: a if a > b else b, "min": lambda a, b: a if a < b else b, "mod": lambda a, b: a - math.floor(a / b) * b,
-            "not": lambda a: float(a == 0), "between": lambda a, b, c: float(b <= a <= c), "floor": lambda a: float(math.floor(a)), "ceil": lambda a: float(math.ceil(a)), "trunc": lambda a: float(math.trunc(a)),
-            "round": lambda a: math.copysign(math.floor(abs(a) + 0.5), a), "lerp": lambda a, b, c: a + c * (b - a), "pow": math.pow, "sgn": lambda a: float((a > 0) - (a < 0)), "squish": lambda a: 1 / (1 + math.exp(4 * a)),
-            "gauss": lambda a: math.exp(-a * a / 2) / math.sqrt(2 * math.pi), "clip": lambda a, b, c: NAN if not b <= c else min(max(a, b), c), "isnan": lambda a: float(a != a), "isinf": lambda a: float(a in (INF, -INF)),
-            "gcd": lambda a, b: float(math.gcd(int(a), int(b))), "bitand": lambda a, b: float(int(a) & int(b)), "bitor": lambda a, b: float(int(a) | int(b)), "log": lambda a: -INF if a == 0 else math.log(a), "print": lambda a, *_: a,
-        }
-        return float((simple.get(kind) or getattr(math, kind))(*x))
-    except (ValueError, OverflowError, ZeroDivisionError):
+        return float((PYTHON.get(kind) or getattr(math, kind))(*x))
+    except (ValueError, ZeroDivisionError):
         return NAN
+    except OverflowError:
+        return 0.0 if kind == "squish" else -INF if kind in ("sinh",) and x[0] < 0 else INF
