@@ -1,4 +1,4 @@
-"""Sliding windows and detectors of runs."""
+"""Sliding windows, recursions with a closed form, and detectors of runs."""
 
 from __future__ import annotations
 
@@ -7,74 +7,157 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .timing import ordered
+from .order import numbered, ordered, previous, running, tie
 
 
-def tmix(stream: DataFrame, frames: int, by: str) -> DataFrame:
-    """v: the mean of the last ``frames`` records, fewer at the start."""
-    return stream.withColumn("v", F.avg("v").over(ordered(by).rowsBetween(1 - frames, 0)))
+def _trailing(stream: DataFrame, by: str, records: int) -> Window:
+    return ordered(by, *tie(stream)).rowsBetween(1 - records, 0)
 
 
-def tmedian(stream: DataFrame, radius: int, by: str) -> DataFrame:
-    """v: the lower median of the record and its neighbours within ``radius``."""
-    around = F.array_sort(F.collect_list("v").over(ordered(by).rowsBetween(-radius, radius)))
-    return stream.withColumn("_a", around).withColumn("v", F.element_at("_a", F.floor((F.size("_a") + 1) / 2).cast("int"))).drop("_a")
+def tmix(stream: DataFrame, frames: int, by: str, weights: list[float] | None = None, scale: float = 0.0) -> DataFrame:
+    """v: the weighted mean of the last ``frames`` records, the oldest first; a short list of weights repeats its last one.
 
+    ``scale`` 0 divides by the weights of the records that are there, fewer at the start; these are the list's first."""
+    if not weights and not scale:
+        return stream.withColumn("v", F.avg("v").over(_trailing(stream, by, frames)))
+    w = [*(weights or [1.0]), *[(weights or [1.0])[-1]] * frames][:frames]
+    held = F.collect_list("v").over(_trailing(stream, by, frames))
+    factors = F.array(*map(F.lit, map(float, w)))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    out = stream.withColumn("_held", held)
+    both = total(F.transform("_held", lambda x, k: x * F.get(factors, k)))
+    by_ = F.lit(float(scale)) if scale else total(F.slice(factors, 1, F.size("_held")))
+    return out.withColumn("v", both / by_).drop("_held")
 
-def lagfun(stream: DataFrame, decay: float, by: str, reach: int | None = None) -> DataFrame:
-    """v: the greatest of the records so far, each times decay to the power of its age; all ages count, or those up to ``reach``."""
-    d = stream.withColumn("_n", F.row_number().over(ordered(by)))
+
+def tmedian(stream: DataFrame, radius: int, by: str, percentile: float = 0.5, compat: bool = True) -> DataFrame:
+    """v: the value of a rank among 2 radius + 1 records: the last ones, as published engines have it (``compat``), or those
+    around each record. The rank is percentile times (records - 1), rounded, halves up; there are fewer at the ends."""
+    rows = (-2 * radius, 0) if compat else (-radius, radius)
+    around = F.array_sort(F.collect_list("v").over(ordered(by, *tie(stream)).rowsBetween(*rows)))
+    rank = F.floor(F.lit(percentile) * (F.size("_a") - 1) + 0.5).cast("int")
+    return stream.withColumn("_a", around).withColumn("v", F.get("_a", rank)).drop("_a")
+
+
+def tmidequalizer(stream: DataFrame, radius: int, by: str, sigma: float = 0.5) -> DataFrame:
+    """v: between the record and the mean of the last 2 radius + 1 ones; ``sigma`` is the mean's share."""
+    mean = F.avg("v").over(_trailing(stream, by, 2 * radius + 1))
+    return stream.withColumn("v", F.col("v") * (1 - sigma) + mean * sigma)
+
+
+def deflicker(stream: DataFrame, size: int, by: str, mode: str = "am") -> DataFrame:
+    """Adds ``factor``: the mean of the last ``size`` records over the record; 1 for 0.
+
+    mode: am, gm, hm, qm, cm (arithmetic, geometric, harmonic, quadratic, cubic), pm (as am) or median (upper of two)."""
+    w = _trailing(stream, by, size)
+    v = F.col("v").cast("double")
+    means = {
+        "am": lambda: F.avg(v).over(w), "pm": lambda: F.avg(v).over(w), "gm": lambda: F.exp(F.avg(F.ln(v)).over(w)), "hm": lambda: 1 / F.avg(1 / v).over(w),
+        "qm": lambda: F.sqrt(F.avg(v * v).over(w)), "cm": lambda: F.cbrt(F.avg(v * v * v).over(w)),
+        "median": lambda: F.get(F.array_sort(F.collect_list(v).over(w)), F.floor(F.count(v).over(w) / 2).cast("int")),
+    }
+    return stream.withColumn("factor", F.when(v == 0, 1.0).otherwise(means[mode]() / F.when(v != 0, v)))
+
+
+def amplify(stream: DataFrame, radius: int, by: str, factor: float = 2.0, threshold: float = 10.0, tolerance: float = 0.0, low: float = 65535.0, high: float = 65535.0) -> DataFrame:
+    """v: the difference to the mean of the records within ``radius`` is multiplied where it lies between ``tolerance`` and
+    ``threshold``; it grows by ``low`` downwards and ``high`` upwards at most."""
+    d = F.col("v") - F.avg("v").over(ordered(by, *tie(stream)).rowsBetween(-radius, radius))
+    grown = F.greatest(F.lit(-low), F.least(F.lit(high), d * factor))
+    return stream.withColumn("v", F.when((F.abs(d) < threshold) & (F.abs(d) > tolerance), F.col("v") + grown).otherwise(F.col("v")))
+
+
+def lagfun(stream: DataFrame, decay: float, by: str, bucket: int | None = None) -> DataFrame:
+    """v: the greater of the record and the last result times ``decay``: the greatest of all records so far, each times
+    decay to the power of its age."""
+    d = numbered(stream, by, bucket=bucket)
     # the winner by logarithms, so that neither growth nor decay leaves the range; negative ones fade towards zero
     size = F.log(F.abs("v")) - F.col("_n") * math.log(decay)
     sign = F.signum("v")
-    entry = F.when(F.col("v").isNotNull(), F.struct(sign.alias("sign"), F.coalesce(sign * size, F.lit(0.0)).alias("size"), "_n", "v"))
-    first = Window.unboundedPreceding if reach is None else -reach
-    d = d.withColumn("_w", F.max(entry).over(ordered(by).rowsBetween(first, 0)))
-    return d.withColumn("v", F.col("_w.v") * F.pow(F.lit(decay), (F.col("_n") - F.col("_w._n")).cast("double"))).drop("_n", "_w")
+    entry = F.when(F.col("v").isNotNull(), F.struct(sign.alias("sign"), F.coalesce(sign * size, F.lit(0.0)).alias("size"), F.col("_n").alias("n"), F.col("v").alias("v")))
+    d = running(d, by, {"_w": ("max", entry)}, bucket)
+    return d.withColumn("v", F.col("_w.v") * F.pow(F.lit(decay), (F.col("_n") - F.col("_w.n")).cast("double"))).drop("_n", "_w")
+
+
+def derivative(stream: DataFrame, by: str, bucket: int | None = None) -> DataFrame:
+    """v: the record less the one before; the first one stays, as if 0 came before."""
+    d = previous(stream, by, {"_p": F.col("v")}, bucket)
+    return d.withColumn("v", F.col("v") - F.coalesce("_p", F.lit(0.0))).drop("_p")
 
 
-def difference(by: str) -> Column:
-    """The record less the one before."""
-    return F.col("v") - F.lag("v").over(ordered(by))
+def integral(stream: DataFrame, by: str, bucket: int | None = None) -> DataFrame:
+    """v: the sum of all records so far."""
+    return running(stream, by, {"_s": ("sum", F.col("v"))}, bucket).withColumn("v", F.col("_s")).drop("_s")
 
 
-def scene_score(stream: DataFrame, by: str) -> DataFrame:
-    """Adds ``score``: the absolute difference to the record before, 0 if it is the same as the one before that."""
-    d = stream.withColumn("_d", F.abs(difference(by)))
-    return d.withColumn("score", F.coalesce(F.when(F.col("_d") == F.lag("_d").over(ordered(by)), 0.0).otherwise(F.col("_d")), F.lit(0.0))).drop("_d")
+def scene_score(stream: DataFrame, by: str, threshold: float | None = None, bucket: int | None = None) -> DataFrame:
+    """Adds ``score``: the absolute difference to the record before, 0 if it is the same as the one before that; and
+    ``time``, the pts where the score reaches ``threshold``."""
+    d = previous(stream, by, {"_p": F.col("v")}, bucket).withColumn("_d", F.abs(F.col("v") - F.col("_p")))
+    d = previous(d, by, {"_q": F.col("_d")}, bucket)
+    out = d.withColumn("score", F.coalesce(F.when(F.col("_d") == F.col("_q"), 0.0).otherwise(F.col("_d")), F.lit(0.0))).drop("_p", "_d", "_q")
+    return out if threshold is None else out.withColumn("time", F.when(F.col("score") >= threshold, F.col("pts")))
 
 
-def runs(stream: DataFrame, holds: Column, by: str) -> DataFrame:
-    """(by, start, end, records): maximal runs of records for which ``holds`` is true; end is the last one's pts."""
-    w = ordered(by)
+def runs(stream: DataFrame, holds: Column, by: str, bucket: int | None = None) -> DataFrame:
+    """(by, start, end, records, next): maximal runs of records for which ``holds`` is true; end is the last one's pts,
+    next that of the record after it, null if the run is open at the stream's end."""
     marked = stream.withColumn("_h", F.coalesce(holds, F.lit(False)))
-    begins = F.when(F.col("_h") & ~F.coalesce(F.lag("_h").over(w), F.lit(False)), 1).otherwise(0)
-    grouped = marked.withColumn("_b", begins).withColumn("_run", F.sum("_b").over(w)).filter("_h")
-    return grouped.groupBy(by, "_run").agg(F.min("pts").alias("start"), F.max("pts").alias("end"), F.count("*").alias("records")).drop("_run")
+    d = previous(marked, by, {"_ph": F.col("_h")}, bucket)
+    d = previous(d, by, {"_next": F.col("pts")}, bucket, descending=True)
+    d = d.withColumn("_b0", F.when(F.col("_h") & ~F.coalesce(F.col("_ph"), F.lit(False)), 1).otherwise(0))
+    d = running(d, by, {"_run": ("sum", F.col("_b0"))}, bucket).filter("_h")
+    last = F.max_by("_next", F.struct("pts", *tie(stream)))
+    return d.groupBy(by, "_run").agg(F.min("pts").alias("start"), F.max("pts").alias("end"), F.count("*").alias("records"), last.alias("next")).drop("_run")
+
+
+def silencedetect(stream: DataFrame, noise: float, duration: int, by: str, bucket: int | None = None) -> DataFrame:
+    """(by, silence_start, silence_end, silence_duration): runs of records whose magnitude is at most ``noise``.
+
+    A run is reported once it lasts ``duration``, from its first record to the first loud one or, at the stream's end, its
+    last one; a run that is open there has a start but neither end nor duration."""
+    found = runs(stream, F.abs("v") <= noise, by, bucket)
+    span = F.coalesce("next", "end") - F.col("start")
+    return found.filter(span >= duration).select(by, F.col("start").alias("silence_start"), F.col("next").alias("silence_end"), (F.col("next") - F.col("start")).alias("silence_duration"))
 
 
-def freezedetect(stream: DataFrame, noise: float, duration: int, by: str) -> DataFrame:
+def freezedetect(stream: DataFrame, noise: float, duration: int, by: str, bucket: int | None = None) -> DataFrame:
     """(by, freeze_start, freeze_end): from the record before the first small difference to the one that breaks the run
     (null at the end of the stream), where the run lasts at least ``duration``."""
-    w = ordered(by)
-    still = F.coalesce(F.abs(difference(by)) <= noise, F.lit(False))
-    d = stream.withColumn("_s", still).withColumn("_prev", F.lag("pts").over(w)).withColumn("_next", F.lead("pts").over(w))
-    d = d.withColumn("_b", F.when(F.col("_s") & ~F.coalesce(F.lag("_s").over(w), F.lit(False)), 1).otherwise(0)).withColumn("_run", F.sum("_b").over(w)).filter("_s")
-    found = d.groupBy(by, "_run").agg(F.min("_prev").alias("freeze_start"), F.max("pts").alias("_last"), F.max_by("_next", "pts").alias("freeze_end"))
+    d = previous(stream, by, {"_pv": F.col("v"), "_pt": F.col("pts")}, bucket)
+    marked = d.withColumn("_s", F.coalesce(F.abs(F.col("v") - F.col("_pv")) <= noise, F.lit(False)))
+    d = previous(marked, by, {"_ps": F.col("_s")}, bucket)
+    d = previous(d, by, {"_next": F.col("pts")}, bucket, descending=True)
+    d = d.withColumn("_b0", F.when(F.col("_s") & ~F.coalesce(F.col("_ps"), F.lit(False)), 1).otherwise(0))
+    d = running(d, by, {"_run": ("sum", F.col("_b0"))}, bucket).filter("_s")
+    found = d.groupBy(by, "_run").agg(F.min("_pt").alias("freeze_start"), F.max("pts").alias("_last"), F.max_by("_next", F.struct("pts", *tie(stream))).alias("freeze_end"))
     return found.filter(F.col("_last") - F.col("freeze_start") >= duration).select(by, "freeze_start", "freeze_end")
 
 
-def vfrdet(stream: DataFrame, by: str) -> DataFrame:
+def vfrdet(stream: DataFrame, by: str, bucket: int | None = None) -> DataFrame:
     """(by, changed, same): how many steps of pts differ from the step before, and how many don't."""
-    w = ordered(by)
-    step = stream.withColumn("_s", F.col("pts") - F.lag("pts").over(w)).withColumn("_p", F.lag("_s").over(w)).filter("_p is not null")
-    return step.groupBy(by).agg(F.sum(F.when(F.col("_s") != F.col("_p"), 1).otherwise(0)).alias("changed"), F.sum(F.when(F.col("_s") == F.col("_p"), 1).otherwise(0)).alias("same"))
+    d = previous(stream, by, {"_p": F.col("pts")}, bucket).withColumn("_s", F.col("pts") - F.col("_p"))
+    step = previous(d, by, {"_q": F.col("_s")}, bucket).filter("_q is not null")
+    return step.groupBy(by).agg(F.sum(F.when(F.col("_s") != F.col("_q"), 1).otherwise(0)).alias("changed"), F.sum(F.when(F.col("_s") == F.col("_q"), 1).otherwise(0)).alias("same"))
 
 
-def decimate(stream: DataFrame, cycle: int, by: str) -> DataFrame:
-    """Drops the record nearest to its predecessor out of every ``cycle``; ties drop the earlier. Whole cycles only."""
-    d = stream.withColumn("_n", F.row_number().over(ordered(by)) - 1).withColumn("_d", F.coalesce(F.abs(difference(by)), F.lit(float("inf"))))
-    d = d.withColumn("_c", F.floor(F.col("_n") / cycle))
+def decimate(stream: DataFrame, cycle: int, by: str, dupthresh: float = 1.1, scthresh: float = 15.0, peak: float = 255.0, bucket: int | None = None) -> DataFrame:
+    """Drops the record nearest to its predecessor (ties: the earlier) out of every ``cycle`` ones, the last incomplete
+    group included. Differences are shares of ``peak``: one is dropped only if its difference is below ``dupthresh``
+    hundredths and none of the group is above ``scthresh`` hundredths. A stream's first record has no difference."""
+    d = numbered(previous(stream, by, {"_p": F.col("v")}, bucket), by, bucket=bucket)
+    d = d.withColumn("_d", F.abs(F.col("v") - F.col("_p")) / peak).withColumn("_c", F.floor(F.col("_n") / cycle))
     group = Window.partitionBy(by, "_c")
-    d = d.withColumn("_size", F.count("*").over(group)).withColumn("_rank", F.row_number().over(group.orderBy("_d", "_n")))
-    return d.filter(f"_rank > 1 or _size < {cycle}").drop("_n", "_d", "_c", "_size", "_rank")
+    least = F.min(F.when(F.col("_d").isNotNull(), F.struct(F.col("_d").alias("d"), F.col("_n").alias("n")))).over(group)
+    d = d.withColumn("_least", least).withColumn("_most", F.max("_d").over(group))
+    goes = (F.col("_least.n") == F.col("_n")) & (F.col("_least.d") < dupthresh / 100) & (F.col("_most") <= scthresh / 100)
+    return d.filter(~F.coalesce(goes, F.lit(False))).drop("_n", "_p", "_d", "_c", "_least", "_most")
+
+
+def mpdecimate(stream: DataFrame, high: float, low: float, by: str, frac: float = 0.33, bucket: int | None = None) -> DataFrame:
+    """Drops records like the one before: each is one block, so it goes if its difference is at most ``high`` and, unless
+    ``frac`` is over 1, at most ``low``."""
+    d = previous(stream, by, {"_p": F.col("v")}, bucket)
+    diff = F.abs(F.col("v") - F.col("_p"))
+    goes = (diff <= high) & (F.when(diff > low, 1.0).otherwise(0.0) < frac)
+    return d.filter(~F.coalesce(goes, F.lit(False))).drop("_p")
