@@ -1,6 +1,8 @@
 """The registered queries of the library's own operators, each with DuckDB SQL for the same rows.
 
-Streams: ``events`` by user_id, pts in microseconds, v the value. Every query runs over its whole tables.
+Streams: ``events`` by user_id, pts in microseconds, v the value, event_id the order of arrival. Every query runs over its
+whole tables. Queries whose name ends in ``_dealt`` deal streams to time buckets (``operators.order``); their SQL is that of
+the plain form.
 """
 
 from __future__ import annotations
@@ -11,24 +13,26 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import to_column
-from ..operators import align, elementwise, stats, timing, windows
+from ..operators import align, audio, bitstream, elementwise, recursive, stats, timing, windows
 from ..sources import packets
-from . import graph
+from . import formats, graph, live, video
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 HOUR = 3_600_000_000
+#: Ticks of a time bucket, where streams are dealt to buckets.
+BUCKET = 240 * HOUR
 
 #: What most of the SQL starts from.
 S = "WITH s AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS pts, value AS v FROM events)"
-W = "(PARTITION BY user_id ORDER BY pts)"
+W = "(PARTITION BY user_id ORDER BY pts, event_id)"
 
 
 def register(name: str, sql: str | None = None):
     def keep(f):
         QUERIES[name] = f
         if sql:
-            ORACLE_SQL[name] = sql.replace(", 4) AS", " + 1e-7, 4) AS")  # off the exact halves, as R4
+            ORACLE_SQL[name] = sql
         return f
 
     return keep
@@ -40,7 +44,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.select("event_id", "user_id", "event_type", timing.micros("ts").alias("pts"), F.col("value").alias("v"))
+    return e.select("event_id", "user_id", "event_type", timing.micros("ts").alias("pts"), F.col("value").alias("v"), F.col("event_id").alias("arrival"))
 
 
 GRAPH = "select='gt(v,100)',setpts=PTS-STARTPTS,framestep=2"
@@ -101,7 +105,7 @@ register("segment_bounds", f"{S} SELECT (pts >= {BOUNDS[0]})::INT + (pts >= {BOU
 )
 register(
     "reverse_stream",
-    f"{S}, a AS (SELECT *, row_number() OVER {W} AS n, row_number() OVER (PARTITION BY user_id ORDER BY pts DESC) AS m FROM s) SELECT a.event_id, a.pts, b.v FROM a JOIN a b ON a.user_id = b.user_id AND a.n = b.m",
+    f"{S}, a AS (SELECT *, row_number() OVER {W} AS n, row_number() OVER (PARTITION BY user_id ORDER BY pts DESC, event_id DESC) AS m FROM s) SELECT a.event_id, a.pts, b.v FROM a JOIN a b ON a.user_id = b.user_id AND a.n = b.m",
 )(lambda s, d: timing.reverse(stream(s, d), "user_id").select("event_id", "pts", "v"))
 register(
     "loop_k",
@@ -115,10 +119,10 @@ register("dedup_vfr", "WITH o AS (SELECT o_custkey, epoch_us(o_orderdate) AS pts
 
 def _two(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = stream(s, d)
-    return e.filter("event_type = 'click'").select("user_id", "pts", "v"), e.filter("event_type = 'view'").select("user_id", "pts", "v")
+    return e.filter("event_type = 'click'").select("user_id", "pts", "v", "arrival"), e.filter("event_type = 'view'").select("user_id", "pts", "v", "arrival")
 
 
-TWO = f"{S}, a AS (SELECT user_id, pts, v FROM s WHERE event_type = 'click'), b AS (SELECT user_id, pts, v FROM s WHERE event_type = 'view'), m AS (SELECT user_id, max(pts) AS e FROM b GROUP BY 1)"
+TWO = f"{S}, a AS (SELECT event_id, user_id, pts, v FROM s WHERE event_type = 'click'), b AS (SELECT event_id, user_id, pts, v FROM s WHERE event_type = 'view'), m AS (SELECT user_id, max(pts) AS e FROM b GROUP BY 1)"
 JOINED = "FROM a ASOF LEFT JOIN b ON a.user_id = b.user_id AND a.pts >= b.pts"
 register("asof_backward", f"{TWO} SELECT a.user_id, a.pts, a.v, b.pts AS other_pts, b.v AS other_v {JOINED}")(lambda s, d: align.asof(*_two(s, d), "user_id"))
 register(
@@ -127,6 +131,8 @@ register(
     q AS (SELECT p.*, b.pts AS np, b.v AS nv FROM p ASOF LEFT JOIN b ON p.user_id = b.user_id AND p.pts <= b.pts)
     SELECT user_id, pts, v, CASE WHEN bp IS NULL OR np - pts < pts - bp THEN np ELSE bp END AS other_pts, CASE WHEN bp IS NULL OR np - pts < pts - bp THEN nv ELSE bv END AS other_v FROM q""",
 )(lambda s, d: align.asof(*_two(s, d), "user_id", mode="nearest"))
+for _mode in ("backward", "nearest"):
+    register(f"asof_{_mode}_dealt", ORACLE_SQL[f"asof_{_mode}"])(lambda s, d, mode=_mode: align.asof(*_two(s, d), "user_id", mode=mode, bucket=BUCKET))
 register("framesync_pass", f"{TWO} SELECT a.user_id, a.pts, a.v, CASE WHEN a.pts <= e THEN b.pts END AS other_pts, CASE WHEN a.pts <= e THEN b.v END AS other_v {JOINED} LEFT JOIN m ON m.user_id = a.user_id")(
     lambda s, d: align.asof(*_two(s, d), "user_id", eof="pass")
 )
@@ -139,13 +145,13 @@ register("lockstep_join", f"{PAIRS} SELECT user_id, n, a, b FROM p")(lambda s, d
 
 @register(
     "interval_join",
-    f"{S}, c AS (SELECT o_orderkey AS cue, epoch_us(o_orderdate) AS b FROM orders WHERE o_orderkey % 97 = 0), lo AS (SELECT min(pts) AS m FROM s), q AS (SELECT cue, m + (b % 2592000000000) AS b FROM c, lo) SELECT pts, v, cue FROM s JOIN q ON b <= pts AND pts < b + {6 * HOUR}",
+    f"{S}, c AS (SELECT o_orderkey AS cue, epoch_us(o_orderdate) AS b FROM orders), lo AS (SELECT min(pts) AS m FROM s), q AS (SELECT cue, m + (b % 2592000000000) AS b FROM c, lo) SELECT pts, v, cue FROM s JOIN q ON b <= pts AND pts < b + {6 * HOUR}",
 )
 def _(s, d):
     e = stream(s, d).select("pts", "v")
-    low = e.agg(F.min("pts")).first()[0]
-    start = F.lit(low) + timing.micros("o_orderdate") % 2592000000000
-    cues = table(s, d, "orders").select(F.col("o_orderkey").alias("cue"), start.alias("start"), (start + 6 * HOUR).alias("end"))
+    start = F.col("low") + timing.micros("o_orderdate") % 2592000000000
+    low = e.agg(F.min("pts").alias("low"))  # one row, which stays in the plan
+    cues = table(s, d, "orders").crossJoin(F.broadcast(low)).select(F.col("o_orderkey").alias("cue"), start.alias("start"), (start + 6 * HOUR).alias("end"))
     return align.intervals(e, cues, 6 * HOUR)
 
 
@@ -156,72 +162,131 @@ register("map_exclude", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN
     lambda s, d: table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left_anti").select("doc_id", "lang")
 )
 
-R4 = lambda c: F.round(c + 1e-7, 4)
-register("tmix_3", f"{S} SELECT event_id, round(avg(v) OVER (PARTITION BY user_id ORDER BY pts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS v FROM s")(
-    lambda s, d: windows.tmix(stream(s, d), 3, "user_id").select("event_id", R4(F.col("v")).alias("v"))
+register("tmix_3", f"{S} SELECT event_id, (avg(v) OVER (PARTITION BY user_id ORDER BY pts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) AS v FROM s")(
+    lambda s, d: windows.tmix(stream(s, d), 3, "user_id").select("event_id", "v")
 )
-register("tmedian_r1", f"{S}, a AS (SELECT event_id, list_sort(list(v) OVER (PARTITION BY user_id ORDER BY pts ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)) AS l FROM s) SELECT event_id, l[(len(l) + 1) // 2] AS v FROM a")(
+register("tmix_weighted", f"{S}, a AS (SELECT event_id, list(v) OVER (PARTITION BY user_id ORDER BY pts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS l FROM s) SELECT event_id, CASE len(l) WHEN 1 THEN l[1] WHEN 2 THEN (l[1] + 2 * l[2]) / 3 ELSE (l[1] + 2 * l[2] + 2 * l[3]) / 5 END AS v FROM a")(
+    lambda s, d: windows.tmix(stream(s, d), 3, "user_id", [1.0, 2.0]).select("event_id", "v")
+)
+register("tmedian_r1", f"{S}, a AS (SELECT event_id, list_sort(list(v) OVER (PARTITION BY user_id ORDER BY pts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)) AS l FROM s) SELECT event_id, l[CAST(floor(0.5 * (len(l) - 1) + 0.5) AS BIGINT) + 1] AS v FROM a")(
     lambda s, d: windows.tmedian(stream(s, d), 1, "user_id").select("event_id", "v")
 )
-register(
-    "lagfun_095",
-    f"{S}, n AS (SELECT *, row_number() OVER {W} AS n FROM s) SELECT a.event_id, round(max(b.v * pow(0.95, a.n - b.n)), 4) AS v FROM n a JOIN n b ON a.user_id = b.user_id AND b.n BETWEEN a.n - 120 AND a.n GROUP BY a.event_id",
-)(lambda s, d: windows.lagfun(stream(s, d), 0.95, "user_id").select("event_id", R4(F.col("v")).alias("v")))
-register("aderivative", f"{S} SELECT event_id, round(v - lag(v) OVER {W}, 4) AS dv FROM s")(lambda s, d: stream(s, d).select("event_id", R4(windows.difference("user_id")).alias("dv")))
-register("aintegral", f"{S} SELECT event_id, round(sum(v) OVER (PARTITION BY user_id ORDER BY pts ROWS UNBOUNDED PRECEDING), 3) AS total FROM s")(
-    lambda s, d: stream(s, d).select("event_id", F.round(F.sum("v").over(timing.ordered("user_id").rowsBetween(Window.unboundedPreceding, 0)), 3).alias("total"))
+register("tmedian_centred", ORACLE_SQL["tmedian_r1"].replace("2 PRECEDING AND CURRENT ROW", "1 PRECEDING AND 1 FOLLOWING"))(lambda s, d: windows.tmedian(stream(s, d), 1, "user_id", compat=False).select("event_id", "v"))
+register("tmedian_upper", ORACLE_SQL["tmedian_r1"].replace("2 PRECEDING", "4 PRECEDING").replace("0.5 * (len(l) - 1)", "0.75 * (len(l) - 1)"))(lambda s, d: windows.tmedian(stream(s, d), 2, "user_id", 0.75).select("event_id", "v"))
+register("tmid_5", f"{S} SELECT event_id, 0.5 * v + 0.5 * avg(v) OVER (PARTITION BY user_id ORDER BY pts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS v FROM s")(lambda s, d: windows.tmidequalizer(stream(s, d), 2, "user_id").select("event_id", "v"))
+_F5 = "OVER (PARTITION BY user_id ORDER BY pts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
+for _mode, _sql in (("am", f"avg(v) {_F5}"), ("gm", f"exp(avg(ln(v)) {_F5})"), ("hm", f"1 / avg(1 / v) {_F5}"), ("qm", f"sqrt(avg(v * v) {_F5})"), ("cm", f"cbrt(avg(v * v * v) {_F5})"), ("median", f"list_sort(list(v) {_F5})[len(list(v) {_F5}) // 2 + 1]")):
+    register(f"deflicker_{_mode}", f"{S} SELECT event_id, {_sql} / v AS factor FROM s")(lambda s, d, mode=_mode: windows.deflicker(stream(s, d), 5, "user_id", mode).select("event_id", "factor"))
+register("amplify", f"{S}, a AS (SELECT *, v - avg(v) OVER (PARTITION BY user_id ORDER BY pts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS d FROM s) SELECT event_id, CASE WHEN abs(d) < 60 AND abs(d) > 5 THEN v + greatest(-80, least(90, d * 2)) ELSE v END AS v FROM a")(
+    lambda s, d: windows.amplify(stream(s, d), 2, "user_id", 2.0, 60.0, 5.0, 80.0, 90.0).select("event_id", "v")
+)
+register("lagfun_095", f"{S}, n AS (SELECT *, row_number() OVER {W} AS n FROM s) SELECT a.event_id, max(b.v * pow(0.95, a.n - b.n)) AS v FROM n a JOIN n b ON a.user_id = b.user_id AND b.n <= a.n GROUP BY a.event_id")(
+    lambda s, d: windows.lagfun(stream(s, d), 0.95, "user_id").select("event_id", "v")
 )
+register("lagfun_dealt", ORACLE_SQL["lagfun_095"])(lambda s, d: windows.lagfun(stream(s, d), 0.95, "user_id", BUCKET).select("event_id", "v"))
+register("aderivative", f"{S} SELECT event_id, v - coalesce(lag(v) OVER {W}, 0) AS v FROM s")(lambda s, d: windows.derivative(stream(s, d), "user_id").select("event_id", "v"))
+register("aintegral", f"{S} SELECT event_id, sum(v) OVER (PARTITION BY user_id ORDER BY pts, event_id ROWS UNBOUNDED PRECEDING) AS total FROM s")(lambda s, d: windows.integral(stream(s, d), "user_id").select("event_id", F.col("v").alias("total")))
+for _name, _f in (("aderivative", windows.derivative), ("aintegral", windows.integral)):
+    register(f"{_name}_dealt", ORACLE_SQL[_name].replace("AS total", "AS v"))(lambda s, d, f=_f: f(stream(s, d), "user_id", BUCKET).select("event_id", "v"))
 register(
     "scdet_score",
-    f"{S}, a AS (SELECT *, abs(v - lag(v) OVER {W}) AS d FROM s), b AS (SELECT *, lag(d) OVER {W} AS p FROM a) SELECT event_id, round(coalesce(CASE WHEN d = p THEN 0 ELSE d END, 0), 4) AS score FROM b",
-)(lambda s, d: windows.scene_score(stream(s, d), "user_id").select("event_id", R4(F.col("score")).alias("score")))
+    f"{S}, a AS (SELECT *, abs(v - lag(v) OVER {W}) AS d FROM s), b AS (SELECT *, lag(d) OVER {W} AS p FROM a) SELECT event_id, (coalesce(CASE WHEN d = p THEN 0 ELSE d END, 0)) AS score FROM b",
+)(lambda s, d: windows.scene_score(stream(s, d), "user_id").select("event_id", "score"))
 register(
     "silencedetect",
-    f"""{S}, a AS (SELECT *, v < 60 AS h, row_number() OVER {W} AS n FROM s), b AS (SELECT *, n - row_number() OVER (PARTITION BY user_id, h ORDER BY pts) AS g FROM a)
+    f"""{S}, a AS (SELECT *, abs(v) <= 120 AS h, row_number() OVER {W} AS n, lead(pts) OVER {W} AS np FROM s), b AS (SELECT *, n - row_number() OVER (PARTITION BY user_id, h ORDER BY pts, event_id) AS g FROM a),
+    c AS (SELECT user_id, min(pts) AS b, max(pts) AS z, arg_max(np, n) FILTER (WHERE n = mx) AS e FROM (SELECT *, max(n) OVER (PARTITION BY user_id, h, g) AS mx FROM b) WHERE h GROUP BY user_id, g)
+    SELECT user_id, b AS silence_start, e AS silence_end, e - b AS silence_duration FROM c WHERE coalesce(e, z) - b >= {5 * HOUR}""",
+)(lambda s, d: windows.silencedetect(stream(s, d), 120.0, 5 * HOUR, "user_id"))
+register("silencedetect_dealt", ORACLE_SQL["silencedetect"])(lambda s, d: windows.silencedetect(stream(s, d), 120.0, 5 * HOUR, "user_id", BUCKET))
+register(
+    "runs_below",
+    f"""{S}, a AS (SELECT *, v < 60 AS h, row_number() OVER {W} AS n FROM s), b AS (SELECT *, n - row_number() OVER (PARTITION BY user_id, h ORDER BY pts, event_id) AS g FROM a)
     SELECT user_id, min(pts) AS "start", max(pts) AS "end", count(*) AS records FROM b WHERE h GROUP BY user_id, g""",
-)(lambda s, d: windows.runs(stream(s, d), F.col("v") < 60, "user_id"))
+)(lambda s, d: windows.runs(stream(s, d), F.col("v") < 60, "user_id").drop("next"))
 register(
     "freezedetect",
     f"""{S}, a AS (SELECT *, coalesce(abs(v - lag(v) OVER {W}) <= 20, false) AS h, lag(pts) OVER {W} AS pp, lead(pts) OVER {W} AS np, row_number() OVER {W} AS n FROM s),
-    b AS (SELECT *, n - row_number() OVER (PARTITION BY user_id, h ORDER BY pts) AS g FROM a)
+    b AS (SELECT *, n - row_number() OVER (PARTITION BY user_id, h ORDER BY pts, event_id) AS g FROM a)
     SELECT user_id, min(pp) AS freeze_start, arg_max(np, pts) FILTER (WHERE pts = mx) AS freeze_end FROM (SELECT *, max(pts) OVER (PARTITION BY user_id, h, g) AS mx FROM b) WHERE h GROUP BY user_id, g HAVING max(pts) - min(pp) >= {2 * HOUR}""",
 )(lambda s, d: windows.freezedetect(stream(s, d), 20.0, 2 * HOUR, "user_id"))
 register("vfrdet", f"{S}, a AS (SELECT *, pts - lag(pts) OVER {W} AS d FROM s), b AS (SELECT *, lag(d) OVER {W} AS p FROM a) SELECT user_id, count(*) FILTER (WHERE d <> p) AS changed, count(*) FILTER (WHERE d = p) AS same FROM b WHERE p IS NOT NULL GROUP BY 1")(
     lambda s, d: windows.vfrdet(stream(s, d), "user_id")
 )
+register("freezedetect_dealt", ORACLE_SQL["freezedetect"])(lambda s, d: windows.freezedetect(stream(s, d), 20.0, 2 * HOUR, "user_id", BUCKET))
 register(
     "decimate_5",
-    f"""{S}, a AS (SELECT *, coalesce(abs(v - lag(v) OVER {W}), 'inf') AS d, row_number() OVER {W} - 1 AS n FROM s)
-    SELECT event_id, v FROM a QUALIFY row_number() OVER (PARTITION BY user_id, n // 5 ORDER BY d, n) > 1 OR count(*) OVER (PARTITION BY user_id, n // 5) < 5""",
-)(lambda s, d: windows.decimate(stream(s, d), 5, "user_id").select("event_id", "v"))
+    f"""{S}, a AS (SELECT *, abs(v - lag(v) OVER {W}) / 500 AS d, row_number() OVER {W} - 1 AS n FROM s),
+    b AS (SELECT *, max(d) OVER g AS mx, row_number() OVER (PARTITION BY user_id, n // 5 ORDER BY d NULLS LAST, n) AS k FROM a WINDOW g AS (PARTITION BY user_id, n // 5))
+    SELECT event_id, v FROM b WHERE NOT coalesce(k = 1 AND d < 0.1 AND mx <= 0.6, false)""",
+)(lambda s, d: windows.decimate(stream(s, d), 5, "user_id", 10.0, 60.0, 500.0).select("event_id", "v"))
+register("decimate_dealt", ORACLE_SQL["decimate_5"])(lambda s, d: windows.decimate(stream(s, d), 5, "user_id", 10.0, 60.0, 500.0, BUCKET).select("event_id", "v"))
+register("mpdecimate_lag", f"{S}, a AS (SELECT *, abs(v - lag(v) OVER {W}) AS d FROM s) SELECT event_id, v FROM a WHERE d IS NULL OR d > 20")(lambda s, d: windows.mpdecimate(stream(s, d), 40.0, 20.0, "user_id").select("event_id", "v"))
 register(
     "astats",
-    f"{S} SELECT user_id, round(avg(v), 4) AS dc_offset, min(v) AS min_level, max(v) AS max_level, round(20 * log10(max(abs(v))), 4) AS peak_db, round(20 * log10(sqrt(avg(v * v))), 4) AS rms_db, round(max(abs(v)) / sqrt(avg(v * v)), 4) AS crest, count(v) AS samples FROM s GROUP BY 1",
-)(lambda s, d: stats.astats(stream(s, d), "user_id").select("user_id", "min_level", "max_level", "samples", *[R4(F.col(c)).alias(c) for c in ("dc_offset", "peak_db", "rms_db", "crest")]))
-register("zero_crossings", f"{S}, a AS (SELECT *, (v >= 100) <> lag(v >= 100) OVER {W} AS c FROM s) SELECT user_id, count(*) FILTER (WHERE c) AS crossings FROM a GROUP BY 1")(
+    f"{S} SELECT user_id, (avg(v)) AS dc_offset, min(v) AS min_level, max(v) AS max_level, (20 * log10(max(abs(v)))) AS peak_db, (20 * log10(sqrt(avg(v * v)))) AS rms_db, (max(abs(v)) / sqrt(avg(v * v))) AS crest, count(v) AS samples FROM s GROUP BY 1",
+)(lambda s, d: stats.astats(stream(s, d), "user_id"))
+register("zero_crossings", f"{S}, a AS (SELECT *, (v >= 100) <> lag(v >= 100) OVER {W} AS c FROM s) SELECT user_id, count(*) FILTER (WHERE c) AS crossings, (count(*) FILTER (WHERE c)) / count(*)::DOUBLE AS rate FROM a GROUP BY 1")(
     lambda s, d: stats.zero_crossings(stream(s, d), "user_id", 100.0)
 )
 register("histogram", f"{S} SELECT CAST(floor(v / 8) AS BIGINT) AS bin, count(*) AS n FROM s WHERE v >= 0 AND v < 512 GROUP BY 1")(lambda s, d: stats.histogram(stream(s, d), 0.0, 512.0, 64))
 register(
     "entropy_hist",
-    f"{S}, h AS (SELECT user_id, floor(v / 8) AS k, count(*) AS n FROM s WHERE v >= 0 AND v < 512 GROUP BY 1, 2) SELECT user_id, round(log2(sum(n)) - sum(n * log2(n)) / sum(n), 4) AS entropy FROM h GROUP BY 1",
-)(lambda s, d: stats.entropy(stream(s, d), 0.0, 512.0, 64, "user_id").select("user_id", R4(F.col("entropy")).alias("entropy")))
+    f"{S}, h AS (SELECT user_id, floor(v / 8) AS k, count(*) AS n FROM s WHERE v >= 0 AND v < 512 GROUP BY 1, 2) SELECT user_id, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS entropy, (log2(sum(n)) - sum(n * log2(n)) / sum(n)) / 6 AS normalized_entropy FROM h GROUP BY 1",
+)(lambda s, d: stats.entropy(stream(s, d), 0.0, 512.0, 64, "user_id"))
+register(
+    "entropy_diff",
+    f"""{S}, h AS (SELECT user_id, CAST(floor(v / 8) AS BIGINT) AS k, count(*) AS n FROM s WHERE v >= 0 AND v < 512 GROUP BY 1, 2), u AS (SELECT user_id, sum(n) AS t FROM h GROUP BY 1),
+    d AS (SELECT u.user_id, abs(coalesce(a.n, 0) - coalesce(b.n, 0)) / t AS p FROM u CROSS JOIN range(1, 64) r(k) LEFT JOIN h a ON a.user_id = u.user_id AND a.k = r.k LEFT JOIN h b ON b.user_id = u.user_id AND b.k = r.k - 1)
+    SELECT user_id, sum(CASE WHEN p > 0 THEN -p * log2(p) ELSE 0 END) AS entropy, sum(CASE WHEN p > 0 THEN -p * log2(p) ELSE 0 END) / 6 AS normalized_entropy FROM d GROUP BY 1""",
+)(lambda s, d: stats.entropy(stream(s, d), 0.0, 512.0, 64, "user_id", "diff"))
 register(
     "psnr_msad_identity",
-    f"{PAIRS} SELECT user_id, round(avg((a-b)*(a-b)), 4) AS mse, round(avg(abs(a-b)), 4) AS msad, round(10*log10(512.0*512.0/avg((a-b)*(a-b))), 4) AS psnr, round(10*log10(sum(a*a)/sum((a-b)*(a-b))), 4) AS sdr, avg((a = b)::INT) AS identity FROM p GROUP BY 1",
-)(lambda s, d: stats.error_measures(align.lockstep(*_two(s, d), "user_id"), "user_id", 512.0).select("user_id", "identity", *[R4(F.col(c)).alias(c) for c in ("mse", "msad", "psnr", "sdr")]))
+    f"{PAIRS} SELECT user_id, (avg((a-b)*(a-b))) AS mse, (avg(abs(a-b))) AS msad, (10*log10(512.0*512.0/avg((a-b)*(a-b)))) AS psnr, (10*log10(sum(a*a)/sum((a-b)*(a-b)))) AS sdr, avg((a = b)::INT) AS identity FROM p GROUP BY 1",
+)(lambda s, d: stats.error_measures(align.lockstep(*_two(s, d), "user_id"), "user_id", 512.0))
 register("palette_topk", "SELECT p_type, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_type LIMIT 16")(lambda s, d: stats.palette(table(s, d, "part"), "p_type", 16))
+_LOUD = f"""{S}, n AS (SELECT *, row_number() OVER {W} - 1 AS n FROM s), h AS (SELECT user_id, n // 4 AS k, sum(v * v / 250000) AS p FROM n GROUP BY 1, 2 HAVING count(*) = 4),
+    b AS (SELECT user_id, sum(p) OVER w / 16 AS z FROM h WINDOW w AS (PARTITION BY user_id ORDER BY k ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) QUALIFY count(*) OVER w = 4),
+    l AS (SELECT *, avg(z) OVER (PARTITION BY user_id) AS m FROM b WHERE -0.691 + 10 * log10(z) > -70)"""
+
+
+def _quiet(s: SparkSession, d: str) -> DataFrame:
+    return stream(s, d).withColumn("v", F.col("v") / 500)
+
+
+register("gated_loudness", f"{_LOUD} SELECT user_id, -0.691 + 10 * log10(avg(z)) AS integrated, count(*) AS blocks FROM l WHERE -0.691 + 10 * log10(z) > -0.691 + 10 * log10(m) - 10 GROUP BY 1")(
+    lambda s, d: stats.loudness(_quiet(s, d), "user_id", 4)
+)
+register("ebur128")(lambda s, d: stats.ebur128(_quiet(s, d), "event_type", 4000))
+register("replaygain")(lambda s, d: stats.replaygain(_quiet(s, d), "event_type", 4000))
+register("volumedetect", f"{S} SELECT user_id, count(v) AS n_samples, 10 * log10(avg(v * v)) AS mean_volume, 20 * log10(max(abs(v))) AS max_volume FROM s GROUP BY 1")(lambda s, d: audio.volumedetect(stream(s, d), "user_id"))
+register(
+    "drmeter_blocks",
+    f"""{S}, n AS (SELECT *, row_number() OVER {W} - 1 AS n FROM s), b AS (SELECT user_id, n // 6 AS k, sqrt(2 * avg(v * v)) AS rms, max(abs(v)) AS peak FROM n GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY rms DESC, k) AS i, row_number() OVER (PARTITION BY user_id ORDER BY peak DESC, k) AS j, count(*) OVER (PARTITION BY user_id) AS c FROM b)
+    SELECT user_id, -20 * log10(sqrt(avg(rms * rms) FILTER (WHERE i <= ceil(c * 0.2::DOUBLE))) / max(peak) FILTER (WHERE j = least(2, c))) AS dr FROM r GROUP BY 1""",
+)(lambda s, d: audio.drmeter(stream(s, d), "user_id", 6))
+register("astats_rollup", f"{S} SELECT event_type, user_id, GROUPING_ID(event_type, user_id) AS level, avg(v) AS dc_offset, min(v) AS min_level, max(v) AS max_level, count(v) AS samples FROM s GROUP BY ROLLUP (event_type, user_id)")(
+    lambda s, d: stats.astats_rollup(stream(s, d), "event_type", "user_id")
+)
+register("si_sdr", f"{PAIRS} SELECT user_id, 10 * log10(pow(sum(a*b), 2) / sum(b*b) / (sum(a*a) - pow(sum(a*b), 2) / sum(b*b))) AS si_sdr FROM p GROUP BY 1 HAVING sum(a*a) - pow(sum(a*b), 2) / sum(b*b) > 0")(
+    lambda s, d: stats.asisdr(align.lockstep(*_two(s, d), "user_id"), "user_id").filter("si_sdr < double('infinity')")
+)
+register("axcorrelate", f"{PAIRS} SELECT user_id, n, sum(a*b) OVER w / sqrt(sum(a*a) OVER w * sum(b*b) OVER w) AS c FROM p WINDOW w AS (PARTITION BY user_id ORDER BY n ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")(
+    lambda s, d: audio.axcorrelate(align.lockstep(*_two(s, d), "user_id"), "user_id", 5).select("user_id", "n", "c")
+)
+register("waveform2d", video.BASE + " SELECT vec_id, x, v0 // 32 AS bin, count(*) AS n FROM px GROUP BY ALL")(lambda s, d: stats.waveform(video.frames(s, d), "vec_id", 8).withColumn("x", F.col("x").cast("long")))
+register("vectorscope2d", video.BASE + " SELECT vec_id, v1 AS u, v2 AS v, count(*) AS n FROM px GROUP BY ALL")(lambda s, d: stats.vectorscope(video.frames(s, d, 3), "vec_id").select("vec_id", F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"), "n"))
 register(
-    "gated_loudness",
-    f"""{S}, b AS (SELECT user_id, pts // {24 * HOUR} AS k, avg(v * v) AS z FROM s GROUP BY 1, 2 HAVING avg(v * v) > pow(10, 1.0)), m AS (SELECT *, avg(z) OVER (PARTITION BY user_id) AS m FROM b)
-    SELECT user_id, round(10 * log10(avg(z)), 4) AS loudness, count(*) AS blocks FROM m WHERE z > m * 0.1 GROUP BY 1""",
-)(lambda s, d: stats.gated_loudness(stream(s, d), "user_id", 24 * HOUR, 10, 10).select("user_id", R4(F.col("loudness")).alias("loudness"), "blocks"))
+    "frame_statistics",
+    video.BASE + " SELECT vec_id, avg(v0) AS mean, stddev_pop(v0) AS stdev, min(v0) AS lowest, max(v0) AS highest, 100 * avg((v0 < 32)::INT) AS black, min(x) FILTER (WHERE v0 > 200) AS x1, max(x) FILTER (WHERE v0 > 200) AS x2, min(y) FILTER (WHERE v0 > 200) AS y1, max(y) FILTER (WHERE v0 > 200) AS y2 FROM px GROUP BY 1",
+)(lambda s, d: stats.plane_statistics(video.frames(s, d), "vec_id", 32, 200).select("vec_id", "mean", "stdev", *[F.col(c).cast("long").alias(c) for c in ("lowest", "highest")], "black", *[F.col(c).cast("long").alias(c) for c in ("x1", "x2", "y1", "y2")]))
 
 #: SQL of the blend modes over a and b, bigints of 0 to 255.
 BLEND_SQL = {
-    "addition": "a+b", "and": "a&b", "average": "(a+b)//2", "darken": "least(a,b)", "difference": "abs(a-b)", "dodge": "ceil(256*b/(256-a))", "exclusion": "a+b-(2*a*b)//255",
-    "divide": "floor(256*a/(b+1)+0.5)", "burn": "CASE WHEN a=0 THEN 0 ELSE 255-floor((255-b)*256/a) END", "hardlight": "CASE WHEN a<128 THEN (2*a*b)//255 ELSE 255-(2*(255-a)*(255-b))//255 END",
-    "overlay": "CASE WHEN b<128 THEN (2*a*b)//255 ELSE 255-(2*(255-a)*(255-b))//255 END", "lighten": "greatest(a,b)", "multiply": "(a*b)//255", "multiply128": "128+floor((a-128)*b/32)",
+    "addition": "a+b", "addition128": "a+b-128", "difference128": "a-b+128", "and": "a&b", "average": "(a+b)//2", "darken": "least(a,b)", "difference": "abs(a-b)", "dodge": "CASE WHEN a=255 THEN 255 ELSE ceil(256*b/(256-a)) END", "exclusion": "a+b-(2*a*b)//255",
+    "divide": "floor(256*a/(b+1)+0.5)", "burn": "CASE WHEN a=0 THEN 0 ELSE 255-floor((255-b)*256/a) END", "hardlight": "CASE WHEN b<128 THEN (2*a*b)//255 ELSE 255-(2*(255-a)*(255-b))//255 END",
+    "overlay": "CASE WHEN a<128 THEN (2*a*b)//255 ELSE 255-(2*(255-a)*(255-b))//255 END", "lighten": "greatest(a,b)", "multiply": "(a*b)//255", "multiply128": "128+floor((a-128)*b/32)",
     "negation": "255-abs(255-a-b)", "normal": "a", "or": "a|b", "screen": "255-((255-a)*(255-b))//255", "subtract": "a-b", "xor": "xor(a,b)",
 }
 
@@ -238,12 +303,13 @@ for _mode, _sql in BLEND_SQL.items():
     register(f"blend_{_mode}", f"WITH e AS (SELECT event_id, CAST(trunc(value) AS BIGINT) % 256 AS a, event_id % 256 AS b FROM events) SELECT event_id, CAST(greatest(0, least(255, {_sql})) AS BIGINT) AS c FROM e")(_blend(_mode))
 
 CLIP_SQL = {
+    "hard": "greatest(-1, least(1, u))",
     "tanh": "tanh(u)", "atan": "atan(u)*2/pi()", "alg": "u/sqrt(1+u*u)", "cubic": "CASE WHEN abs(u)>=1.5 THEN sign(u) ELSE u-4.0/27*u*u*u END",
     "quintic": "CASE WHEN abs(u)>=1.25 THEN sign(u) ELSE u-0.08192*pow(u,5) END", "sin": "CASE WHEN abs(u)>=pi()/2 THEN sign(u) ELSE sin(u) END",
 }
 for _kind, _sql in CLIP_SQL.items():
-    register(f"asoftclip_{_kind}", f"SELECT event_id, round({_sql}, 6) AS v FROM (SELECT event_id, (value - 245) / 150 AS u FROM events)")(
-        lambda s, d, kind=_kind: stream(s, d).select("event_id", F.round(elementwise.soft_clip(kind, (F.col("v") - 245) / 150), 6).alias("v"))
+    register(f"asoftclip_{_kind}", f"SELECT event_id, ({_sql}) AS v FROM (SELECT event_id, (value - 245) / 150 AS u FROM events)")(
+        lambda s, d, kind=_kind: stream(s, d).select("event_id", elementwise.soft_clip(kind, (F.col("v") - 245) / 150).alias("v"))
     )
 
 #: Expressions of the scalar language over v, and their SQL.
@@ -256,12 +322,12 @@ EXPRESSIONS = {
     "units": ("v*1k+2Ki", "v*1000+2048"),
 }
 for _name, (_text, _sql) in EXPRESSIONS.items():
-    register(f"expr_{_name}", f"{S} SELECT event_id, round(CAST({_sql} AS DOUBLE), 5) AS x FROM s")(
-        lambda s, d, text=_text: stream(s, d).select("event_id", F.round(to_column(text, {"v": F.col("v")}), 5).alias("x"))
+    register(f"expr_{_name}", f"{S} SELECT event_id, (CAST({_sql} AS DOUBLE)) AS x FROM s")(
+        lambda s, d, text=_text: stream(s, d).select("event_id", to_column(text, {"v": F.col("v")}).alias("x"))
     )
 
 DB6 = repr(10 ** (6 / 20))
-register("volume_gain", f"{S} SELECT event_id, round(v * {DB6}, 4) AS v FROM s")(lambda s, d: stream(s, d).select("event_id", R4(elementwise.gain(F.col("v"), 6.0)).alias("v")))
+register("volume_gain", f"{S} SELECT event_id, (v * {DB6}) AS v FROM s")(lambda s, d: stream(s, d).select("event_id", elementwise.gain(F.col("v"), 6.0).alias("v")))
 E = "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"
 
 
@@ -269,29 +335,149 @@ def _channels(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
 
 
-register("pan_matrix", f"{E} SELECT vec_id, round(0.5*x[1]+0.5*x[2], 6) AS c0, round(x[3]-0.25*x[4], 6) AS c1 FROM e")(
-    lambda s, d: _channels(s, d).select("vec_id", elementwise.pan(F.col("x"), [[0.5, 0.5], [0, 0, 1.0, -0.25]]).alias("c")).select("vec_id", F.round(F.col("c")[0], 6).alias("c0"), F.round(F.col("c")[1], 6).alias("c1"))
+register("pan_matrix", f"{E} SELECT vec_id, (0.5*x[1]+0.5*x[2]) AS c0, (x[3]-0.25*x[4]) AS c1 FROM e")(
+    lambda s, d: _channels(s, d).select("vec_id", elementwise.pan(F.col("x"), [[0.5, 0.5], [0, 0, 1.0, -0.25]]).alias("c")).select("vec_id", F.col("c")[0].alias("c0"), F.col("c")[1].alias("c1"))
 )
 register("channelsplit", f"{E} SELECT vec_id, generate_subscripts(x, 1) - 1 AS channel, unnest(x) AS v FROM e")(lambda s, d: _channels(s, d).select("vec_id", F.posexplode("x").alias("channel", "v")).withColumn("channel", F.col("channel").cast("long")))
 
 
-@register("extrastereo", f"{E} SELECT vec_id, round((x[1]+x[2])/2 + 2.5*(x[1]-(x[1]+x[2])/2), 6) AS l, round((x[1]+x[2])/2 + 2.5*(x[2]-(x[1]+x[2])/2), 6) AS r FROM e")
+@register("extrastereo", f"{E} SELECT vec_id, ((x[1]+x[2])/2 + 2.5*(x[1]-(x[1]+x[2])/2)) AS l, ((x[1]+x[2])/2 + 2.5*(x[2]-(x[1]+x[2])/2)) AS r FROM e")
 def _(s, d):
     left, right = elementwise.extrastereo(F.col("x")[0], F.col("x")[1], 2.5)
-    return _channels(s, d).select("vec_id", F.round(left, 6).alias("l"), F.round(right, 6).alias("r"))
+    return _channels(s, d).select("vec_id", left.alias("l"), right.alias("r"))
 
 
-def _mixed(longest: bool):
+def _shorter(s: SparkSession, d: str) -> DataFrame:
+    """x and another input y: the first forty samples of x, negated and halved."""
+    return _channels(s, d).select("vec_id", "x", F.transform(F.slice("x", 1, 40), lambda v: -v / 2).alias("y"))
+
+
+def _mixed(**options):
     def run(s: SparkSession, d: str) -> DataFrame:
-        e = _channels(s, d).select("vec_id", "x", F.slice("x", 1, 40).alias("y"))
-        m: Column = elementwise.mix(F.col("x"), F.col("y"), longest)
-        return e.select("vec_id", F.size(m).cast("long").alias("n"), F.round(F.aggregate(m, F.lit(0.0), lambda a, z: a + z), 4).alias("total"))
+        m: Column = elementwise.mix(F.col("x"), F.col("y"), **options)
+        return _shorter(s, d).select("vec_id", F.size(m).cast("long").alias("n"), F.aggregate(F.transform(m, lambda v, k: v * (k + 1)), F.lit(0.0), lambda a, z: a + z).alias("total"))
 
     return run
 
 
-register("amix_longest", f"{E} SELECT vec_id, len(x) AS n, round(list_sum(x), 4) AS total FROM e")(_mixed(True))
-register("amix_shortest", f"{E} SELECT vec_id, least(len(x), 40) AS n, round(list_sum(x[1:40]), 4) AS total FROM e")(_mixed(False))
+_MIX = E + ", y AS (SELECT vec_id, i, x[i] AS a, CASE WHEN i <= 40 THEN -x[i] / 2 END AS b FROM e, range(1, 65) t(i) WHERE i <= len(x)) SELECT vec_id, count(*) AS n, sum(i * {0}) AS total FROM y{1} GROUP BY 1"
+register("amix_longest", _MIX.format("CASE WHEN b IS NULL THEN a ELSE (a + b) / 2 END", ""))(_mixed())
+register("amix_shortest", _MIX.format("(a + b) / 2", " WHERE b IS NOT NULL"))(_mixed(duration="shortest"))
+register("amix_weighted", _MIX.format("CASE WHEN b IS NULL THEN a ELSE (a + 3 * b) / 4 END", ""))(_mixed(weights=[1.0, 3.0], duration="first"))
+register("amix_sum", _MIX.format("(a + coalesce(b, 0))", ""))(_mixed(normalize=False))
+register("amerge_channels", f"{E} SELECT vec_id, len(x) + 40 AS n, x[3] AS c2, -x[2] / 2 AS c65 FROM e")(
+    lambda s, d: _shorter(s, d).select("vec_id", audio.amerge(F.col("x"), F.col("y")).alias("m")).select("vec_id", F.size("m").cast("long").alias("n"), F.get("m", F.lit(2)).alias("c2"), F.get("m", F.lit(65)).alias("c65"))
+)
+register("channelmap", f"{E} SELECT vec_id, x[4] AS a, x[1] AS b FROM e")(lambda s, d: _channels(s, d).select("vec_id", audio.channelmap(F.col("x"), [3, 0]).alias("m")).select("vec_id", F.get("m", F.lit(0)).alias("a"), F.get("m", F.lit(1)).alias("b")))
+register("join_map", f"{E} SELECT vec_id, x[1] AS a, -x[2] / 2 AS b, 0.0::DOUBLE AS c FROM e")(
+    lambda s, d: _shorter(s, d).select("vec_id", audio.join([(F.col("x"), 0), (F.col("y"), 1), (F.col("y"), 50)]).alias("m")).select("vec_id", *[F.get("m", F.lit(k)).alias(c) for k, c in enumerate("abc")])
+)
+register("amultiply", f"{PAIRS} SELECT user_id, n, a * b AS v FROM p")(lambda s, d: align.lockstep(*_two(s, d), "user_id").select("user_id", "n", (F.col("a") * F.col("b")).alias("v")))
+
+
+# Effects on streams; u: values near -1 .. 1
+
+U = f"{S}, u AS (SELECT event_id, user_id, pts, (v - 245) / 150 AS v, row_number() OVER {W} - 1 AS n FROM s)"
+
+
+def _unit(s: SparkSession, d: str) -> DataFrame:
+    return stream(s, d).withColumn("v", (F.col("v") - 245) / 150)
+
+
+def effect(name: str, sql: str | None, f: Callable[[DataFrame], DataFrame], columns: tuple[str, ...] = ("event_id", "v"), start=_unit) -> None:
+    register(name, sql and f"{U} {sql}")(lambda s, d: f(start(s, d)).select(*columns))
+
+
+def _stereo(s: SparkSession, d: str) -> DataFrame:
+    """l: the value; r: half of the place in the stream, modulo 7, less 1."""
+    return timing.numbered(_unit(s, d), "user_id").withColumns({"l": F.col("v"), "r": (F.col("_n") % 7) / 2 - 1}).drop("_n")
+
+
+LR = "x AS (SELECT *, v AS l, (n % 7) / 2.0::DOUBLE - 1 AS r FROM u)"
+_LAG = lambda c, k: f"coalesce(lag({c}, {k}) OVER {W}, 0)"
+effect("acrusher", "SELECT event_id, w + 0.25 * (v - w) AS v FROM (SELECT event_id, v, sign(v) * floor(abs(v) * 15 + 0.5) / 15 AS w FROM u)", lambda x: x.withColumn("v", audio.acrusher(F.col("v"), 4, 0.25)))
+effect("dcshift", "SELECT event_id, greatest(-1, least(1, v + 0.3)) AS v FROM u", lambda x: x.withColumn("v", audio.dcshift(F.col("v"), 0.3)))
+effect("dcshift_soft", "SELECT event_id, CASE WHEN abs(v + 0.3) <= 1 THEN v + 0.3 ELSE sign(v + 0.3) * greatest(0, least(1, 1 - exp(-(abs(v + 0.3) - 1) / 0.5) * 0.5)) END AS v FROM u", lambda x: x.withColumn("v", audio.dcshift(F.col("v"), 0.3, 0.5)))
+effect("crystalizer", f"SELECT event_id, greatest(-1, least(1, v + 2 * (v - {_LAG('v', 1)}))) AS v FROM u", lambda x: audio.crystalizer(x, "user_id"))
+effect("adelay", f"SELECT event_id, {_LAG('v', 3)} AS v FROM u", lambda x: audio.adelay(x, "user_id", 3))
+effect("compensationdelay", f"SELECT event_id, 0.5 * v + 0.5 * {_LAG('v', 12)} AS v FROM u", lambda x: audio.compensationdelay(x, "user_id", 0.1, 20.0, 0.5, 0.5))
+effect("aecho", f"SELECT event_id, 0.3 * (0.6 * v + 0.5 * {_LAG('v', 2)} + 0.25 * {_LAG('v', 5)}) AS v FROM u", lambda x: audio.aecho(x, "user_id", [2, 5], [0.5, 0.25]))
+effect("firfilter_lags", f"SELECT event_id, 0.25 * v + 0.5 * {_LAG('v', 1)} + 0.25 * {_LAG('v', 2)} AS v FROM u", lambda x: audio.fir(x, "user_id", [0.25, 0.5, 0.25]))
+effect("firequalizer", None, lambda x: audio.firequalizer(x, "user_id", [(100.0, 0.0), (1000.0, -6.0)], 4000, 31))
+effect("superequalizer", None, lambda x: audio.superequalizer(x, "user_id", [1.0] * 9 + [0.5] * 9, 44_100, 31))
+effect("tremolo", "SELECT event_id, v * (1 - 0.5 * (0.5 - 0.5 * cos(2 * pi() * 5 * n / 40))) AS v FROM u", lambda x: audio.tremolo(x, "user_id", 40.0))
+effect("vibrato", None, lambda x: audio.vibrato(x, "user_id", 40.0, most=8))
+effect("chorus", None, lambda x: audio.chorus(x, "user_id", 40.0, [3.0, 5.0], [0.4, 0.3], [0.5, 0.7], [1.0, 2.0], most=8))
+effect("flanger", None, lambda x: audio.flanger(x, "user_id", 40.0, most=8))
+effect("apulsator", f", {LR} SELECT event_id, l * (0.5 + 0.5 * sin(2 * pi() * 2.0 * n / 40)) AS l, r * (0.5 + 0.5 * sin(2 * pi() * (2.0 * n / 40 + 0.5))) AS r FROM x", lambda x: audio.apulsator(x, "user_id", 40.0), ("event_id", "l", "r"), _stereo)
+effect("stereowiden", f", {LR} SELECT event_id, 0.8 * l - 0.3 * r - 0.3 * {_LAG('r', 2)} AS l, 0.8 * r - 0.3 * l - 0.3 * {_LAG('l', 2)} AS r FROM x", lambda x: audio.stereowiden(x, "user_id", 2), ("event_id", "l", "r"), _stereo)
+effect("haas", f", {LR} SELECT event_id, {_LAG('(l + r) / 2', 2)} AS l, -{_LAG('(l + r) / 2', 3)} AS r FROM x", lambda x: audio.haas(x, "user_id", 2, 3, right_phase=True), ("event_id", "l", "r"), _stereo)
+effect("dialoguenhance", f", {LR} SELECT event_id, l + 0.5 * (l + r) / 2 AS l, r + 0.5 * (l + r) / 2 AS r FROM x", lambda x: x.select("event_id", *[c.alias(n) for c, n in zip(audio.dialoguenhance(F.col("l"), F.col("r"), 1.0, 1.5), "lr", strict=True)]), ("event_id", "l", "r"), _stereo)
+effect("stereotools", f", {LR} SELECT event_id, -(l * 0.75 + r) / 2 AS l, (l * 0.75 - r) / 2 AS r FROM x", lambda x: x.select("event_id", *[c.alias(n) for c, n in zip(audio.stereotools(F.col("l"), F.col("r"), "lr>ms", balance_in=0.25, phasel=True), "lr", strict=True)]), ("event_id", "l", "r"), _stereo)
+effect("aphasemeter", f", {LR} SELECT user_id, n // 8 AS block, CASE WHEN sum(l * l) * sum(r * r) > 0 THEN sum(l * r) / sqrt(sum(l * l) * sum(r * r)) ELSE 0 END AS phase FROM x GROUP BY user_id, n // 8", lambda x: audio.aphasemeter(x, "user_id", 8).withColumn("phase", F.col("phase")), ("user_id", "block", "phase"), _stereo)
+effect("loudnorm", "SELECT event_id, greatest(-pow(10, -0.1), least(pow(10, -0.1), v * pow(10, (-24 - 10 * log10(avg(v * v) OVER (PARTITION BY user_id))) / 20))) AS v FROM u", lambda x: audio.loudnorm(x, "user_id"))
+effect("silenceremove", "SELECT event_id, v FROM (SELECT *, min(k) FILTER (WHERE m > 1.2) OVER (PARTITION BY user_id) AS a, max(k) FILTER (WHERE m > 1.2) OVER (PARTITION BY user_id) AS z FROM (SELECT *, n // 4 AS k, max(abs(v)) OVER (PARTITION BY user_id, n // 4) AS m FROM u)) WHERE k BETWEEN a AND z", lambda x: audio.silenceremove(x, "user_id", 4, 1.2))
+effect("apsyclip", "SELECT event_id, greatest(-0.7, least(0.7, v)) AS v FROM u", lambda x: x.withColumn("v", audio.apsyclip(F.col("v"), 0.7)))
+effect("asetnsamples", "SELECT user_id, n // 16 AS block, 16 AS size, sum(v) AS total FROM u GROUP BY 1, 2", lambda x: audio.asetnsamples(x, "user_id", 16).select("user_id", "block", F.size("samples").alias("size"), F.aggregate("samples", F.lit(0.0), lambda a, v: a + v).alias("total")), ("user_id", "block", "size", "total"))
+for _kind in recursive.DEFAULTS:
+    effect(_kind, None, lambda x, k=_kind: recursive.equalize(x, "user_id", k, 8000.0, gain=6.0))
+effect("lowpass_one_pole", None, lambda x: recursive.equalize(x, "user_id", "lowpass", 8000.0, poles=1))
+effect("biquad", f"SELECT event_id, 0.5 * v + 0.25 * {_LAG('v', 1)} - 0.125 * {_LAG('v', 2)} AS v FROM u", lambda x: recursive.biquad(x, "user_id", b0=0.5, b1=0.25, b2=-0.125))
+effect("biquad_leaky", "SELECT a.event_id, sum(b.v * pow(0.5::DOUBLE, a.n - b.n)) AS v FROM u a JOIN u b ON a.user_id = b.user_id AND b.n <= a.n GROUP BY 1", lambda x: recursive.biquad(x, "user_id", a1=-0.5))
+effect("anequalizer", None, lambda x: recursive.anequalizer(x, "user_id", 8000.0, [(500.0, 100.0, 6.0), (2000.0, 400.0, -6.0)]))
+effect("acompressor", None, lambda x: recursive.acompressor(x, "user_id", 8000.0))
+effect("sidechaincompress", None, lambda x: recursive.acompressor(x, "user_id", 8000.0, sidechain="r"), ("event_id", "v"), _stereo)
+effect("agate", None, lambda x: recursive.agate(x, "user_id", 8000.0))
+effect("sidechaingate", None, lambda x: recursive.agate(x, "user_id", 8000.0, sidechain="r"), ("event_id", "v"), _stereo)
+effect("alimiter", None, lambda x: recursive.alimiter(x, "user_id", 8000.0, 0.5))
+effect("compand", None, lambda x: recursive.compand(x, "user_id", 8000.0, [(-90.0, -90.0), (-20.0, -10.0), (0.0, -3.0)]))
+effect("speechnorm", None, lambda x: recursive.speechnorm(x, "user_id"))
+effect("adynamicsmooth", None, lambda x: recursive.adynamicsmooth(x, "user_id", 8000.0, 1000.0))
+effect("hqdn3d", None, lambda x: recursive.hqdn3d(x, "user_id", 0.5))
+effect("mpdecimate_max", None, lambda x: recursive.mpdecimate_runs(x, "user_id", 0.3, 2))
+effect("dynaudnorm", None, lambda x: recursive.dynaudnorm(timing.numbered(x, "user_id").groupBy("user_id", F.floor(F.col("_n") / 8).alias("pts")).agg(F.max(F.abs("v")).alias("peak")), "user_id"), ("user_id", "pts", "gain"))
+effect("expr_registers", "SELECT event_id, sum(v) OVER (PARTITION BY user_id ORDER BY pts, event_id ROWS UNBOUNDED PRECEDING) AS x FROM u", lambda x: recursive.evaluated(x, "user_id", "st(0,ld(0)+v)"), ("event_id", "x"))
+effect("expr_while", "SELECT event_id, floor(abs(v) * 10) + 1 AS x FROM u", lambda x: recursive.evaluated(x, "user_id", "st(1,0);while(lte(ld(1),floor(abs(v)*10)),st(1,ld(1)+1));ld(1)"), ("event_id", "x"))
+effect("expr_root", "SELECT event_id, abs(v) * 2 + 1 AS x FROM u", lambda x: recursive.evaluated(x, "user_id", "root(ld(0)-abs(v)*2-1,10)"), ("event_id", "x"))
+effect("expr_taylor", "SELECT event_id, exp(v) AS x FROM u", lambda x: recursive.evaluated(x, "user_id", "taylor(1,v)"), ("event_id", "x"))
+effect("expr_random", None, lambda x: recursive.evaluated(x, "user_id", "random(0)+randomi(1,2,5)", seed=7.0), ("event_id", "x"))
+effect("expr_time", "SELECT event_id, 1700000000.0::DOUBLE + v AS x FROM u", lambda x: recursive.evaluated(x, "user_id", "time(0)+v", now=1_700_000_000.0), ("event_id", "x"))
+effect("expr_print", "SELECT event_id, v * 2 AS x FROM u", lambda x: x.withColumn("x", to_column("print(v,32)*2", {"v": F.col("v")})), ("event_id", "x"))
+
+# Sources
+register("sine", "SELECT i AS n, i / 8000::DOUBLE AS t, 0.125 * sin(2 * pi() * 440 * i / 8000) + CASE WHEN i % 8000 < 320 THEN 0.25 * sin(2 * pi() * 1760 * i / 8000) ELSE 0 END AS v FROM range(20000) r(i)")(lambda s, d: audio.sine(s, 20_000, 440.0, 4.0, 8000))
+register("aevalsrc", "SELECT i AS n, i / 8000::DOUBLE AS t, sin(2 * pi() * 100 * (i / 8000::DOUBLE)) / 2 AS v FROM range(20000) r(i)")(lambda s, d: audio.aevalsrc(s, 20_000, "sin(2*PI*100*t)/2", 8000))
+register("anoisesrc")(lambda s, d: audio.anoisesrc(s, 20_000))
+register("afdelaysrc", "SELECT i AS n, CASE WHEN abs(i - 3.25) < 1e-12 THEN 1 ELSE sin(pi() * (i - 3.25)) / (pi() * (i - 3.25)) END AS v FROM range(7) r(i)")(lambda s, d: audio.afdelaysrc(s, 3.25))
+register("hilbert", "SELECT i AS n, CASE WHEN (i - 15) % 2 = 0 THEN 0 ELSE 2 / (pi() * (i - 15)) END * (0.42 - 0.5 * cos(2 * pi() * i / 30) + 0.08 * cos(4 * pi() * i / 30)) AS v FROM range(31) r(i)")(lambda s, d: audio.hilbert(s))
+register("sinc")(lambda s, d: audio.sinc(s, 4000.0))
+
+# Time
+effect("setpts_expr", "SELECT event_id, CAST(trunc((pts - min(pts) OVER (PARTITION BY user_id)) * 0.5 + n * 10) AS BIGINT) AS pts FROM u", lambda x: timing.setpts(x, "(PTS-STARTPTS)*0.5+N*10", "user_id"), ("event_id", "pts"))
+effect("setpts_previous", f"SELECT event_id, pts - lag(pts) OVER {W} AS pts FROM u", lambda x: timing.setpts(x, "PTS-PREV_INPTS", "user_id"), ("event_id", "pts"))
+effect("setpts_output", "SELECT event_id, n * 100 AS pts FROM u", lambda x: timing.setpts(x, "if(isnan(PREV_OUTPTS),0,PREV_OUTPTS+100)", "user_id"), ("event_id", "pts"))
+effect("dejudder", None, lambda x: timing.dejudder(x, 4, "user_id"), ("event_id", "pts"))
+effect("asetrate", "SELECT event_id, CAST((CAST(pts AS HUGEINT) * 2 * 44100 + 48000) // 96000 AS BIGINT) AS pts FROM u", lambda x: timing.asetrate(x, 44_100, 48_000), ("event_id", "pts"))
+effect("select_scene", f"SELECT event_id FROM (SELECT event_id, abs(v - lag(v) OVER {W}) AS d FROM u) WHERE d > 1", lambda x: timing.select(x, "gt(scene,1)", "user_id"), ("event_id",))
+effect("select_every", "SELECT event_id FROM u WHERE n % 4 = 0", lambda x: timing.select(x, "not(mod(n,4))", "user_id", BUCKET), ("event_id",))
+effect("enable_timeline", "SELECT event_id, CASE WHEN n >= 3 THEN -v ELSE v END AS v FROM u", lambda x: timing.enabled(x, "gte(n,3)", "user_id", lambda y: y.withColumn("v", -F.col("v"))))
+effect("tpad_clone", f"SELECT user_id, pts + 2 * {HOUR} AS pts, v FROM u UNION ALL SELECT user_id, min(pts) + k * {HOUR}, arg_min(v, n) FROM u, range(2) r(k) GROUP BY user_id, k UNION ALL SELECT user_id, max(pts) + (k + 2) * {HOUR}, arg_max(v, n) FROM u, range(1, 4) r(k) GROUP BY user_id, k", lambda x: timing.tpad(x, "user_id", HOUR, 2, 3, "clone", "clone"), ("user_id", "pts", "v"))
+effect("shuffleframes", "SELECT a.user_id, a.pts, CASE WHEN c = 3 THEN b.v ELSE a.v END AS v FROM (SELECT *, count(*) OVER (PARTITION BY user_id, n // 3) AS c FROM u) a LEFT JOIN u b ON b.user_id = a.user_id AND b.n = (a.n // 3) * 3 + CASE a.n % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 END WHERE c < 3 OR a.n % 3 < 2", lambda x: timing.shuffleframes(x, [2, 0, -1], "user_id"), ("user_id", "pts", "v"))
+effect("framerate_lerp", f"SELECT user_id, k AS slot, CASE WHEN np IS NULL OR np = pts THEN v ELSE v + (k * {HOUR} - pts) / (np - pts)::DOUBLE * (nv - v) END AS v FROM (SELECT *, lead(pts) OVER {W} AS np, lead(v) OVER {W} AS nv FROM u), LATERAL (SELECT unnest(range(CAST(ceil(pts / {HOUR}::DOUBLE) AS BIGINT), CAST(ceil(coalesce(np, pts + 1) / {HOUR}::DOUBLE) AS BIGINT))) AS k)", lambda x: align.framerate(x, HOUR, "user_id"), ("user_id", "slot", "v"))
+effect("sessions", f"SELECT user_id, min(pts) AS \"start\", max(pts) AS \"end\", count(*) AS records FROM (SELECT *, sum(g) OVER (PARTITION BY user_id ORDER BY n) AS k FROM (SELECT *, CASE WHEN pts - lag(pts) OVER {W} <= {3 * HOUR} THEN 0 ELSE 1 END AS g FROM u)) GROUP BY user_id, k", lambda x: align.sessions(x, "user_id", 3 * HOUR, BUCKET), ("user_id", "start", "end", "records"))
+register("framestep_dealt", ORACLE_SQL["framestep_3"])(lambda s, d: timing.framestep(stream(s, d), 3, "user_id", BUCKET).select("event_id", "user_id"))
+register("fps_dealt", ORACLE_SQL["fps_zoh"])(lambda s, d: timing.fps(stream(s, d), HOUR, "user_id", BUCKET))
+register("fps_late_drop", "SELECT o_orderkey, pts FROM (SELECT o_custkey, o_orderkey, epoch_us(o_orderdate) AS pts, max(epoch_us(o_orderdate)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM orders) WHERE m IS NULL OR pts >= m")(
+    lambda s, d: timing.late_dropped(table(s, d, "orders").select("o_custkey", "o_orderkey", timing.micros("o_orderdate").alias("pts")), "o_custkey", "o_orderkey").select("o_orderkey", "pts")
+)
+register(
+    "framesync_uniform",
+    f"""{TWO}, t AS (SELECT DISTINCT user_id, pts FROM (SELECT user_id, pts FROM a UNION ALL SELECT user_id, pts FROM b)), x AS (SELECT t.*, a.v AS v0 FROM t ASOF JOIN a ON a.user_id = t.user_id AND t.pts >= a.pts)
+    SELECT x.user_id, x.pts, v0, b.v AS v1 FROM x ASOF JOIN b ON b.user_id = x.user_id AND x.pts >= b.pts""",
+)(lambda s, d: align.framesync(list(_two(s, d)), "user_id", uniform=True))
+register("framesync_repeat", f"{TWO}, e AS (SELECT user_id, max(pts) AS z FROM a GROUP BY 1), t AS (SELECT DISTINCT user_id, pts FROM (SELECT user_id, pts FROM a UNION ALL SELECT b.user_id, b.pts FROM b JOIN e ON e.user_id = b.user_id AND b.pts > z)), x AS (SELECT t.*, a.v AS v0 FROM t ASOF JOIN a ON a.user_id = t.user_id AND t.pts >= a.pts) SELECT x.user_id, x.pts, v0, b.v AS v1 FROM x ASOF LEFT JOIN b ON b.user_id = x.user_id AND x.pts >= b.pts")(
+    lambda s, d: align.framesync(list(_two(s, d)), "user_id", bucket=BUCKET)
+)
 
 
 def _payloads(s: SparkSession, d: str) -> DataFrame:
@@ -321,4 +507,8 @@ register("probe_flat", "SELECT conv_id, turn, 'p.conv_id=\"' || conv_id || '\"'
 register("metadata_select", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) > 50")(
     lambda s, d: table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")).filter("k > 50")
 )
-register("chomp_bsf", "SELECT doc_id, length(rtrim(text)) AS size FROM documents")(lambda s, d: table(s, d, "documents").select("doc_id", F.length(F.rtrim("text")).cast("long").alias("size")))
+register("chomp_bsf", "SELECT doc_id, length(rtrim(text, 'e')) AS size FROM documents")(lambda s, d: _payloads(s, d).select("doc_id", bitstream.chomp(F.replace("payload", F.lit("e"), F.lit("\0")).cast("binary")).alias("p")).select("doc_id", F.length(F.decode("p", "UTF-8")).cast("long").alias("size")))
+
+for _module in (video, formats, live):
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL
