@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from ._arrow import bound_batches, id_and_text, slices
 
@@ -136,14 +137,13 @@ def padded(text: bytes, multiple: int = BLOCK) -> bytes:
     return text + b"\xff" * (max(1, -(-len(text) // multiple)) * multiple - len(text))
 
 
-def features(payload: bytes, ima: np.ndarray) -> str:
-    """Whole-number measures of what is stored, expanded by either law, decoded as ADPCM, and resampled."""
+def features(payload: bytes, ima: np.ndarray, rate: int, wide: bytes) -> str:
+    """Whole-number measures of what is stored, expanded by either law, decoded as ADPCM, and of the resampled PCM."""
     data = np.frombuffer(payload, np.uint8)
     linear, other = MULAW_PCM[data], ALAW_PCM[data]
-    wide = resample(linear)
     energy = int((linear.astype(np.int64) ** 2).sum()) // len(linear)
     crossings = int(((linear[1:] < 0) != (linear[:-1] < 0)).sum())
-    return f"mulaw_power={energy};mulaw_crossings={crossings};alaw_peak={int(np.abs(other.astype(np.int32)).max())};adpcm_crc32={zlib.crc32(ima.tobytes())};pcm_{2 * RATE}_crc32={zlib.crc32(wide.tobytes())}"
+    return f"mulaw_power={energy};mulaw_crossings={crossings};alaw_peak={int(np.abs(other.astype(np.int32)).max())};adpcm_crc32={zlib.crc32(ima.tobytes())};pcm_{rate}_crc32={zlib.crc32(wide)}"
 
 
 def encode_media(docs: DataFrame) -> DataFrame:
@@ -159,8 +159,10 @@ def encode_media(docs: DataFrame) -> DataFrame:
     return id_and_text(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def decode_media(media: DataFrame, target: int = 2 * RATE) -> DataFrame:
-    """(doc_id, media): each file as 16-bit PCM, resampled to ``target``; a null stays null."""
+def store_pcm(media: DataFrame, target: int = 2 * RATE) -> DataFrame:
+    """Adds the column ``pcm``: each file decoded to 16-bit PCM, resampled to ``target`` and stored as a file again.
+
+    A null stays null. All other columns stay, but an older ``pcm`` is replaced."""
     bound_batches(media.sparkSession)
 
     def one(raw: bytes | None) -> bytes | None:
@@ -170,18 +172,21 @@ def decode_media(media: DataFrame, target: int = 2 * RATE) -> DataFrame:
         return wave(resample(pcm, rate, target).tobytes(), PCM, target, 2, 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "media"):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(map(one, part.column("media").to_pylist()), pa.binary())], names=["doc_id", "media"])
+        for part in slices(batches, "media", 1 << 20):  # four times as much comes out
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(map(one, part.column("media").to_pylist()), pa.binary())], names=[*part.schema.names, "pcm"])
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, media binary")
+    own = media.drop("pcm")
+    return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField("pcm", T.BinaryType())]))
 
 
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def describe(media: DataFrame) -> DataFrame:
-    """Reads rows of ``encode_media`` back and describes them; one row each.
+    """Reads both media columns of ``store_pcm(encode_media(..))`` back and describes them; one row each.
 
+    feature: the mean power and the sign changes of the mu-law samples, the peak of the same bytes as A-law, and checksums
+    of the same bytes as ADPCM and of the samples that the stored PCM holds.
     Equal texts give equal values. Repeated rows give repeated rows, an empty table none; the payload of an empty text is
     one block of bytes 255.
     """
@@ -189,15 +194,15 @@ def describe(media: DataFrame) -> DataFrame:
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "media", 2 << 20):
-            stored = part.column("media").to_pylist()
+        for part in slices(batches, "media", 1 << 20):
+            stored, wide = part.column("media").to_pylist(), [read_wave(raw)[1:] for raw in part.column("pcm").to_pylist()]
             payloads = [read_wave(raw)[2] for raw in stored]
             # the payloads are whole blocks: all of them are decoded together
             count = [len(p) // BLOCK for p in payloads]
             ima = decode_ima(np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, BLOCK))
             at, rows = 0, []
-            for p, raw, n in zip(payloads, stored, count, strict=True):
-                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), features(p, ima[at : at + n])))
+            for p, raw, n, pcm in zip(payloads, stored, count, wide, strict=True):
+                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(raw), hashlib.sha256(raw).hexdigest(), features(p, ima[at : at + n], *pcm)))
                 at += n
             columns = [pa.array(c) for c in zip(*rows, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), *columns], names=names)

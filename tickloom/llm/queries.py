@@ -44,9 +44,9 @@ def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .media import describe, encode_media
+    from .media import describe, encode_media, store_pcm
 
-    return describe(encode_media(_table(spark, sf_dir, "documents")))
+    return describe(store_pcm(encode_media(_table(spark, sf_dir, "documents"))))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
