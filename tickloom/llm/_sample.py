@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def fold(column: str, modulus: int) -> Column:
@@ -24,3 +29,17 @@ def stratified(rows: DataFrame, label: str, key: str, each: int | dict) -> DataF
         test, part = F.col(label) == F.lit(value), F.lit(min(1.0, (each.get(value, 0) if isinstance(each, dict) else each) / n))
         share = F.when(test, part) if share is None else share.when(test, part)
     return rows.filter(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) < share * (1 << 30))
+
+
+def fitted(sample: DataFrame, fit: Callable[[pa.Table], object]) -> object:
+    """``fit`` of a bounded sample, run in one task: the driver holds the model alone, and a lost executor only repeats it.
+
+    The rows reach ``fit`` in no certain order."""
+    schema = to_arrow_schema(sample.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held) if (held := list(batches)) else schema.empty_table()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(table))], pa.binary())], names=["model"])
+
+    found = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(bytes(found[0]["model"])) if found else fit(schema.empty_table())

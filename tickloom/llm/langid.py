@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._arrow import bound_batches, id_and_text, plain, slices, split_words
-from ._sample import fold, stratified
+from ._sample import fitted, fold, stratified
 
 #: First and last code points of scripts (Unicode blocks).
 SCRIPTS = (
@@ -101,7 +101,9 @@ def fit(texts: list[str], langs: list[str], lengths: tuple[int, ...] = (3, 4), b
     grams = []
     for table in counts:
         rate = np.log((table + smooth) / (table.sum(axis=0) + smooth * buckets))
-        grams.append((rate - rate.mean(axis=1, keepdims=True)).astype(np.float32))
+        if languages:
+            rate -= rate.mean(axis=1, keepdims=True)
+        grams.append(rate.astype(np.float32))
     known = scripts / np.maximum(scripts.sum(axis=0), 1)
     return LanguageModel(languages, lengths, grams, known > 0.02)
 
@@ -131,12 +133,12 @@ def viterbi(scores: np.ndarray, index: np.ndarray, bounds: np.ndarray, switch: f
     lengths = np.diff(bounds)
     order = np.argsort(-lengths, kind="stable")
     lengths, starts = lengths[order], bounds[:-1][order]
-    labels = np.zeros(len(index), np.int8)
+    labels = np.zeros(len(index), np.int32)
     longest = int(lengths[0]) if len(lengths) else 0
     active = np.searchsorted(-lengths, -np.arange(longest), side="left")  # texts longer than t
     width = scores.shape[1]
     moved = np.zeros((len(index), width), bool)
-    source = np.zeros(len(index), np.int8)
+    source = np.zeros(len(index), np.int32)
     delta = np.zeros((len(lengths), width), np.float64)
     for t in range(longest):
         n = active[t]
@@ -184,8 +186,8 @@ def train(docs: DataFrame, each: int = 500) -> LanguageModel:
     """Fits on about ``each`` documents of every language: whole texts with a non-null lang, in the learning fold."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.filter("text is not null and lang is not null").filter(fold("doc_id", 3) != 1)
-    chosen = stratified(rows, "lang", "doc_id", each).select("text", "lang").toArrow()
-    return fit(chosen.column("text").to_pylist(), chosen.column("lang").to_pylist())
+    bound_batches(docs.sparkSession)
+    return fitted(stratified(rows, "lang", "doc_id", each).select("text", "lang"), lambda t: fit(t.column("text").to_pylist(), t.column("lang").to_pylist()))
 
 
 def _shared(spark: SparkSession, model: LanguageModel):
@@ -197,7 +199,8 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of each row; only the text is an input of a prediction.
 
     held_out: crc32 of the id as text, modulo 3, is 1 (false for a null id). A text that is null or has no letter is
-    ``und`` with score 0. Repeated rows give repeated rows, an empty table none; other columns are ignored.
+    ``und`` with score 0; so are all texts if no language was learned. Repeated rows give repeated rows, an empty table
+    none; other columns are ignored.
     """
     bound_batches(docs.sparkSession)
     shared = _shared(docs.sparkSession, model)
@@ -240,7 +243,10 @@ def spans(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def kept(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
-    """The rows, with all their columns, of which one language covers at least ``least`` of the letters."""
+    """The rows, with all their columns, of which one language covers at least ``least`` of the letters.
+
+    Null and empty texts, and those without letters, go; if no language was learned, all do. Null ids, repeated rows and
+    further columns stay as they are; an empty table gives an empty one."""
     bound_batches(docs.sparkSession)
     shared = _shared(docs.sparkSession, model)
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._arrow import bound_batches, id_and_text, plain, ragged, slices, split_words
-from ._sample import fold, stratified
+from ._sample import fitted, fold, stratified
 
 #: Common function words by which the language of a text shows.
 FUNCTION_WORDS = {
@@ -144,26 +144,66 @@ def scores(model: ToxicityModel, col: pa.Array) -> np.ndarray:
 
 
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """Where true positives exceed false ones, counted four times, by most; in the middle of the gap."""
+    """Where the share of true positives exceeds that of false ones, counted ten times, by most; in the middle of the gap."""
     order = np.argsort(-p)
     p, y = p[order], y[order]
-    gain = np.cumsum(y) / max(1, y.sum()) - 4 * np.cumsum(1 - y) / max(1, (1 - y).sum())
+    gain = np.cumsum(y) / max(1, y.sum()) - 10 * np.cumsum(1 - y) / max(1, (1 - y).sum())
     k = int(gain.argmax())
-    logit = lambda x: float(np.log(np.clip(x, 1e-9, 1 - 1e-9) / (1 - np.clip(x, 1e-9, 1 - 1e-9))))
-    low = logit(p[k + 1]) if k + 1 < len(p) else logit(p[k]) - 2
-    return float(np.clip(1 / (1 + np.exp(-(logit(p[k]) + low) / 2)), 0.1, 0.9))
+    low = _logit(p[k + 1]) if k + 1 < len(p) else _logit(p[k]) - 2
+    return float(np.clip(1 / (1 + np.exp(-(_logit(p[k]) + low) / 2)), 0.1, 0.95))
+
+
+def _logit(p: float) -> float:
+    p = float(np.clip(p, 1e-9, 1 - 1e-9))
+    return float(np.log(p / (1 - p)))
+
+
+def calibrated(p: np.ndarray, y: np.ndarray, langs: list[str], weight: float = 30.0) -> tuple[float, dict[str, float]]:
+    """(common threshold, threshold of each language): a language's own, drawn towards the common one as if that stood for
+    ``weight`` toxic cases, so that few cases change little. A language without cases of either kind has the common one."""
+    if len(set(y.tolist())) < 2:
+        return 0.5, dict.fromkeys(FUNCTION_WORDS, 0.5)
+    common = _threshold(p, y)
+    found = {}
+    for name in FUNCTION_WORDS:
+        own = np.array([x == name for x in langs], bool)
+        n = float(y[own].sum())
+        part = n / (n + weight) if n and n < own.sum() else 0.0
+        logit = (1 - part) * _logit(common) + (part * _logit(_threshold(p[own], y[own])) if part else 0.0)
+        found[name] = float(1 / (1 + np.exp(-logit)))
+    return common, found
+
+
+def fit(texts: list[str], labels: list[int], folds: int = 3, **options) -> ToxicityModel:
+    """Trains on all texts. The thresholds come from each text's probability under a model that never saw it: one of
+    ``folds``, each trained without its own part of the texts. Too few texts of either label leave thresholds at 0.5."""
+    pairs, bounds, langs = _encoded(texts)
+    y = np.asarray(labels, np.float64)
+    model = _fit(pairs, bounds, y, np.arange(len(y)), **options)
+    # dealt within each label, so that every part has cases of either
+    part = np.zeros(len(y), np.int64)
+    for k in (0, 1):
+        own = np.flatnonzero(y == k)
+        part[own] = np.arange(len(own)) % folds
+    if min((y == 0).sum(), (y == 1).sum()) >= 2 * folds:
+        p = np.zeros(len(y))
+        for k in range(folds):
+            own = np.flatnonzero(part == k)
+            lengths = np.diff(bounds)[own]
+            other = _fit(pairs, bounds, y, np.flatnonzero(part != k), **options)
+            p[own] = probabilities(other, pairs[ragged(bounds[:-1][own], lengths)], np.concatenate([[0], np.cumsum(lengths)]))
+        model.default, model.thresholds = calibrated(p, y, langs)
+    model.tables = []  # made anew by each worker
+    return model
 
 
-def fit(
-    texts: list[str], labels: list[int], dim: int = 8, widths: tuple[int, ...] = (1, 2, 3), each: int = 8, epochs: int = 4, batch: int = 32, rate: float = 0.05, seed: int = 7
+def _fit(
+    pairs: np.ndarray, bounds: np.ndarray, y: np.ndarray, learn: np.ndarray, dim: int = 8, widths: tuple[int, ...] = (1, 2, 3), each: int = 8, epochs: int = 4, batch: int = 32, rate: float = 0.05, seed: int = 7
 ) -> ToxicityModel:
-    """Trains on whole texts by Adagrad; every fifth text is left for calibration."""
+    """Trains by Adagrad on the whole texts that ``learn`` lists."""
     rng = np.random.default_rng(seed)
-    pairs, bounds, langs = _encoded(texts)
-    y = np.asarray(labels, np.float64)
     emb = rng.normal(0, 0.02, (2 * BUCKETS, dim))
     # the first dimension starts from the smoothed log-odds of each bucket's documents
-    learn = np.flatnonzero(np.arange(len(y)) % 5 != 4)
     seen = np.zeros((2, 2 * BUCKETS))
     for d in learn:
         own = np.unique(pairs[bounds[d] : bounds[d + 1]])
@@ -183,74 +223,65 @@ def fit(
         grads2[k][at] += g * g
         params[k][at] -= rate * g / np.sqrt(grads2[k][at])
 
-    weight = np.where(y == 1, len(y) / max(1, 2 * y.sum()), len(y) / max(1, 2 * (1 - y).sum()))
+    total, toxic = len(learn), y[learn].sum()
+    weight = np.where(y == 1, total / max(1, 2 * toxic), total / max(1, 2 * (total - toxic)))
     for _ in range(epochs):
-        for start in range(0, len(learn), batch) if len(learn) else ():
-            docs = rng.permutation(learn)[:batch] if start == 0 else order[start : start + batch]
-            if start == 0:
-                order = np.concatenate([docs, np.setdiff1d(rng.permutation(learn), docs, assume_unique=True)])
-                order[len(docs) :] = rng.permutation(order[len(docs) :])
-            spans = [pairs[bounds[d] : bounds[d + 1]] for d in docs]
-            length = np.array([len(s) for s in spans])
-            docs, spans, length = docs[length > 0], [s for s in spans if len(s)], length[length > 0]
+        order = rng.permutation(learn)
+        for start in range(0, len(order), batch):
+            docs = order[start : start + batch]
+            docs = docs[np.diff(bounds)[docs] > 0]
             if not len(docs):
                 continue
-            ids = np.concatenate(spans)
-            x = emb[ids[:, 0]] + emb[ids[:, 1]]
-            text = np.repeat(np.arange(len(docs)), length)
-            first = np.cumsum(length) - length
-            last = first + length
-            pooled, places = [], []
-            for f, b in zip(filters, bias, strict=True):
-                z = np.tile(b, (len(x), 1))
-                for j in range(len(f)):
-                    fits = (text[j:] == text[: len(text) - j])[:, None]
-                    z[: len(z) - j] += (x[j:] @ f[j]) * fits
-                best = np.array([z[a:e].argmax(axis=0) + a for a, e in zip(first, last, strict=True)])
-                places.append(best)
-                pooled.append(np.take_along_axis(z, best, axis=0) if len(docs) == 1 else z[best, np.arange(each)])
-            act = np.maximum(np.concatenate(pooled, axis=1), 0)
-            p = 1 / (1 + np.exp(-np.clip(act @ out + out_bias[0], -30, 30)))
-            dz = (p - y[docs]) * weight[docs] / len(docs)
-            d_act = dz[:, None] * out * (act > 0)
-            update(len(params) - 2, act.T @ dz + 1e-4 * out)
-            update(len(params) - 1, np.array([dz.sum()]))
-            g_emb: dict = {}
-            touched, parts = [], []
-            for k, (f, best) in enumerate(zip(filters, places, strict=True)):
-                g = d_act[:, k * each : (k + 1) * each]
-                gf = np.zeros_like(f)
-                for j in range(len(f)):
-                    at = np.minimum(best + j, len(x) - 1)
-                    ok = g * ((best + j < len(x)) & (text[at] == np.arange(len(docs))[:, None]))
-                    for c in range(each):
-                        gf[j, :, c] = x[at[:, c]].T @ ok[:, c]
-                    parts.append((ok[:, :, None] * f[j].T[None]).reshape(-1, dim))
-                    touched.append(at.reshape(-1))
-                update(1 + k, gf + 1e-4 * f)
-                update(1 + len(filters) + k, g.sum(axis=0))
-            where, delta = np.concatenate(touched), np.concatenate(parts)
+            ids = pairs[ragged(bounds[:-1][docs], np.diff(bounds)[docs])]
+            text = np.repeat(np.arange(len(docs)), np.diff(bounds)[docs])
+            found = gradients(params, len(widths), emb[ids[:, 0]] + emb[ids[:, 1]], text, y[docs], weight[docs] / len(docs))
+            for k, g in enumerate(found[1:], 1):
+                update(k, g)
+            where, delta = found[0]
             for h in (0, 1):
                 own, inverse = np.unique(ids[where, h], return_inverse=True)
                 g_emb = np.zeros((len(own), dim))
                 np.add.at(g_emb, inverse, delta)
                 update(0, g_emb, own)
-    model = ToxicityModel(widths, emb.astype(np.float32), [f.astype(np.float32) for f in filters], [b.astype(np.float32) for b in bias], out.astype(np.float32), float(out_bias[0]))
-    held = np.flatnonzero(np.arange(len(y)) % 5 == 4)
-    if len(held):
-        lengths = np.diff(bounds)[held]
-        p = probabilities(model, pairs[ragged(bounds[:-1][held], lengths)], np.concatenate([[0], np.cumsum(lengths)]))
-        langs = [langs[k] for k in held]
-        both = lambda v: len(set(v.tolist())) == 2
-        if both(y[held]):
-            model.default = _threshold(p, y[held])
-        for name in FUNCTION_WORDS:
-            own = np.array([x == name for x in langs])
-            # a threshold of its own needs cases of either kind
-            if y[held][own].sum() >= 30 and (1 - y[held][own]).sum() >= 30:
-                model.thresholds[name] = _threshold(p[own], y[held][own])
-    model.tables = []  # made anew by each worker
-    return model
+    return ToxicityModel(widths, emb.astype(np.float32), [f.astype(np.float32) for f in filters], [b.astype(np.float32) for b in bias], out.astype(np.float32), float(out_bias[0]))
+
+
+def gradients(params: list[np.ndarray], n: int, x: np.ndarray, text: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float = 1e-4) -> list:
+    """Of the weighted log loss, for ``params``: embeddings, ``n`` filters, their biases, output weights and bias.
+
+    x: the embedding of each position; text: which text it belongs to, none of them empty. The first gradient is
+    (positions, their gradients), positions repeated. ``decay`` times a parameter is added for filters and output weights."""
+    filters, bias, out, out_bias = params[1 : 1 + n], params[1 + n : 1 + 2 * n], params[-2], params[-1]
+    first = np.flatnonzero(np.diff(text, prepend=-1))
+    last = np.append(first[1:], len(x))
+    each = filters[0].shape[2]
+    pooled, places = [], []
+    for f, b in zip(filters, bias, strict=True):
+        z = np.tile(b, (len(x), 1))
+        for j in range(min(len(f), len(x))):
+            fits = (text[j:] == text[: len(text) - j])[:, None]
+            z[: len(z) - j] += (x[j:] @ f[j]) * fits
+        best = np.array([z[a:e].argmax(axis=0) + a for a, e in zip(first, last, strict=True)])
+        places.append(best)
+        pooled.append(z[best, np.arange(each)])
+    act = np.maximum(np.concatenate(pooled, axis=1), 0)
+    p = 1 / (1 + np.exp(-np.clip(act @ out + out_bias[0], -30, 30)))
+    dz = (p - y) * weight
+    d_act = dz[:, None] * out * (act > 0)
+    touched, parts, g_filters, g_bias = [], [], [], []
+    for k, (f, best) in enumerate(zip(filters, places, strict=True)):
+        g = d_act[:, k * each : (k + 1) * each]
+        gf = np.zeros_like(f)
+        for j in range(len(f)):
+            at = np.minimum(best + j, len(x) - 1)
+            ok = g * ((best + j < len(x)) & (text[at] == np.arange(len(y))[:, None]))
+            for c in range(each):
+                gf[j, :, c] = x[at[:, c]].T @ ok[:, c]
+            parts.append((ok[:, :, None] * f[j].T[None]).reshape(-1, f.shape[1]))
+            touched.append(at.reshape(-1))
+        g_filters.append(gf + decay * f)
+        g_bias.append(g.sum(axis=0))
+    return [(np.concatenate(touched), np.concatenate(parts)), *g_filters, *g_bias, act.T @ dz + decay * out, np.array([dz.sum()])]
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic: int = 1200, clean: int = 4000) -> ToxicityModel:
@@ -258,16 +289,17 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = 1200, clean: int = 40
 
     Of several labels for one document the toxic one counts; null labels count for nothing.
     """
-    spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(fold("doc_id", 5) != 0)
-    ids = stratified(known, "toxic", "doc_id", {1: toxic, 0: clean}).collect()
-    if not ids:
-        return fit([], [])
     # as many rows as asked for, whatever the corpus: small enough to broadcast
-    chosen = F.broadcast(spark.createDataFrame(ids, "doc_id long, toxic int"))
-    rows = id_and_text(docs).join(chosen, "doc_id").select("doc_id", "text", "toxic").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return fit(rows.column("text").to_pylist(), rows.column("toxic").to_pylist())
+    chosen = F.broadcast(stratified(known, "toxic", "doc_id", {1: toxic, 0: clean}))
+    bound_batches(docs.sparkSession)
+
+    def learned(rows: pa.Table) -> ToxicityModel:
+        rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        return fit(rows.column("text").to_pylist(), rows.column("toxic").to_pylist())
+
+    return fitted(id_and_text(docs).join(chosen, "doc_id").select("doc_id", "text", "toxic"), learned)
 
 
 def classify(docs: DataFrame, model: ToxicityModel) -> DataFrame:
@@ -289,7 +321,10 @@ def classify(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
 
 def kept(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """The rows, with all their columns, that aren't predicted to be toxic."""
+    """The rows, with all their columns, that aren't predicted to be toxic.
+
+    A null or empty text is scored like one in which no filter responds. Null ids, repeated rows and further columns stay as
+    they are; an empty table gives an empty one."""
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
