@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 KEY = "spark.checkpoint.dir"
 
@@ -51,22 +52,57 @@ def fresh(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: cuts lineage and survives lost executors."""
+    """Writes a table to the shared folder and reads it again: cuts lineage and survives lost executors.
+
+    It is deleted by ``drop``, or else when the driver's JVM ends."""
     spark = df.sparkSession
     path = fresh(spark, name)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tickloom_path = path
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Deletes a table made by ``written`` that is no longer read."""
-    path = getattr(df, "_tickloom_path", None)
-    if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables made by ``written`` that are no longer read."""
+    for df in tables:
+        path = getattr(df, "_tickloom_path", None)
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def uses(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """Notes which work tables a plan reads, so that ``release`` can delete them."""
+    df._tickloom_uses = tables
+    return df
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the work tables of a plan that has been carried out and written."""
+    drop(*getattr(df, "_tickloom_uses", ()))
+
+
+#: A key is frequent if it has over one in so many rows: as many keys at most are frequent, whatever the table.
+FREQUENT = 1000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """``rows`` with the other columns of ``table``, which has each key once; nulls where it lacks the key.
+
+    count: the column of ``table`` that holds how many rows have the key; it isn't part of the result. Frequent keys, at
+    most ``FREQUENT`` of them, are looked up in a broadcast, and their rows are spread instead of meeting in one task.
+    """
+    values = [c for c in table.columns if c not in keys and c != count]
+    total = table.agg(F.sum(count)).first()[0] or 0
+    often = table.filter(F.col(count) > max(1, total // FREQUENT)).select(*keys, F.struct(*values).alias("_often"))
+    salt = F.when(F.col("_often").isNull(), F.lit(-1).cast("long")).otherwise(F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << 62) - 1)))
+    marked = rows.join(F.broadcast(often), keys, "left").withColumn("_salt", salt)
+    met = marked.join(table.select(*keys, *values, F.lit(-1).cast("long").alias("_salt")), [*keys, "_salt"], "left")
+    return met.select(*rows.columns, *[F.when(F.col("_often").isNull(), F.col(c)).otherwise(F.col(f"_often.{c}")).alias(c) for c in values])
 
 
 def open_fs(uri: str):

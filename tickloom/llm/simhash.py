@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._arrow import bound_batches, id_and_text, ragged, slices
-from ._shared import written
+from ._shared import drop, looked_up, release, uses, written
 from .components import connected_components, contracted
 
 #: Fingerprints of a bucket up to which all its pairs are compared in one place.
@@ -204,13 +204,13 @@ def links(fps: DataFrame, distance: int = 2, small: int = SMALL) -> DataFrame:
     hot = written(_hot_keys(fps, small), "hot-keys")
     variants = _variants(fps)
     if hot.isEmpty():
-        return _cold_links(variants, distance)
+        return uses(_cold_links(variants, distance), hot)
     cold = _cold_links(variants.join(hot, "key", "left_anti"), distance)
     members = written(variants.join(hot, "key", "left_semi").select("fp").distinct(), "hot-fingerprints")
     found = _hot_links(members)
     if distance < 2:
         found = found.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    return cold.unionAll(found)
+    return uses(cold.unionAll(found), hot, members)
 
 
 def classes(docs: DataFrame, words: int = 3, distance: int = 2, small: int = SMALL) -> DataFrame:
@@ -222,14 +222,17 @@ def classes(docs: DataFrame, words: int = 3, distance: int = 2, small: int = SMA
     Repeated rows give repeated rows. An empty table gives none.
     """
     own = written(fingerprints(docs, words), "fingerprints")
-    by_fp = written(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
+    by_fp = written(own.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "classes")
     reached = connected_components(links(by_fp.select("fp"), distance, small))
     # the least doc_id of each component, then back to the fingerprints that are in one
     member = by_fp.join(reached.withColumnRenamed("node", "fp"), "fp")
     least = member.groupBy("component").agg(F.min("first_id").alias("component_id"))
     linked = member.select("fp", "component").join(least, "component").select("fp", "component_id")
-    ids = by_fp.join(linked.withColumnRenamed("component_id", "linked_id"), "fp", "left").select("fp", F.coalesce("linked_id", "first_id").alias("component_id"))
-    return own.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    ids = by_fp.join(linked.withColumnRenamed("component_id", "linked_id"), "fp", "left").select("fp", "n", F.coalesce("linked_id", "first_id").alias("component_id"))
+    ids = written(ids, "components-of-classes")
+    release(reached)
+    drop(by_fp)
+    return looked_up(own, ids, ["fp"], "n").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 # Near-duplicates of a given similarity: wide fingerprints, samples of their bits as keys, exact verification.
@@ -338,7 +341,7 @@ def wide_links(fps: DataFrame, limit: int, small: int = 8 * SMALL) -> DataFrame:
             yield from links(*held)
 
     # in order of ids, so that forests of different buckets share their edges
-    return rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "a long, b long").distinct()
+    return uses(rows.repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "a long, b long").distinct(), hot)
 
 
 def _wide_forest(fps: np.ndarray, limit: int) -> list[tuple[int, int]]:
@@ -413,7 +416,7 @@ def exact_links(docs: DataFrame, candidates: DataFrame, words: int, similarity:
         return pa.table([pa.array(nodes[pairs[:, 0]]), pa.array(nodes[pairs[:, 1]])], names=["a", "b"])
 
     # dealt by all three: else a join may leave a whole component in one task
-    return rows.repartition("component", "low", "high").groupBy("component", "low", "high").applyInArrow(meet, "a long, b long").distinct()
+    return uses(rows.repartition("component", "low", "high").groupBy("component", "low", "high").applyInArrow(meet, "a long, b long").distinct(), own)
 
 
 def _jaccard_forest(flat: np.ndarray, sizes: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -451,13 +454,20 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     Rows without an id and texts without words are left alone, each a group of its own.
     """
     own = written(signatures(docs, words), "signatures")
-    full = own.filter("doc_id is not null and s0 is not null")
-    sets = written(full.groupBy(*DIGEST).agg(F.min(F.struct("doc_id", *WIDE)).alias("lead")).select(*DIGEST, F.col("lead.doc_id").alias("id"), *[F.col(f"lead.{c}").alias(c) for c in WIDE]), "distinct-sets")
-    candidates = written(connected_components(contracted(wide_links(sets.select("id", *WIDE), distance_of(similarity)))), "candidates")
+    full = own.filter("doc_id is not null and s0 is not null").select("doc_id", *DIGEST, *WIDE)
+    lead = F.min(F.struct("doc_id", *WIDE)).alias("lead")
+    sets = full.groupBy(*DIGEST).agg(lead, F.count("*").alias("n")).select(*DIGEST, "n", F.col("lead.doc_id").alias("id"), *[F.col(f"lead.{c}").alias(c) for c in WIDE])
+    sets = written(sets, "distinct-sets")
+    near = connected_components(contracted(wide_links(sets.select("id", *WIDE), distance_of(similarity))))
+    candidates = written(near, "candidates")
+    release(near)
     far = connected_components(contracted(exact_links(docs, candidates, words, similarity)))
-    last = sets.join(far.withColumnRenamed("node", "id"), "id", "left").select(*DIGEST, F.coalesce("component", "id").alias("group_id"))
+    last = sets.join(far.withColumnRenamed("node", "id"), "id", "left").select(*DIGEST, "n", F.coalesce("component", "id").alias("group_id"))
+    last = written(last, "groups-of-sets")
+    release(far)
+    drop(sets, candidates)
     alone = own.filter("doc_id is null or s0 is null").select("doc_id", F.col("doc_id").alias("group_id"))
-    return full.join(last, DIGEST).select("doc_id", "group_id").unionAll(alone)
+    return uses(looked_up(full.select("doc_id", *DIGEST), last, DIGEST, "n").select("doc_id", "group_id").unionAll(alone), own, last)
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

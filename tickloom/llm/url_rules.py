@@ -13,6 +13,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._shared import looked_up, written
+
 #: (verdict, host, path prefix): fixed by the contract of op5.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -79,9 +81,13 @@ def judge(pages: DataFrame, rules=RULES, support: float = 0.01, confidence: floa
     rule, verdict = listed(F.col("host"), F.col("path"), rules)
     own = own.select("page_id", "host", "path", tokens(F.col("host"), F.col("path")).alias("tokens"), rule.alias("rule"), verdict.alias("listed"))
     labelled = own.filter("listed is not null").select("tokens", F.col("listed").alias("verdict"))
-    rest = own.filter("listed is null").select("tokens").distinct()
+    # every distinct array once; counts tell which are frequent
+    each = written(own.groupBy("tokens").agg(F.count("*").alias("n"), F.max(F.col("listed").isNull()).alias("asked")), "token-sets")
+    rest = each.filter("asked").select("tokens")
     mined = match(rest, mine(labelled, support, confidence)) if not labelled.isEmpty() else rest.select("tokens", F.lit(None).cast("string").alias("mined")).limit(0)
-    return own.join(mined, "tokens", "left").select("page_id", "host", "path", "rule", F.coalesce("listed", "mined", F.lit(default)).alias("verdict"))
+    judged = each.select("tokens", "n").join(mined, "tokens", "left")
+    found = looked_up(own, written(judged, "verdicts"), ["tokens"], "n")
+    return found.select("page_id", "host", "path", "rule", F.coalesce("listed", "mined", F.lit(default)).alias("verdict"))
 
 
 ORACLE = r"""
@@ -98,8 +104,8 @@ ruled AS (
 marked AS (
   SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS listed,
          list_sort(list_distinct(list_concat(
-           list_transform(list_filter(string_split(host, '.'), x -> x <> ''), x -> 'h=' || x),
-           list_transform(list_filter(string_split(path, '/'), x -> x <> ''), x -> 'p=' || regexp_replace(x, '[0-9]+', '#', 'g'))))) AS tokens
+           list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h=' || x),
+           list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'p=' || regexp_replace(x, '[0-9]+', '#', 'g'))))) AS tokens
   FROM ruled),
 kinds AS (SELECT tokens, listed, count(*) AS n FROM marked WHERE listed IS NOT NULL GROUP BY ALL),
 total AS (SELECT sum(n) AS n FROM kinds),
