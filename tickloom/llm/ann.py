@@ -15,13 +15,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._arrow import bound_batches
+from ._sample import fitted
 
-#: Vectors that one part of a group of leaves holds, about; and groups of leaves for each tree.
-PART, GROUPS = 32_768, 16
+#: Vectors that one part of a group of leaves holds, about; groups of leaves for each tree; queries that one task asks.
+PART, GROUPS, ASKED = 32_768, 16, 256
+#: Lengths of vectors that one table may hold.
+LENGTHS = 64
 
 
 @dataclass
@@ -49,7 +52,7 @@ def fit(sample: np.ndarray, trees: int, leaf: int, seed: int = 11) -> Forest:
 
     def split(own: np.ndarray):
         for _ in range(5):
-            a, b = sample[rng.integers(len(own), size=2)] if own is None else sample[rng.choice(own, 2, replace=False)]
+            a, b = sample[rng.choice(own, 2, replace=False)]
             normal = a - b
             norm = np.sqrt(normal @ normal)
             if norm == 0:
@@ -156,10 +159,16 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.n
     by_id = np.argsort(ids, kind="stable")
     starts = np.flatnonzero(np.diff(ids[by_id], prepend=ids[by_id][:1] - 1))
     out: list[tuple] = []
+    # a cheap form of the distances, from a common centre, finds who may be among the k nearest; the exact form ranks those
+    centre = x.mean(axis=0) if len(x) else 0.0
+    near = x - centre
+    squares = (near * near).sum(axis=1)
+    error = 8 * (x.shape[1] + 4) * np.finfo(np.float64).eps
     for at in range(0, len(queries), 64):
         q = queries[at : at + 64]
-        # a cheap form of the distances finds who may be among the k nearest; the exact form ranks those
-        rough = (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None] - 2 * (q @ x.T)
+        own_near = q - centre
+        own_squares = (own_near * own_near).sum(axis=1)
+        rough = own_squares[:, None] + squares[None] - 2 * (own_near @ near.T)
         own = query_ids[at : at + 64, None] == ids[None]
         rough[own] = np.inf
         if leaves is not None:
@@ -171,7 +180,8 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, x: np.ndarray, ids: np.n
                 # of each id its nearest row
                 least = row if len(starts) == len(row) else np.minimum.reduceat(row[by_id], starts)
                 bound = np.partition(least, k - 1)[k - 1]
-                who = np.flatnonzero(row <= bound + 1e-9 * (1 + abs(bound))) if np.isfinite(bound) else np.flatnonzero(np.isfinite(row))
+                # what rounding may add grows with the terms, not with their difference
+                who = np.flatnonzero(row <= bound + error * (own_squares[j] + squares)) if np.isfinite(bound) else np.flatnonzero(np.isfinite(row))
             else:
                 who = np.flatnonzero(np.isfinite(row))
             d = np.sqrt(((x[who] - q[j]) ** 2).sum(axis=1))
@@ -190,13 +200,11 @@ def _matrix(col: pa.Array) -> np.ndarray:
 
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, v array<double>): without vectors that are null, zero, empty or hold null or non-finite components, and
-    without null ids; of several lengths only the commonest takes part (the shorter one of two alike)."""
+    without null ids."""
     v = F.col("embedding").cast("array<double>")
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
-    own = own.filter("vec_id is not null and v is not null and size(v) > 0").filter(good).filter(F.exists("v", lambda x: x != 0))
-    sizes = own.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return own.filter(F.size("v") == sizes[0]["n"]) if sizes else own
+    return own.filter("vec_id is not null and v is not null and size(v) > 0").filter(good).filter(F.exists("v", lambda x: x != 0))
 
 
 def search(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = 8, leaf: int = 128, target: float = 0.96, sample: int = 20_000) -> DataFrame:
@@ -206,19 +214,38 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = 8, le
     most about so many. target: recall that sampled queries must reach in the sample; it sets how much of the forest a
     query visits, so clustered vectors need few leaves and evenly spread ones many.
 
-    Vectors that are null, zero or not finite take no part, nor do null ids. Repeated rows of one id count once. Ties go
+    Vectors that are null, zero or not finite take no part, nor do null ids. Vectors of different lengths have no
+    distance: each length has a forest of its own, and a table of over ``LENGTHS`` lengths is refused. Repeated rows of
+    one id count once; of different vectors of one id the least is the query, and the nearest counts as candidate. Ties go
     to the smaller id. Fewer candidates than ``k`` are all returned. An empty table gives no rows.
     """
-    spark = vectors.sparkSession
-    bound_batches(spark)
+    bound_batches(vectors.sparkSession)
     single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
     own = usable(vectors)
-    n = own.count()
+    asks = F.pmod("vec_id", F.lit(every)) == 0
+    sizes = own.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.count(F.when(asks, 1)).alias("queries")).orderBy("dim").limit(LENGTHS + 1).collect()
+    if len(sizes) > LENGTHS:
+        raise ValueError(f"vectors of over {LENGTHS} lengths")
+    out = own.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
+    for r in sizes:
+        found = _search(own.filter(F.size("v") == r["dim"]), asks, r["n"], r["queries"], single, k, trees, leaf, target, sample)
+        out = found if len(sizes) == 1 else out.unionByName(found)
+    return out
+
+
+def _search(own: DataFrame, asks: Column, n: int, queries: int, single: bool, k: int, trees: int, leaf: int, target: float, sample: int) -> DataFrame:
+    """``search`` among ``n`` vectors of one length."""
+    spark = own.sparkSession
     part = min(1.0, sample / max(1, n))
-    chosen = own.filter(F.pmod(F.xxhash64("vec_id", F.lit("forest")), F.lit(1 << 30)) < part * (1 << 30)).dropDuplicates().toArrow().sort_by("vec_id")
-    fitted = _matrix(chosen.column("v")) if chosen.num_rows else np.empty((0, 0))
-    planes = fit(fitted, trees, max(8, round(leaf * part)))
-    enough = calibrated_share(planes, fitted, k, target) * len(fitted)
+    chosen = own.filter(F.pmod(F.xxhash64("vec_id", F.lit("forest")), F.lit(1 << 30)) < part * (1 << 30)).dropDuplicates()
+
+    def grown(rows: pa.Table) -> tuple[Forest, float, int]:
+        fitted_on = _matrix(rows.column("v")) if rows.num_rows else np.empty((0, 0))
+        fitted_on = fitted_on[np.lexsort(fitted_on.T)] if len(fitted_on) else fitted_on  # the same trees, however rows arrive
+        planes = fit(fitted_on, trees, max(8, round(leaf * part)))
+        return planes, calibrated_share(planes, fitted_on, k, target) * len(fitted_on), len(fitted_on)
+
+    planes, enough, fitted_rows = fitted(chosen, grown)
     forest = spark.sparkContext.broadcast(planes)  # bounded by the sample
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,14 +263,15 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = 8, le
     kind = "vec_id long, v array<double>, leaves array<long>"
     # single precision is how they came: half the bytes to shuffle, and nothing is lost
     rows = own.mapInArrow(index, kind).select("vec_id", F.col("v").cast("array<float>" if single else "array<double>").alias("v"), F.explode("leaves").alias("leaf"))
-    asked = own.filter(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id"]).mapInArrow(ask, kind).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode("leaves").alias("leaf"))
-    # groups of neighbouring leaves; their parts by counts, combined before the shuffle: as many rows as groups
+    asking = own.filter(asks).repartition(max(1, -(-queries // ASKED)), "vec_id").groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = asking.mapInArrow(ask, kind).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode("leaves").alias("leaf"))
+    # groups of neighbouring leaves; the sample tells into how many parts each is dealt
     n_leaves, n_groups = len(planes.counts), trees * GROUPS
     of = lambda c: F.floor(c * n_groups / n_leaves)
     rows = rows.withColumn("group", of(F.col("leaf")))
     asked = asked.groupBy("query_id", of(F.col("leaf")).alias("group")).agg(F.first("q").alias("q"), F.collect_set("leaf").alias("reached"))
-    sizes = own.mapInArrow(index, kind).select(F.explode("leaves").alias("leaf")).groupBy(of(F.col("leaf")).alias("group")).count().collect()
-    parts = {r["group"]: -(-r["count"] // PART) for r in sizes if r["count"] > PART}
+    held = np.bincount(np.arange(n_leaves) * n_groups // max(1, n_leaves), weights=planes.counts) * (n / max(1, fitted_rows))
+    parts = {g: -(-int(held[g]) // PART) for g in np.flatnonzero(held > PART).tolist()}
     if parts:
         dealt = F.broadcast(spark.createDataFrame(list(parts.items()), "group long, parts long"))
         some = F.coalesce("parts", F.lit(1).cast("long"))
