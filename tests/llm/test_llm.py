@@ -323,6 +323,25 @@ def test_neighbours_of_repeated_rows(spark):
         assert own == [(n + 1, 100 * v) for n, v in enumerate(np.argsort(d)[:10].tolist())]
 
 
+def test_neighbours_far_from_the_origin(spark):
+    x = 1e5 + np.random.default_rng(14).normal(size=(3000, 8)) * 1e-3
+    got = ann.search(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()
+    hits = 0
+    for q in range(0, 3000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10].tolist()) & {r["vec_id"] for r in got if r["query_id"] == q})
+    assert hits >= 0.95 * 300
+
+
+def test_neighbours_of_several_lengths_and_repeated_queries(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (100, [3.0]), (2, [5.0]), (3, [4.0]), (100, [2.0])]
+    got = sorted(tuple(r) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(0, 1, 1, pytest.approx(2**0.5)), (100, 1, 3, 2.0), (100, 2, 2, 3.0)]
+    with pytest.raises(ValueError):
+        ann.search(spark.createDataFrame([(k, [1.0] * k) for k in range(1, 70)], "vec_id long, embedding array<double>"))
+
+
 def test_url_rules_edge_cases(spark):
     urls = [None, "", "no scheme", "http://NET/", "http://a.net", "https://x.EXAMPLE.net/en/1?q#f", "http://notnet/", "http://b.org/fr/2", "http://c.org/fr", "ftp://d.example.com/de/#x", "a://b://c.net/", "http://e.org?x/fr/", "http://x.net/" + "y" * 9000]
     pages = spark.createDataFrame([(k, u, "h", "x") for k, u in enumerate(urls)] + [(None, urls[5], "h", "x"), (5, urls[5], "h", "x")], "page_id long, url string, html string, rule string")
@@ -342,7 +361,7 @@ def test_url_rules_of_three_tokens(spark):
 
 
 def test_media(spark, odd):
-    rows = media.describe(media.encode_media(odd)).collect()
+    rows = media.describe(media.store_pcm(media.encode_media(odd))).collect()
     assert len(rows) == len(ODD) + 1
     seen = {}
     for r in rows:
@@ -352,9 +371,40 @@ def test_media(spark, odd):
         want = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-32:]))
         assert seen.setdefault(raw, tuple(r)[1:]) == tuple(r)[1:]
-    wide = media.decode_media(media.encode_media(odd)).first()["media"]
-    assert media.read_wave(wide)[:2] == (media.PCM, 16000)
-    assert media.describe(media.encode_media(odd.limit(0))).count() == 0
+    assert media.describe(media.store_pcm(media.encode_media(odd.limit(0)))).count() == 0
+
+
+def scalar_law(code, law):
+    if law == "mulaw":
+        code ^= 0xFF
+        value = (((code & 15) * 2 + 33) << (code >> 4 & 7)) - 33
+        return -4 * value if code & 128 else 4 * value
+    code ^= 0x55
+    part, low = code >> 4 & 7, code & 15
+    value = (2 * low + 1) * 8 if part == 0 else (2 * low + 33) * 8 << (part - 1)
+    return value if code & 128 else -value
+
+
+def test_stored_media_against_brute_force(spark, odd):
+    got = media.store_pcm(media.encode_media(odd)).filter("doc_id is not null").collect()
+    described = {r["doc_id"]: r for r in media.describe(media.store_pcm(media.encode_media(odd))).collect()}
+    for r in got:
+        raw = (ODD[r["doc_id"]] or "").encode()
+        payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
+        head = b"fmt " + (18).to_bytes(4, "little") + b"\x07\0\x01\0" + (8000).to_bytes(4, "little") * 2 + b"\x01\0\x08\0\0\0"
+        stored = b"WAVE" + head + b"data" + len(payload).to_bytes(4, "little") + payload
+        assert r["media"] == b"RIFF" + len(stored).to_bytes(4, "little") + stored
+        x = [scalar_law(c, "mulaw") for c in payload]
+        wide = [v for a, b in zip(x, [*x[1:], x[-1]], strict=True) for v in (a, (a + b + 1) // 2)]
+        assert media.read_wave(r["pcm"]) == (media.PCM, 16000, np.array(wide, "<i2").tobytes())
+        d = described[r["doc_id"]]
+        assert (d["media_bytes"], d["media_sha256"]) == (len(r["media"]), hashlib.sha256(r["media"]).hexdigest())
+        ima = [v for at in range(0, len(payload), 576) for v in scalar_ima(payload[at : at + 576])]
+        peak = max(abs(scalar_law(c, "alaw")) for c in payload)
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))
+        want = f"mulaw_power={sum(v * v for v in x) // len(x)};mulaw_crossings={crossings};alaw_peak={peak};adpcm_crc32={zlib.crc32(np.array(ima, '<i2').tobytes())};pcm_16000_crc32={zlib.crc32(np.array(wide, '<i2').tobytes())}"
+        assert d["feature"] == want
+    assert media.store_pcm(spark.createDataFrame([(1, None, "x")], "doc_id long, media binary, pcm string")).first()["pcm"] is None
 
 
 def scalar_ima(block):
@@ -405,6 +455,40 @@ def test_licenses(spark, odd):
     assert licenses.scan_licenses(odd.limit(0)).count() == 0
 
 
+def test_license_labels_against_brute_force():
+    rng = random.Random(12)
+    phrases = [p for p, _ in (*licenses.BASE, *licenses.NOTICES)]
+    for _ in range(300):
+        text = " ".join(rng.choice([*phrases, "of any", "license", "gnu", "mit-license", "CC", "by", "x"]) for _ in range(rng.randint(0, 12)))
+        words = re.findall(r"[a-z0-9]+", text.lower())
+        want = {label for phrase, label in (*licenses.BASE, *licenses.NOTICES) if f" {phrase} " in f" {' '.join(words)} "}
+        got = licenses.scan(text)
+        assert set(filter(None, got[5].split(","))) == want
+        assert got[6] == pytest.approx(1 - 0.5 ** (got[1] + len({x for p, x in licenses.NOTICES if f" {p} " in f" {' '.join(words)} "})) if want else 0.0)
+
+
+def brute_evaluation(tree):
+    if isinstance(tree, str):
+        return [tree], not tree.startswith(licenses.COPYLEFT)
+    (a, x), (b, y) = brute_evaluation(tree[1]), brute_evaluation(tree[2])
+    return (a, x) if tree[0] == "with" else (a + b, x or y if tree[0] == "or" else x and y)
+
+
+def test_license_expressions():
+    rng = random.Random(13)
+    for _ in range(300):
+        symbols = [rng.choice(["mit", "gpl-2.0", "bsd", "and", "or", "with", "(", ")"]) for _ in range(rng.randint(1, 15))]
+        tree = licenses.parse(symbols)
+        if tree is not None:
+            assert licenses.evaluated(tree) == brute_evaluation(tree)
+    many = "mit" + " or gpl-2.0" * 100_000
+    assert licenses.scan(f"SPDX-License-Identifier: {many}")[5] == "gpl-2.0,mit,permissive,spdx"
+    deep = "(" * 100_000 + "gpl-3.0" + " and mit)" * 100_000
+    assert licenses.scan(f"SPDX-License-Identifier: {deep}")[5] == "gpl-3.0,mit,spdx"
+    assert licenses.scan("SPDX-License-Identifier: mit " * 100_000)[5] == "mit,permissive,spdx"
+    assert licenses.evaluated(licenses.parse("gpl-2.0 with classpath-exception".split())) == (["gpl-2.0"], False)
+
+
 def test_language(spark, odd, sample):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.train(docs)
@@ -451,6 +535,95 @@ def test_toxicity(spark, odd):
     assert toxicity.kept(odd, toxicity.train(odd, labels.limit(0))).columns == odd.columns
 
 
+def test_convolution_against_positions():
+    rng = np.random.default_rng(15)
+    texts = ["", "a b c d e", "b", "c c a", " ".join(rng.choice(list("abcdefgh"), 300))]
+    pairs, bounds, _ = toxicity._encoded(texts, 2)
+    model = toxicity.ToxicityModel((1, 2, 3), rng.normal(size=(2 * toxicity.BUCKETS, 4)), [rng.normal(size=(w, 4, 3)) for w in (1, 2, 3)], [rng.normal(size=3) for _ in range(3)], rng.normal(size=9), 0.1)
+    model.prepare()
+    for block in (7, 1 << 16):
+        got = toxicity._pooled(model, pairs, bounds, block)
+        for k in range(len(texts)):
+            x = [model.emb[a] + model.emb[b] for a, b in pairs[bounds[k] : bounds[k + 1]]]
+            want = [max([0.0, *(b[c] + sum(x[t + j] @ f[j, :, c] for j in range(len(f)) if t + j < len(x)) for t in range(len(x)))]) for f, b in zip(model.filters, model.bias, strict=True) for c in range(3)]
+            assert got[k] == pytest.approx(want, abs=1e-4)
+
+
+def test_gradients_against_finite_differences():
+    rng = np.random.default_rng(16)
+    text = np.array([0, 0, 0, 1, 2, 2])
+    y, weight = np.array([1.0, 0.0, 1.0]), np.array([0.3, 1.0, 0.7])
+    x, filters, bias = rng.normal(size=(6, 4)), [rng.normal(size=(w, 4, 3)) for w in (1, 2, 3)], [rng.normal(size=3) for _ in range(3)]
+    params = [None, *filters, *bias, rng.normal(size=9), rng.normal(size=1)]
+
+    def loss():
+        z = np.full(3, params[-1][0])
+        for d in range(3):
+            own = x[text == d]
+            act = [max([0.0, *(b[c] + sum(own[t + j] @ f[j, :, c] for j in range(len(f)) if t + j < len(own)) for t in range(len(own)))]) for f, b in zip(filters, bias, strict=True) for c in range(3)]
+            z[d] += np.array(act) @ params[-2]
+        return float((weight * (np.log1p(np.exp(z)) - y * z)).sum())
+
+    found = toxicity.gradients(params, 3, x, text, y, weight, decay=0.0)
+    wide = np.zeros_like(x)
+    np.add.at(wide, found[0][0], found[0][1])
+    for values, grads in [(x, wide), *zip(params[1:], found[1:], strict=True)]:
+        for at in np.ndindex(values.shape):
+            old, h = values[at], 1e-6
+            values[at] = old + h
+            more = loss()
+            values[at] = old - h
+            less = loss()
+            values[at] = old
+            assert (more - less) / (2 * h) == pytest.approx(grads[at], abs=1e-5)
+
+
+def test_calibration_by_language():
+    rng = np.random.default_rng(17)
+    y = np.tile([0.0, 1.0], 400)
+    langs = ["de"] * 400 + ["en"] * 400
+    p = np.where(y == 1, 0.6, 0.3) + np.where(np.arange(800) < 400, 0.0, 0.25) + rng.normal(0, 0.02, 800)
+    common, own = toxicity.calibrated(p, y, langs)
+    assert set(own) == set(toxicity.FUNCTION_WORDS) and own["de"] < own["en"] and own["es"] == own["fr"] == pytest.approx(common)
+    assert toxicity.calibrated(p[:4], np.zeros(4), langs[:4]) == (0.5, dict.fromkeys(toxicity.FUNCTION_WORDS, 0.5))
+
+
+def test_stages_keep_columns_and_odd_rows(spark, odd):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    language = langid.kept(odd, langid.train(docs), 0.4).collect()
+    want = [r for r in odd.collect() if any(map(str.isalpha, r["text"] or ""))]
+    assert odd.columns == langid.kept(odd, langid.train(docs), 0.4).columns
+    assert {r["doc_id"] for r in language} <= {r["doc_id"] for r in want} and sum(r["doc_id"] == 5 for r in language) == 2
+    model = toxicity.train(docs, labels)
+    clean = toxicity.kept(odd, model).collect()
+    assert {r["doc_id"] for r in clean} >= {0, 1, 2} and sum(r["doc_id"] == 5 for r in clean) == 2
+    assert langid.kept(odd.limit(0), langid.train(docs)).count() == toxicity.kept(odd.limit(0), model).count() == 0
+
+
+def test_pipeline_keeps_one_of_each_group_by_brute_force(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()) else set() for k, t in rows.items()}
+    by_shingle = {}
+    for k, s in sets.items():
+        for x in s:
+            by_shingle.setdefault(x, []).append(k)
+    near = {(a, b) for x in by_shingle.values() if len(x) < 300 for a in x for b in x if a < b}
+    edges = [(a, b) for a, b in near if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    least = {k: k for k in rows}
+    moved = True
+    while moved:
+        moved = False
+        for a, b in edges:
+            m = min(least[a], least[b])
+            moved |= least[a] != m or least[b] != m
+            least[a] = least[b] = m
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").select("doc_id").collect()}
+    assert kept == {k for k, m in least.items() if k == m}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
