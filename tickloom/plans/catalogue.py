@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import to_column
 from ..operators import align, audio, bitstream, elementwise, recursive, stats, timing, windows
 from ..sources import packets
-from . import formats, graph, live, video
+from . import formats, graph, live, more, video
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -509,6 +509,6 @@ register("metadata_select", "SELECT event_id, CAST(json_extract(props, '$.k') AS
 )
 register("chomp_bsf", "SELECT doc_id, length(rtrim(text, 'e')) AS size FROM documents")(lambda s, d: _payloads(s, d).select("doc_id", bitstream.chomp(F.replace("payload", F.lit("e"), F.lit("\0")).cast("binary")).alias("p")).select("doc_id", F.length(F.decode("p", "UTF-8")).cast("long").alias("size")))
 
-for _module in (video, formats, live):
+for _module in (video, formats, live, more):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
