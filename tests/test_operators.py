@@ -204,3 +204,13 @@ def test_registered_queries_have_sql():
     # recursions, random numbers, checksums that DuckDB lacks, and pixels between pixels
     without = set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)
     assert len(without) < 0.2 * len(catalogue.QUERIES) and not {x for x in without if x.startswith(("asof", "fps", "blend", "container", "subtitles"))}
+
+
+def test_entry_needs_no_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    found = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=root, capture_output=True, text=True, check=True)
+    assert all(int(x) > 300 for x in found.stdout.split()[-2:])

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bitstream
@@ -110,9 +110,12 @@ def _turns(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{d}/conversations.parquet").select("conv_id", F.col("turn").cast("long").alias("pts"), F.col("turn").cast("long").alias("dts"), F.lit(1).cast("long").alias("duration"), F.lit(1).alias("flags"), F.col("text").cast("binary").alias("payload"))
 
 
-_length = F.unhex(F.lpad(F.hex(F.octet_length("payload").cast("long")), 8, "0"))
-register("bsf_h264_mp4toannexb", lambda s, d: bitstream.mp4toannexb(_turns(s, d).withColumn("payload", F.concat(_length, "payload")), "h264").select("conv_id", "pts", F.hex("payload").alias("data")), "SELECT conv_id, turn AS pts, '00000001' || hex(encode(text)) AS data FROM conversations")
-register("bsf_hevc_mp4toannexb", lambda s, d: bitstream.mp4toannexb(_turns(s, d).withColumn("payload", F.concat(_length, "payload")), "hevc").select("conv_id", "pts", F.hex("payload").alias("data")), "SELECT conv_id, turn AS pts, '00000001' || hex(encode(text)) AS data FROM conversations")
+def _length() -> Column:
+    return F.unhex(F.lpad(F.hex(F.octet_length("payload").cast("long")), 8, "0"))
+
+
+register("bsf_h264_mp4toannexb", lambda s, d: bitstream.mp4toannexb(_turns(s, d).withColumn("payload", F.concat(_length(), "payload")), "h264").select("conv_id", "pts", F.hex("payload").alias("data")), "SELECT conv_id, turn AS pts, '00000001' || hex(encode(text)) AS data FROM conversations")
+register("bsf_hevc_mp4toannexb", lambda s, d: bitstream.mp4toannexb(_turns(s, d).withColumn("payload", F.concat(_length(), "payload")), "hevc").select("conv_id", "pts", F.hex("payload").alias("data")), "SELECT conv_id, turn AS pts, '00000001' || hex(encode(text)) AS data FROM conversations")
 register("bsf_text2movsub", lambda s, d: _turns(s, d).select("conv_id", "pts", F.hex(bitstream.text2movsub(F.col("payload"))).alias("data")), "SELECT conv_id, turn AS pts, printf('%04X', octet_length(encode(text))) || hex(encode(text)) AS data FROM conversations")
 register("bsf_mov2textsub", lambda s, d: _turns(s, d).select("conv_id", "pts", F.decode(bitstream.mov2textsub(bitstream.text2movsub(F.col("payload"))), "UTF-8").alias("text")), "SELECT conv_id, turn AS pts, text FROM conversations")
 register("bsf_null", lambda s, d: _turns(s, d).select("conv_id", "pts", F.md5("payload").alias("hash")), "SELECT conv_id, turn AS pts, md5(text) AS hash FROM conversations")
