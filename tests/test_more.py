@@ -190,3 +190,19 @@ def test_inspector(spark):
             inspector.inspect(files, bad)
     for option in ("-formats", "-muxers", "-demuxers", "-codecs", "-decoders", "-encoders", "-bsfs", "-protocols", "-filters", "-pix_fmts", "-layouts", "-sample_fmts", "-dispositions", "-colors", "-sections", "-version", "-h", "-L"):
         assert inspector.listing(spark, option).count() > 0
+
+
+def test_every_graph_operator_builds(spark):
+    """With options that suit it, each operator gives a plan that Spark can resolve."""
+    from tickloom.plans import graph
+
+    s = spark.createDataFrame([(1, 10 * n, float(n % 7), {"a": "b"}, [{"kind": "x"}]) for n in range(40)], "k int, pts long, v double, metadata map<string,string>, side_data array<struct<kind:string>>")
+    more = {
+        "settb": "1/1000", "asettb": "1/1000", "metadata": "key=a", "ametadata": "key=a", "sidedata": "type=x", "asidedata": "type=x", "aecho": "delays=2:decays=0.5", "loop": "1:3", "aloop": "1:3", "shuffleframes": "1 0", "adelay": "2", "fps": "1000", "framerate": "1000",
+        "aresample": "1000", "ebur128": "rate=20", "replaygain": "rate=20", "drmeter": "rate=2", "silenceremove": "window=4", "segment": "50|100", "asegment": "50|100", "compensationdelay": "m=0.01", "biquad": "b0=0.5",
+    }
+    for name in graph.OPERATORS:
+        assert graph.build(name + ("=" + more[name] if name in more else ""), {"in": s}, "k")["out"].schema.fields, name
+    two = {"a": s.select("k", "pts", "v"), "b": s.select("k", "pts", (7 - F.col("v")).alias("v"))}
+    for name in graph.JOINS:
+        assert graph.build(f"[a][b]{name}[x]", dict(two), "k")["x"].schema.fields, name

@@ -974,3 +974,162 @@ def separatefields(frames: DataFrame) -> DataFrame:
     both = frames.withColumn("field", F.explode(F.array(F.lit(0), F.lit(1))))
     f = frame(both)
     return _written_back(both, gather(f, f.w, F.floor((f.h + 1 - F.col("field")) / 2), lambda x, y: (x, 2 * y + F.col("field"))))
+
+
+# More of neighbourhoods, tables and colours
+
+
+@named("cas")
+def cas(f: Frame, strength: float = 0.0, planes: int = 7) -> Frame:
+    """Sharpens by the four neighbours, less where the local range is near its limits."""
+    peak = -0.125 * (1 - strength) - 0.2 * strength
+
+    def value(v: Callable[[int, int], Column]) -> Column:
+        c, n, s, w, e = (v(*o) / 255.0 for o in ((0, 0), (0, -1), (0, 1), (-1, 0), (1, 0)))
+        low, high = F.least(n, s, w, e, c), F.greatest(n, s, w, e, c)
+        amp = F.when(high > 0, F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.least(low, 1 - high) / F.when(high > 0, high).otherwise(1.0))))).otherwise(0.0)
+        k = amp * peak
+        return byte(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((n + s + w + e) * k + c) / (4 * k + 1))) * 255)
+
+    return stencil(f, value, planes)
+
+
+@named("removegrain")
+def removegrain(f: Frame, m0: int = 0, m1: int | None = None, m2: int | None = None, m3: int | None = None) -> Frame:
+    """Mode k from 1 to 4: the pixel is held between the k-th least and the k-th greatest of its neighbours; 0 leaves a plane."""
+    out = f
+    for k, mode in enumerate((m0, m0 if m1 is None else m1, m0 if m2 is None else m2, m0 if m3 is None else m3)[: len(f.planes)]):
+        if not 0 <= mode <= 4:
+            raise ValueError("modes 0 to 4")
+        if mode:
+            around = lambda v: F.array_sort(F.array(*[v(*o) for o in AROUND]))
+            out = stencil(out, lambda v, m=mode: let(around(v), lambda a: limit(v(0, 0), F.get(a, F.lit(m - 1)), F.get(a, F.lit(8 - m)))), 1 << k)
+    return out
+
+
+@named("varblur")
+def varblur(f: Frame, control: Frame, min_r: int = 0, max_r: int = 8, planes: int = 15) -> Frame:
+    """The mean of a box, rounded down, whose radius goes from ``min_r`` to ``max_r`` as the control frame does from 0 to 255."""
+
+    def pixel(p: Column, c: Column) -> Callable[[Column, Column], Column]:
+        def value(x: Column, y: Column) -> Column:
+            r = F.floor(min_r + (max_r - min_r) * at(c, f.w, f.h, x, y) / 255.0 + 0.5).cast("int")
+            side = 2 * r + 1
+            total = F.aggregate(F.sequence(F.lit(0), side * side - 1), F.lit(0), lambda a, k: a + at(p, f.w, f.h, x + k % side - r, y + F.floor(k / side).cast("int") - r))
+            return F.floor(total / (side * side))
+
+        return value
+
+    return replace(f, planes=tuple(draw(f.w, f.h, pixel(p, control.planes[min(k, len(control.planes) - 1)])) if planes >> k & 1 else p for k, p in enumerate(f.planes)))
+
+
+@named("vignette")
+def vignette(f: Frame, angle: float = math.pi / 5, x0: float | None = None, y0: float | None = None, mode: str = "forward", aspect: float = 1.0) -> Frame:
+    """Times the fourth power of a cosine that falls off from the middle, cut down; backward: over it, up to 255."""
+    cx, cy = f.w / 2 if x0 is None else F.lit(x0), f.h / 2 if y0 is None else F.lit(y0)
+
+    def factor(x: Column, y: Column) -> Column:
+        theta = angle * F.sqrt(F.pow(x - cx, 2) + F.pow((y - cy) * aspect, 2)) / F.sqrt(cx * cx + cy * cy)
+        return F.when(theta < math.pi / 2, F.pow(F.cos(theta), 4)).otherwise(0.0)
+
+    def pixel(p: Column) -> Callable[[Column, Column], Column]:
+        if mode == "forward":
+            return lambda x, y: F.floor(at(p, f.w, f.h, x, y) * factor(x, y))
+        return lambda x, y: F.when(factor(x, y) == 0, F.when(at(p, f.w, f.h, x, y) == 0, 0).otherwise(255)).otherwise(F.floor(F.least(F.lit(255.0), at(p, f.w, f.h, x, y) / F.when(factor(x, y) == 0, 1.0).otherwise(factor(x, y)))))
+
+    return f.each(lambda p: draw(f.w, f.h, pixel(p)))
+
+
+@named("delogo")
+def delogo(f: Frame, x: int, y: int, w: int, h: int) -> Frame:
+    """A rectangle is filled from the pixels around it: across and down, each the surer the farther the other border is; cut down."""
+
+    def pixel(p: Column) -> Callable[[Column, Column], Column]:
+        def value(i: Column, j: Column) -> Column:
+            left, right, top, bottom = i - (x - 1), (x + w) - i, j - (y - 1), (y + h) - j
+            across = (at(p, f.w, f.h, F.lit(x - 1), j) * right + at(p, f.w, f.h, F.lit(x + w), j) * left) / (w + 1)
+            down = (at(p, f.w, f.h, i, F.lit(y - 1)) * bottom + at(p, f.w, f.h, i, F.lit(y + h)) * top) / (h + 1)
+            filled = F.floor((across * top * bottom + down * left * right) / (top * bottom + left * right) + 1e-9)
+            return F.when((i >= x) & (i < x + w) & (j >= y) & (j < y + h), filled).otherwise(at(p, f.w, f.h, i, j))
+
+        return value
+
+    return f.each(lambda p: draw(f.w, f.h, pixel(p)))
+
+
+@named("noise")
+def noise(f: Frame, strength: int = 10, seed: int = 0, n: int | Column = 0) -> Frame:
+    """Even noise of up to ``strength`` either way, by hashes of the place, the frame's number and the seed."""
+    draw_ = lambda k: lambda v, i: limit(v + F.pmod(F.xxhash64(i, F.lit(k), _int(n), F.lit(seed)), F.lit(2 * strength + 1)).cast("int") - strength, F.lit(0), F.lit(255))
+    return replace(f, planes=tuple(each_of(p, draw_(k)) for k, p in enumerate(f.planes)))
+
+
+@named("lut1d")
+def lut1d(f: Frame, table: tuple[tuple[float, float, float], ...], interp: str = "linear") -> Frame:
+    """Each component by its own column of a table from 0 to 1, nearest or linear; cut down."""
+    n = len(table)
+    out = []
+    for c, p in enumerate(f.planes[:3]):
+        values = []
+        for v in range(256):
+            s = v / 255 * (n - 1)
+            k = min(int(s), n - 2) if n > 1 else 0
+            x = table[min(n - 1, math.floor(s + 0.5))][c] if interp == "nearest" or n < 2 else table[k][c] + (s - k) * (table[k + 1][c] - table[k][c])
+            values.append(F.lit(max(0, min(255, math.floor(x * 255 + 1e-6)))))
+        out.append(_through(p, F.array(*values)))
+    return replace(f, planes=(*out, *f.planes[3:]))
+
+
+@named("lut3d")
+def lut3d(f: Frame, table: tuple[tuple[float, float, float], ...], size: int, interp: str = "trilinear") -> Frame:
+    """A cube of colours, red the fastest, of values from 0 to 1: the nearest entry, or between the eight around."""
+    flat = [F.array(*[F.lit(float(row[c])) for row in table]) for c in range(3)]
+
+    def new(r: Column, g: Column, b: Column, *rest: Column) -> list[Column]:
+        s = [x / 255.0 * (size - 1) for x in (r, g, b)]
+        if interp == "nearest":
+            k = [F.floor(x + 0.5) for x in s]
+            return [byte(F.get(t, (k[0] + size * k[1] + size * size * k[2]).cast("int")) * 255) for t in flat] + list(rest)
+        low = [F.least(F.floor(x), F.lit(size - 2)) for x in s]
+        frac = [x - a for x, a in zip(s, low, strict=True)]
+
+        def mix(t: Column) -> Column:
+            total = F.lit(0.0)
+            for corner in range(8):
+                bits = [corner >> k & 1 for k in range(3)]
+                place = sum(((a + d) * size**k for k, (a, d) in enumerate(zip(low, bits, strict=True))), F.lit(0))
+                weight = F.lit(1.0)
+                for d, x in zip(bits, frac, strict=True):
+                    weight = weight * (x if d else 1 - x)
+                total = total + F.get(t, place.cast("int")) * weight
+            return total
+
+        return [byte(mix(t) * 255) for t in flat] + list(rest)
+
+    return mixed(f, new)
+
+
+@named("haldclut")
+def haldclut(f: Frame, clut: Frame, level: int) -> Frame:
+    """As ``lut3d``, the cube being the second frame's pixels in order; the nearest entry."""
+    size = level * level
+
+    def component(k: int) -> Column:
+        index = lambda v: F.floor(v / 255.0 * (size - 1) + 0.5)
+        g, b = f.planes[1], f.planes[2]
+        return each_of(f.planes[0], lambda r, i: F.get(clut.planes[k], (index(r) + size * index(F.get(g, i)) + size * size * index(F.get(b, i))).cast("int")))
+
+    return replace(f, planes=(*[component(k) for k in range(3)], *f.planes[3:]))
+
+
+@named("paletteuse")
+def paletteuse(f: Frame, palette: tuple[tuple[int, int, int], ...]) -> Frame:
+    """Each pixel becomes the nearest colour of a list, ties the earlier; without dithering."""
+    entries = F.array(*[F.struct(F.lit(k).alias("k"), *[F.lit(v).alias(c) for c, v in zip("rgb", e, strict=True)]) for k, e in enumerate(palette)])
+
+    def new(r: Column, g: Column, b: Column, *rest: Column) -> list[Column]:
+        far = lambda e: F.pow(e["r"] - r, 2) + F.pow(e["g"] - g, 2) + F.pow(e["b"] - b, 2)
+        best = F.array_min(F.transform(entries, lambda e: F.struct(far(e).alias("d"), e["k"].alias("k"), e["r"].alias("r"), e["g"].alias("g"), e["b"].alias("b"))))
+        return [best["r"], best["g"], best["b"], *rest]
+
+    return mixed(f, new)

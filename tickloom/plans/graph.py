@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import to_column
-from ..operators import align, audio, elementwise, recursive, stats, timing, windows
+from ..operators import align, audio, elementwise, metadata, recursive, stats, timing, windows
+from ..operators.order import previous
 
 
 class GraphError(ValueError):
@@ -179,10 +180,39 @@ OPERATORS: dict[str, Callable[[DataFrame, Node, str], DataFrame]] = {
     "hqdn3d": lambda s, n, by: recursive.hqdn3d(s, by, option(n, "luma_tmp", 0, 6.0)),
     "biquad": lambda s, n, by: recursive.biquad(s, by, **{k: option(n, k, None, d) for k, d in (("a0", 1.0), ("a1", 0.0), ("a2", 0.0), ("b0", 1.0), ("b1", 0.0), ("b2", 0.0))}),
 } | {k: _equalizer for k in recursive.DEFAULTS}
-for _a, _b in (("anull", "null"), ("copy", "null"), ("acopy", "null"), ("aselect", "select"), ("asetpts", "setpts"), ("asettb", "settb"), ("atrim", "trim"), ("areverse", "reverse"), ("aloop", "loop")):
+#: What has an effect on a live graph only: pacing, waiting, measures of time, and permissions of buffers.
+for _a in ("realtime", "arealtime", "cue", "acue", "latency", "alatency", "bench", "abench", "perms", "aperms", "anull", "copy", "acopy", "format", "noformat", "aformat"):
+    OPERATORS[_a] = OPERATORS["null"]
+OPERATORS |= {
+    "tblend": lambda s, n, by: _tblend(s, option(n, "all_mode", 0, "normal", str), by),
+    "asetrate": lambda s, n, by: timing.asetrate(s, option(n, "old", None, 48_000, int), option(n, "sample_rate", 0, 48_000, int)),
+    "aresample": lambda s, n, by: align.framerate(s, round(1_000_000 / option(n, "sample_rate", 0, 48_000.0)), by).select(by, (F.col("slot") * round(1_000_000 / option(n, "sample_rate", 0, 48_000.0))).alias("pts"), "v"),
+    "segment": lambda s, n, by: timing.segment(s, [int(x) for x in _numbers(option(n, "timestamps", 0, "0", str))]),
+    "nullsink": lambda s, n, by: s.limit(0), "anullsink": lambda s, n, by: s.limit(0),
+    "metadata": lambda s, n, by: metadata.metadata(s, option(n, "mode", 0, "select", str), n.options.get("key"), n.options.get("value"), n.options.get("function", "same_str"), n.options.get("expr")),
+    "sidedata": lambda s, n, by: metadata.sidedata(s, option(n, "mode", 0, "select", str), n.options.get("type")),
+    "silenceremove": lambda s, n, by: audio.silenceremove(s, by, option(n, "window", None, 960, int), option(n, "start_threshold", None, 0.0)),
+    "compand": lambda s, n, by: recursive.compand(s, by, option(n, "rate", None, 48_000.0), [tuple(float(y) for y in x.split("/")) for x in option(n, "points", 2, "-70/-70|-60/-20|1/0", str).split("|")]),
+    "adynamicsmooth": lambda s, n, by: recursive.adynamicsmooth(s, by, option(n, "rate", None, 48_000.0), option(n, "basefreq", 1, 22_050.0), option(n, "sensitivity", 0, 2.0)),
+    "vibrato": lambda s, n, by: audio.vibrato(s, by, option(n, "rate", None, 48_000.0), option(n, "f", 0, 5.0), option(n, "d", 1, 0.5)),
+    "apsyclip": _on_v(lambda v, n: audio.apsyclip(v, option(n, "clip", 2, 1.0), option(n, "level_in", 0, 1.0), option(n, "level_out", 1, 1.0))),
+    "compensationdelay": lambda s, n, by: audio.compensationdelay(s, by, option(n, "m", None, 0.0), option(n, "temp", None, 20.0), option(n, "dry", None, 0.0), option(n, "wet", None, 1.0)),
+    "drmeter": lambda s, n, by: audio.drmeter(s, by, round(option(n, "length", 0, 3.0) * option(n, "rate", None, 48_000.0))),
+    "ebur128": lambda s, n, by: stats.ebur128(s, by, option(n, "rate", None, 48_000, int)),
+    "replaygain": lambda s, n, by: stats.replaygain(s, by, option(n, "rate", None, 48_000, int)),
+    "histogram": lambda s, n, by: stats.histogram(s, 0.0, 256.0, 256),
+    "entropy": lambda s, n, by: stats.entropy(s, 0.0, 256.0, 256, by, option(n, "mode", 0, "normal", str)),
+}
+for _a, _b in (("asegment", "segment"), ("ametadata", "metadata"), ("asidedata", "sidedata"), ("aselect", "select"), ("asetpts", "setpts"), ("asettb", "settb"), ("atrim", "trim"), ("areverse", "reverse"), ("aloop", "loop")):
     OPERATORS[_a] = OPERATORS[_b]
 
 
+def _tblend(s: DataFrame, mode: str, by: str) -> DataFrame:
+    """Each record with the one before; the first one goes."""
+    d = previous(s, by, {"_p": F.col("v")}).filter("_p is not null")
+    return d.withColumn("v", elementwise.blend(mode, F.col("v").cast("long"), F.col("_p").cast("long")).cast("double")).drop("_p")
+
+
 def _blend(a: DataFrame, b: DataFrame, n: Node, by: str) -> DataFrame:
     both = align.framesync([a, b], by)
     return both.select(by, "pts", elementwise.blend(option(n, "all_mode", 0, "normal", str), F.col("v0").cast("long"), F.coalesce("v1", "v0").cast("long")).cast("double").alias("v"))
@@ -205,6 +235,11 @@ JOINS: dict[str, Callable[[list[DataFrame], Node, str], DataFrame]] = {
     "apsnr": _pairs(lambda p, by: stats.error_measures(p, by, 1.0).select(by, "psnr")),
     "asisdr": _pairs(stats.asisdr),
     "interleave": lambda inputs, n, by: _together(inputs, by),
+    "ainterleave": lambda inputs, n, by: _together(inputs, by),
+    "amix": lambda inputs, n, by: _mix(inputs, n, by),
+    "streamselect": lambda inputs, n, by: inputs[int(option(n, "map", 1, "0", str).split()[0])],
+    "astreamselect": lambda inputs, n, by: inputs[int(option(n, "map", 1, "0", str).split()[0])],
+    "axcorrelate": lambda inputs, n, by: audio.axcorrelate(align.lockstep(*inputs, by), by, option(n, "size", 0, 256, int)).select(by, F.col("n").alias("pts"), F.col("c").alias("v")),
     "concat": lambda inputs, n, by: _together(inputs, by),
 }
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import fields, generators, metadata, pixels, spectra, timing
+from ..operators import fields, frames, generators, metadata, pixels, spectra, timing
 from ..sources import containers, paths, streams
 from . import inspector, video
 
@@ -98,6 +98,31 @@ _field("repeatfields", lambda x: fields.repeatfields(x, "k", F.col("n") % 2), "S
 _field("phase", lambda x: fields.phase(x, "k"), "SELECT k, n, 8 AS h, i, CASE WHEN y % 2 = 0 THEN v ELSE coalesce(lag(v) OVER (PARTITION BY k, i ORDER BY n), v) END AS v FROM fr")
 _field("fieldhint", lambda x: fields.fieldhint(x, "k", x.sparkSession.createDataFrame([(0, 1, 0), (1, 0, 1)], "n long, top long, bottom long")), "SELECT a.k, a.n, 8 AS h, a.i, b.v FROM fr a JOIN fr b ON b.k = a.k AND b.i = a.i AND b.n = CASE WHEN a.y % 2 = 0 THEN 1 - a.n ELSE a.n END WHERE a.n < 2 AND (a.k, 1) IN (SELECT (k, n) FROM c)")
 _field("deinterlaced", lambda x: fields.deinterlaced(x, "k"), "SELECT k, n, 8 AS h, i, CASE WHEN y % 2 = 0 THEN v ELSE greatest((a + b) // 2 - abs(a - b) // 2, least((a + b) // 2 + abs(a - b) // 2, (u + w) // 2)) END AS v FROM (SELECT *, coalesce(lag(v) OVER z, v) AS a, coalesce(lead(v) OVER z, v) AS b, lag(v) OVER r AS u, coalesce(lead(v) OVER r, lag(v) OVER r) AS w FROM fr WINDOW z AS (PARTITION BY k, i ORDER BY n), r AS (PARTITION BY k, n, x ORDER BY y))")
+_DEEP = f"{_FR}, w AS (SELECT a.k, a.n, a.i, a.v AS here, b.v, b.n - a.n AS d FROM fr a JOIN fr b ON b.k = a.k AND b.i = a.i)"
+
+
+def _time(name: str, f: Callable[[DataFrame], DataFrame], value: str, where: str, more: str = "") -> None:
+    """value: of the window's v, here the pixel's own; where: which d (frames later) are in it."""
+    register(f"frames_{name}", lambda s, d: _sums(f(_frames(s, d))), f"{_DEEP} SELECT k, n, 8 AS h, CAST(sum(v * (i + 1)) AS BIGINT) AS s FROM (SELECT k, n, i, {value} AS v FROM w WHERE {where} GROUP BY k, n, i, here{more}) GROUP BY k, n")
+
+
+_time("tmix", lambda x: frames.tmix(x, "k"), "CAST(floor(avg(v) + 0.5) AS BIGINT)", "d BETWEEN -2 AND 0")
+_time("tmedian", lambda x: frames.tmedian(x, "k"), "list_sort(list(v))[CAST(floor(0.5 * (count(*) - 1) + 0.5) AS BIGINT) + 1]", "d BETWEEN -2 AND 0")
+_time("tmedian_centred", lambda x: frames.tmedian(x, "k", compat=False), "list_sort(list(v))[CAST(floor(0.5 * (count(*) - 1) + 0.5) AS BIGINT) + 1]", "d BETWEEN -1 AND 1")
+_time("atadenoise", lambda x: frames.atadenoise(x, "k", 5, 0.0, 64 / 255), "CAST(floor(sum(v * greatest(0, least(1, (64 - abs(v - here)) / 64.0::DOUBLE))) / sum(greatest(0, least(1, (64 - abs(v - here)) / 64.0::DOUBLE))) + 0.5) AS BIGINT)", "d BETWEEN -4 AND 0")
+_time("lagfun", lambda x: frames.lagfun(x, "k", 0.5), "CAST(floor(max(v * pow(0.5::DOUBLE, -d)) + 0.5) AS BIGINT)", "d <= 0")
+_time("amplify", lambda x: frames.amplify(x, "k", 2, 0.5, 60.0, 5.0), "CASE WHEN abs(here - avg(v)) < 60 AND abs(here - avg(v)) > 5 THEN CAST(greatest(0, least(255, floor(here + (here - avg(v)) * 0.5 + 0.5))) AS BIGINT) ELSE here END", "d BETWEEN -2 AND 2")
+_time("tblend", lambda x: frames.tblend(x, "k", "average"), "(here + max(v)) // 2", "d = -1")
+_time("tblend_difference", lambda x: frames.tblend(x, "k", "difference", 0.5), "CAST(floor(here * 0.5 + abs(here - max(v)) * 0.5 + 0.5) AS BIGINT)", "d = -1")
+register("vmafmotion", lambda s, d: frames.difference(_frames(s, d), "k").select("k", "n", "motion"), f"{_DEEP} SELECT c.k, c.n, coalesce(m, 0) AS motion FROM c LEFT JOIN (SELECT k, n, avg(abs(v - here)) AS m FROM w WHERE d = -1 GROUP BY ALL) x ON x.k = c.k AND x.n = c.n")
+register("frames_mpdecimate", lambda s, d: frames.mpdecimate(_frames(s, d), "k", 1500, 1200, 0.5, 4).select("k", "n"), f"{_DEEP}, b AS (SELECT k, n, i % 8 // 4 + 2 * (i // 32) AS z, sum(abs(v - here)) AS s FROM w WHERE d = -1 GROUP BY ALL) SELECT c.k, c.n FROM c LEFT JOIN (SELECT k, n, max(s) <= 1500 AND avg((s > 1200)::INT) < 0.5 AS g FROM b GROUP BY ALL) x ON x.k = c.k AND x.n = c.n WHERE NOT coalesce(g, false)")
+register("cropdetect", lambda s, d: frames.cropdetect(_frames(s, d), "k", 250, 2).select("k", "n", *[F.col(c).cast("long").alias(c) for c in ("x1", "x2", "y1", "y2", "w", "x")]), f"{_FR}, b AS (SELECT k, n, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2 FROM fr WHERE n >= 2 AND v > 250 GROUP BY ALL), r AS (SELECT c.k, c.n, min(x1) OVER z AS x1, max(x2) OVER z AS x2, min(y1) OVER z AS y1, max(y2) OVER z AS y2 FROM c LEFT JOIN b ON b.k = c.k AND b.n = c.n WINDOW z AS (PARTITION BY c.k ORDER BY c.n)) SELECT *, (x2 - x1 + 1) // 2 * 2 AS w, x1 + (x2 - x1 + 1 - (x2 - x1 + 1) // 2 * 2) // 2 AS x FROM r")
+register("blackframe", lambda s, d: frames.blackframe(_frames(s, d), "k", 10, 32).select("k", "n", F.col("pblack").cast("long").alias("pblack")), f"{_FR} SELECT k, n, CAST(floor(100 * avg((v < 32)::INT)) AS BIGINT) AS pblack FROM fr GROUP BY ALL HAVING floor(100 * avg((v < 32)::INT)) >= 10")
+register("blackdetect", lambda s, d: frames.blackdetect(_frames(s, d), "k", 0.11, 0.1), f"{_FR}, b AS (SELECT k, n, avg((v <= 25.5)::INT) >= 0.11 AS d FROM fr GROUP BY ALL), bp AS (SELECT *, coalesce(lag(d) OVER (PARTITION BY k ORDER BY n), false) AS q FROM b) SELECT k, n, CASE WHEN d THEN n END AS black_start, CASE WHEN NOT d THEN n END AS black_end FROM bp WHERE d <> q")
+_field("freezeframes", lambda x: frames.freezeframes(x, "k", x, 2, 4, 1), "SELECT a.k, a.n, 8 AS h, a.i, CASE WHEN a.n BETWEEN 2 AND 4 THEN coalesce(b.v, a.v) ELSE a.v END AS v FROM fr a LEFT JOIN fr b ON b.k = a.k AND b.i = a.i AND b.n = 1")
+_field("tile", lambda x: frames.tile(x, "k", 2, 2, 1, 1, 7), "SELECT g.k, g.g AS n, 19 AS h, t.i, coalesce(fr.v, 7) AS v FROM (SELECT DISTINCT k, n // 4 AS g FROM c) g CROSS JOIN range(361) t(i) LEFT JOIN fr ON fr.k = g.k AND fr.n // 4 = g.g AND t.i = (fr.n % 4 // 2 * 9 + fr.y + 1) * 19 + fr.n % 2 * 9 + fr.x + 1")
+register("frames_random", lambda s, d: frames.shuffled(_frames(s, d), "k", 4).groupBy("k").agg(F.sum("n").alias("n"), F.count("*").alias("c"), F.sum(F.element_at("p0", 1).cast("long")).alias("v")), f"{_FR} SELECT k, sum(n) AS n, count(*) AS c, sum(v) AS v FROM fr WHERE i = 0 GROUP BY 1")
+
 register("idet", lambda s, d: fields.idet(_frames(s, d), "k"))
 register("combing", lambda s, d: fields.combing(_frames(s, d), "k").select("k", "n", "own"), f"{_FR} SELECT k, n, CAST(sum(CASE WHEN y IN (0, 7) THEN 0 ELSE abs(2 * v - u - w) END) AS BIGINT) AS own FROM (SELECT *, lag(v) OVER z AS u, lead(v) OVER z AS w FROM fr WINDOW z AS (PARTITION BY k, n, x ORDER BY y)) GROUP BY ALL")
 

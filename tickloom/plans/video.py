@@ -182,3 +182,16 @@ vf("colorkey", each("v0", "v1", "v2", "CASE WHEN sqrt(pow(v0 / 255.0::DOUBLE - 1
 vf("colorhold", None, 3, color=(128, 128, 128), similarity=0.3, blend=0.2)
 vf("drawbox", each("CASE WHEN x BETWEEN 1 AND 6 AND y BETWEEN 2 AND 6 AND (x = 1 OR x = 6 OR y = 2 OR y = 6) THEN 200 ELSE v0 END"), x=1, y=2, width=6, height=5, thickness=1, color=(200,) * 4)
 vf("drawgrid", each("CASE WHEN (x + 2) % 3 = 0 OR (y + 3) % 4 = 0 THEN 200 ELSE v0 END"), x=1, y=1, width=3, height=4, color=(200,) * 4)
+
+vf("cas", None, strength=0.5)
+for _m in (1, 2, 4):
+    vf(f"removegrain_{_m}", around(f"greatest(list_sort(list(v) FILTER (WHERE dx <> 0 OR dy <> 0))[{_m}], least(list_sort(list(v) FILTER (WHERE dx <> 0 OR dy <> 0))[{9 - _m}], here))"), filter="removegrain", m0=_m)
+vf("varblur", "SELECT a.vec_id, a.i, CAST(sum(b.v0) // count(*) AS BIGINT) AS c0 FROM (SELECT *, CAST(floor(3 * q / 255.0::DOUBLE + 0.5) AS BIGINT) AS rad FROM px) a, range(-3, 4) s(dx), range(-3, 4) t(dy) JOIN px b ON b.vec_id = a.vec_id AND b.x = greatest(0, least(7, a.x + dx)) AND b.y = greatest(0, least(7, a.y + dy)) WHERE abs(dx) <= a.rad AND abs(dy) <= a.rad GROUP BY a.vec_id, a.i", inputs=2, max_r=3)
+vf("vignette", each("CAST(floor(v0 * CASE WHEN pi() / 5 * sqrt(pow(x - 4.0::DOUBLE, 2) + pow(y - 4.0::DOUBLE, 2)) / sqrt(32.0::DOUBLE) < pi() / 2 THEN pow(cos(pi() / 5 * sqrt(pow(x - 4.0::DOUBLE, 2) + pow(y - 4.0::DOUBLE, 2)) / sqrt(32.0::DOUBLE)), 4) ELSE 0 END) AS BIGINT)"))
+vf("delogo", "SELECT p.vec_id, p.i, CASE WHEN p.x BETWEEN 2 AND 4 AND p.y BETWEEN 3 AND 5 THEN CAST(floor(((l.v0 * (5 - p.x) + r.v0 * (p.x - 1)) / 4.0::DOUBLE * (p.y - 2) * (6 - p.y) + (t.v0 * (6 - p.y) + b.v0 * (p.y - 2)) / 4.0::DOUBLE * (p.x - 1) * (5 - p.x)) / ((p.y - 2) * (6 - p.y) + (p.x - 1) * (5 - p.x)) + 1e-9) AS BIGINT) ELSE p.v0 END AS c0 FROM px p JOIN px l ON l.vec_id = p.vec_id AND l.x = 1 AND l.y = p.y JOIN px r ON r.vec_id = p.vec_id AND r.x = 5 AND r.y = p.y JOIN px t ON t.vec_id = p.vec_id AND t.y = 2 AND t.x = p.x JOIN px b ON b.vec_id = p.vec_id AND b.y = 6 AND b.x = p.x", extra={"x": 2, "y": 3, "w": 3, "h": 3})
+vf("noise", None, strength=5)
+vf("lut1d", each("CAST(floor(CASE WHEN v0 <= 127 THEN v0 / 255.0::DOUBLE * 2 * 0.5 * 255 + 1e-6 ELSE (0.5 + (v0 / 255.0::DOUBLE * 2 - 1) * 0.5) * 255 + 1e-6 END) AS BIGINT)", "CAST(floor(CASE WHEN v1 <= 127 THEN v1 / 255.0::DOUBLE * 2 * 0.25 * 255 + 1e-6 ELSE (0.25 + (v1 / 255.0::DOUBLE * 2 - 1) * 0.75) * 255 + 1e-6 END) AS BIGINT)", "CAST(floor(CASE WHEN v2 <= 127 THEN v2 / 255.0::DOUBLE * 2 * 0.75 * 255 + 1e-6 ELSE (0.75 + (v2 / 255.0::DOUBLE * 2 - 1) * 0.25) * 255 + 1e-6 END) AS BIGINT)"), 3, table=((0.0, 0.0, 0.0), (0.5, 0.25, 0.75), (1.0, 1.0, 1.0)))
+_CUBE = tuple((r / 2, g / 2, b / 2) for b in range(3) for g in range(3) for r in range(3))
+vf("lut3d", each("v0", "v1", "v2"), 3, table=_CUBE, size=3)
+vf("lut3d_nearest", each(*[f"CAST(floor(floor(v{k} / 255.0::DOUBLE * 2 + 0.5) * 127.5 + 0.5) AS BIGINT)" for k in range(3)]), 3, filter="lut3d", table=_CUBE, size=3, interp="nearest")
+vf("paletteuse", each(*[f"CASE WHEN pow(v0 - 0, 2) + pow(v1 - 0, 2) + pow(v2 - 0, 2) <= pow(v0 - 255, 2) + pow(v1 - 128, 2) + pow(v2 - 64, 2) THEN 0 ELSE {c} END" for c in (255, 128, 64)]), 3, palette=((0, 0, 0), (255, 128, 64)))
