@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import bitstream
-from ..sources import containers, images, packets, pcm, subtitles
+from ..sources import containers, images, movies, packets, pcm, subtitles
 from . import video
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,22 @@ register("streamhash_md5", lambda s, d: packets.stream_hash(_turns(s, d), "conv_
 register("streamhash_sha256", lambda s, d: packets.stream_hash(_turns(s, d), "conv_id", ["pts"], "sha256"), "SELECT conv_id, sha256(string_agg(text, '' ORDER BY turn)) AS hash FROM conversations GROUP BY 1")
 register("stream_crc", lambda s, d: packets.stream_hash(_turns(s, d), "conv_id", ["pts"], "adler32"))
 register("crc32_packet", lambda s, d: packets.frame_hash(_turns(s, d), "crc32").select("conv_id", "pts", "hash"))
+
+
+# Movies: a file for each conversation, its turns in order as pictures of one stream
+
+
+def _movie(name: str, codec: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+        turns = s.read.parquet(f"{d}/conversations.parquet").select("conv_id", n.alias("n"), F.concat(F.lit(b"x"), F.col("text").cast("binary")).alias("payload"))
+        own = turns.withColumns({"stream": F.lit(0), "kind": F.lit("video"), "codec": F.lit(codec), "rate": F.lit(25.0), "width": F.lit(64), "height": F.lit(48), "channels": F.lit(0), "pts": F.col("n") * 40, "key": F.col("n") % 3 == 0})
+        back = movies.demux(movies.mux(own, "conv_id", name))
+        return back.select("conv_id", F.col("n").cast("long").alias("n"), "pts", "key", "codec", F.md5("payload").alias("hash"))
+
+    return run
+
+
+for _name, _codec in (("avi", "H264"), ("flv", "h264"), ("mp4", "avc1"), ("matroska", "V_VP8"), ("webm", "V_VP8"), ("mpegts", "h264")):
+    register(f"movie_{_name}", _movie(_name, _codec), f"SELECT conv_id, n, n * 40 AS pts, n % 3 = 0 AS key, '{_codec}' AS codec, md5('x' || text) AS hash FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations)")
+register("movie_ogg", _movie("ogg", "opus"), "SELECT conv_id, n, n * 40 AS pts, true AS key, 'unknown' AS codec, md5('x' || text) AS hash FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations)")

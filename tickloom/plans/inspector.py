@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..sources import containers, images, packets, pcm, streams, subtitles
+from ..sources import containers, images, movies, packets, pcm, streams, subtitles
 
 VERSION = "1.0"
 #: Samples of a packet of raw audio.
@@ -252,7 +252,7 @@ def listing(spark: SparkSession, option: str) -> DataFrame:
     filters = sorted({*graph.OPERATORS, *graph.JOINS, *pixels.FILTERS})
     about = [("version", VERSION)]
     lists = {
-        "-demuxers": audio + pictures + text_in + elementary, "-muxers": audio + text_out + sinks + [(k, "picture") for k, f in images.FORMATS.items() if f[2]], "-codecs": codecs, "-decoders": codecs, "-encoders": codecs,
+        "-demuxers": audio + pictures + text_in + elementary + [(k, "movie") for k in movies.READERS], "-muxers": audio + text_out + sinks + [(k, "movie") for k in movies.WRITERS] + [(k, "picture") for k, f in images.FORMATS.items() if f[2]], "-codecs": codecs, "-decoders": codecs, "-encoders": codecs,
         "-bsfs": [(k, "") for k in ("null", "chomp", "remove_extra", "dump_extra", "setts", "noise", "showinfo", "filter_units", "extract_extradata", "trace_headers", "h264_mp4toannexb", "hevc_mp4toannexb", "aac_adtstoasc", "opus_metadata", "pcm_rechunk", "text2movsub", "mov2textsub", "av1_frame_split", "av1_frame_merge", "vp9_superframe", "vp9_superframe_split")],
         "-protocols": [(k.rstrip(":,"), "") for k in paths.READERS] + [("crypto", ""), ("md5", ""), ("tee", "")], "-filters": [(k, "") for k in filters], "-sample_fmts": [(k, str(b)) for k, b in SAMPLE_FORMATS],
         "-layouts": [(k, str(n)) for k, n in LAYOUTS], "-pix_fmts": [(k, f"{n} components, {b} bits") for k, n, b in PIXEL_FORMATS], "-colors": list(COLOURS), "-dispositions": [(k, "") for k in DISPOSITIONS],
