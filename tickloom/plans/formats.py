@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import bitstream
-from ..sources import containers, images, movies, packets, pcm, subtitles
+from ..sources import codecs, containers, images, movies, packets, pcm, subtitles
 from . import video
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +176,24 @@ def _movie(name: str, codec: str) -> Callable[[SparkSession, str], DataFrame]:
 for _name, _codec in (("avi", "H264"), ("flv", "h264"), ("mp4", "avc1"), ("matroska", "V_VP8"), ("webm", "V_VP8"), ("mpegts", "h264")):
     register(f"movie_{_name}", _movie(_name, _codec), f"SELECT conv_id, n, n * 40 AS pts, n % 3 = 0 AS key, '{_codec}' AS codec, md5('x' || text) AS hash FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations)")
 register("movie_ogg", _movie("ogg", "opus"), "SELECT conv_id, n, n * 40 AS pts, true AS key, 'unknown' AS codec, md5('x' || text) AS hash FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM conversations)")
+
+
+# Codecs: embeddings as 16-bit sounds
+
+
+def _sounds(s: SparkSession, d: str) -> DataFrame:
+    whole = F.transform(F.col("samples"), lambda x: F.greatest(F.lit(-32768), F.least(F.lit(32767), F.floor(x * 32768))).cast("long"))
+    return _blocks(s, d).select("vec_id", F.array(whole).alias("samples"), F.lit(8000).alias("rate"), F.lit(16).alias("bits"))
+
+
+def _sound(codec: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        back = codecs.decode_sounds(codecs.encode_sounds(_sounds(s, d), codec).select("vec_id", "content"), codec)
+        total = F.aggregate(F.transform(F.col("samples")[0], lambda x, k: x * (k + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+        return back.select("vec_id", F.col("rate").cast("long").alias("rate"), F.size(F.col("samples")[0]).cast("long").alias("n"), total.alias("total"))
+
+    return run
+
+
+register("codec_flac", _sound("flac"), f"{_E} SELECT vec_id, 8000 AS rate, count(*) AS n, CAST(sum(i * greatest(-32768, least(32767, floor(x * 32768)))) AS BIGINT) AS total FROM e GROUP BY 1")
+register("codec_qoa", _sound("qoa"))
