@@ -30,3 +30,12 @@ ZEROS = [[0.0, 3.0, 0.0, 4.5, 2.0, 8.0, 1.0, 5.0, 7.0], [2.0, 4.0, 0.0, 1.0], [0
 def test_deflicker_hm_of_zeros(spark, tmp_path):
     events(spark, tmp_path, [*ZEROS, [1.0, -1.0, 2.0], [5.0, None, 4.0], [1.0, -0.0, 2.0]])
     assert differing(spark, tmp_path, "deflicker_hm", 1) == (25, [])
+
+
+def test_interval_join_is_dealt_to_many_tasks(spark, tmp_path):
+    # both tables are one small file each; the pairs are many more, and must not all be made by one task
+    events(spark, tmp_path, [[float(n) for n in range(40)]] * 3)
+    spark.sql("select id o_orderkey, timestamp_ntz'2023-12-19 00:00:00' + make_dt_interval(0, 0, 0, id * 7) o_orderdate from range(0, 500, 1, 1)").write.parquet(f"{tmp_path}/orders.parquet")
+    assert catalogue.QUERIES["interval_join"](spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    rows, wrong = differing(spark, tmp_path, "interval_join", 3)
+    assert rows > 100 and wrong == []
