@@ -39,3 +39,21 @@ def test_interval_join_is_dealt_to_many_tasks(spark, tmp_path):
     assert catalogue.QUERIES["interval_join"](spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     rows, wrong = differing(spark, tmp_path, "interval_join", 3)
     assert rows > 100 and wrong == []
+
+
+def test_axcorrelate_of_silence_and_of_single_pairs(spark, tmp_path):
+    # a stream that begins with a click or a view of 0, one that is silent, and pairs whose quotient is a digit over 1
+    found = [[0.0, 3.0, 4.0, 5.0], [3.0, 0.0, 4.0, 5.0], [0.0] * 6, [0.1 * n for n in range(40)], [None, 1.0, 2.0, None, 0.0, 3.0]]
+    events(spark, tmp_path, [*found, *[[v, v * 1.1] for v in (0.07, 1.13, 7.91, 13.57, 99.99, 3.21)]], ("click", "view"))
+    rows, wrong = differing(spark, tmp_path, "axcorrelate", 2)
+    assert rows == 36 and wrong == []
+    c = [r["c"] for r in catalogue.QUERIES["axcorrelate"](spark, str(tmp_path)).collect()]
+    assert any(math.isnan(x) for x in c if x is not None) and None in c
+    assert graph_values(spark, [(0.0, 0.0), (2.0, 3.0)]) == [0.0, 1.0]  # the filter itself takes silence as 0
+
+
+def graph_values(spark, pairs):
+    from tickloom.operators import audio
+
+    d = spark.createDataFrame([(1, n, a, b) for n, (a, b) in enumerate(pairs)], "user_id long, n long, a double, b double")
+    return [r["c"] for r in audio.axcorrelate(d, "user_id", 5).orderBy("n").collect()]

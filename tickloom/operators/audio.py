@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import to_column
+from .elementwise import quotient
 from .order import numbered, ordered, tie
 
 
@@ -210,12 +211,17 @@ def aphasemeter(stream: DataFrame, by: str, block: int) -> DataFrame:
     return n.groupBy(by, "block").agg(F.when(den > 0, F.sum(l * r) / den).otherwise(0.0).alias("phase"))
 
 
-def axcorrelate(pairs: DataFrame, by: str, size: int = 256) -> DataFrame:
-    """Adds ``c``: the normalised product of a and b over the last ``size`` pairs; 0 for silence."""
+def axcorrelate(pairs: DataFrame, by: str, size: int = 256, plain: bool = False) -> DataFrame:
+    """Adds ``c``: the normalised product of a and b over the last ``size`` pairs, from -1 to 1; 0 for silence.
+
+    plain: the quotient as it is, not held within that range by a last digit, and NaN for silence."""
     w = Window.partitionBy(by).orderBy("n").rowsBetween(1 - size, 0)
     a, b = F.col("a"), F.col("b")
     den = F.sqrt(F.sum(a * a).over(w) * F.sum(b * b).over(w))
-    return pairs.withColumn("c", F.when(den > 0, _held(F.sum(a * b).over(w) / F.when(den > 0, den))).otherwise(0.0))
+    both = F.sum(a * b).over(w)
+    if plain:
+        return pairs.withColumn("c", quotient(both, den))
+    return pairs.withColumn("c", F.when(den > 0, _held(both / F.when(den > 0, den))).otherwise(0.0))
 
 
 # Channels as arrays

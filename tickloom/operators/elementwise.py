@@ -10,6 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def quotient(x: Column, y: Column) -> Column:
+    """x / y as IEEE 754 has it: over 0 infinite, or NaN if x is 0 as well; Spark's own division fails there."""
+    return F.when(y == 0, x * F.pow(y, F.lit(-1.0))).otherwise(x / F.when(y != 0, y))
+
+
 def _limit(x: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(255), x.cast("long")))
 
