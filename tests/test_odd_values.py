@@ -57,3 +57,15 @@ def graph_values(spark, pairs):
 
     d = spark.createDataFrame([(1, n, a, b) for n, (a, b) in enumerate(pairs)], "user_id long, n long, a double, b double")
     return [r["c"] for r in audio.axcorrelate(d, "user_id", 5).orderBy("n").collect()]
+
+
+SIGNED = [[-1.5, 0.0, 2.0, -0.0, 7.0, -3.0, 1.0], [5.0, None, 4.0, 0.0], [2.0, math.nan, 1.0, 0.0]]
+
+
+def deflickered(spark, tmp_path, mode, more=SIGNED):
+    events(spark, tmp_path, [*ZEROS, *more])
+    return differing(spark, tmp_path, f"deflicker_{mode}", 1)
+
+
+def test_deflicker_am_of_zeros(spark, tmp_path):
+    assert deflickered(spark, tmp_path, "am") == (31, [])
