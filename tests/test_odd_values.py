@@ -69,3 +69,7 @@ def deflickered(spark, tmp_path, mode, more=SIGNED):
 
 def test_deflicker_am_of_zeros(spark, tmp_path):
     assert deflickered(spark, tmp_path, "am") == (31, [])
+
+
+def test_deflicker_cm_of_zeros(spark, tmp_path):
+    assert deflickered(spark, tmp_path, "cm") == (31, [])
