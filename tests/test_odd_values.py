@@ -73,3 +73,7 @@ def test_deflicker_am_of_zeros(spark, tmp_path):
 
 def test_deflicker_cm_of_zeros(spark, tmp_path):
     assert deflickered(spark, tmp_path, "cm") == (31, [])
+
+
+def test_deflicker_gm_of_zeros(spark, tmp_path):
+    assert deflickered(spark, tmp_path, "gm", SIGNED[1:]) == (24, [])
