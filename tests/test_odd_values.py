@@ -81,3 +81,7 @@ def test_deflicker_gm_of_zeros(spark, tmp_path):
 
 def test_deflicker_median_of_zeros(spark, tmp_path):
     assert deflickered(spark, tmp_path, "median", [*SIGNED, [1.0, None, None, None, 2.0, 3.0]]) == (37, [])
+
+
+def test_deflicker_qm_of_zeros(spark, tmp_path):
+    assert deflickered(spark, tmp_path, "qm") == (31, [])
